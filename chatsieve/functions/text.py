@@ -79,57 +79,40 @@ def chars(c) -> Column:
     return F.when(F.char_length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
 
 
-def _shift_concat(a: Column, a_n: int, b: Column, b_n: int, n_chars: Column) -> Column:
-    """Concatenate a-grams at i with b-grams at i+a_n, giving (a_n+b_n)-grams."""
-    n = a_n + b_n
-    k = F.greatest(n_chars - F.lit(n - 1), F.lit(0))
-    return F.zip_with(F.slice(a, 1, k), F.slice(b, a_n + 1, k), lambda x, y: F.concat(x, y))
-
-
-def char_ngrams(char_arr: Column, n: int, n_chars: Column | None = None) -> Column:
-    """All character n-grams of a character array, in order.
-
-    Built by zipping shifted arrays with binary decomposition (O(log n) zips of
-    arrays), never ``substring(s, i, n)`` per position, which walks UTF-8 from
-    the start and is quadratic in text length.
+def char_ngrams(text, n: int) -> Column:
+    """All character (code point) n-grams of a string, in order.
+
+    One regex pass: a zero-width lookahead captures the ``n`` code points
+    starting at every position, so the cost is O(length x n).  (Building
+    n-grams with ``substring(s, i, n)`` per position walks UTF-8 from the
+    start each time and is quadratic; zipping shifted arrays nests the same
+    array expression twice per level, which Spark does not share inside
+    higher-order functions.)  Positions inside a surrogate pair are skipped
+    so characters outside the BMP count once.
     """
     if n < 1:
         raise ValueError("n must be >= 1")
-    if n_chars is None:
-        n_chars = F.size(char_arr)
-    powers = {1: char_arr}
-    p = 1
-    while p * 2 <= n:
-        powers[p * 2] = _shift_concat(powers[p], p, powers[p], p, n_chars)
-        p *= 2
-    acc, acc_n = None, 0
-    for size in sorted(powers, reverse=True):
-        if acc_n + size <= n:
-            if acc is None:
-                acc, acc_n = powers[size], size
-            else:
-                acc = _shift_concat(acc, acc_n, powers[size], size, n_chars)
-                acc_n += size
-    return acc
-
-
-def char_ngram_ladder(char_arr: Column, max_n: int = 4) -> list[Column]:
-    """[1-grams, 2-grams, ..., max_n-grams], each built from the previous one."""
-    n_chars = F.size(char_arr)
-    out = [char_arr]
-    for n in range(2, max_n + 1):
-        out.append(_shift_concat(out[-1], n - 1, char_arr, 1, n_chars))
-    return out
+    if n == 1:
+        return chars(text)
+    pattern = r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n
+    return F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(1))
 
 
 def repetition_ratio(c, n: int = 20) -> Column:
-    """Share of repeated character n-grams: ``1 - distinct / total`` (0 when no n-gram)."""
-    arr = chars(strip_ws(c))
-    grams = char_ngrams(arr, n)
+    """Share of repeated character n-grams of the whitespace-free text:
+    ``1 - distinct / total`` (0 when the text is shorter than n)."""
+    grams = char_ngrams(strip_ws(c), n)
     total = F.size(grams)
     return F.when(total > 0, F.lit(1.0) - F.size(F.array_distinct(grams)) / total).otherwise(F.lit(0.0))
 
 
+def line_repetition_ratio(c) -> Column:
+    """Share of repeated lines: ``1 - distinct lines / lines``."""
+    lines = F.split(_c(c), "\n")
+    total = F.size(lines)
+    return F.when(total > 0, F.lit(1.0) - F.size(F.array_distinct(lines)) / total).otherwise(F.lit(0.0))
+
+
 def join_segmented(c, script: str = "Han") -> Column:
     """Drop the spaces that word segmentation put between two characters of ``script``.
 

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.functions.text import (
-    contains_any, effective_chars, join_segmented, literal_array, normalize_key,
-    repetition_ratio, strip_ws,
+    contains_any, effective_chars, join_segmented, line_repetition_ratio, literal_array,
+    normalize_key, repetition_ratio, strip_ws,
 )
 
 
@@ -168,8 +168,12 @@ def drop_by_phrase(df: DataFrame, c, phrases) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C11
-def drop_repetitive(df: DataFrame, c="answer", n: int = 20, max_ratio: float = 0.5) -> DataFrame:
-    return df.where(repetition_ratio(_col(c), n) <= max_ratio)
+def drop_repetitive(df: DataFrame, c="answer", n: int = 20, max_ratio: float = 0.5,
+                    by_lines: bool = False) -> DataFrame:
+    """Drop repeated-generation texts: share of repeated character n-grams
+    (or of repeated lines) above ``max_ratio``."""
+    ratio = line_repetition_ratio(_col(c)) if by_lines else repetition_ratio(_col(c), n)
+    return df.where(ratio <= max_ratio)
 
 
 # ---------------------------------------------------------------- C12
@@ -233,8 +237,8 @@ def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_
        count, and the join is broadcast only when that count is checked small.
     """
     def anchors(text: Column) -> Column:
-        from chatsieve.functions.text import chars, char_ngrams
-        grams = char_ngrams(chars(text), k)
+        from chatsieve.functions.text import char_ngrams
+        grams = char_ngrams(text, k)
         hashed = F.transform(grams, lambda g: F.xxhash64(g))
         return F.array_distinct(F.filter(hashed, lambda h: F.pmod(h, F.lit(modulus)) == 0))
 
