@@ -9,6 +9,7 @@ from chatsieve.plans.common import REGISTRY
 _MODULES = [
     "chatsieve.plans.scoring",
     "chatsieve.plans.cleaning",
+    "chatsieve.plans.building",
 ]
 
 
