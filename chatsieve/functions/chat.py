@@ -32,16 +32,13 @@ def _content(m: Column) -> Column:
 def last_query_index(messages: Column) -> Column:
     """0-based index of the last user message that is not a tool response;
     ``size - 1`` when there is none."""
-    idx = F.transform(messages, lambda m, i: F.when(
-        (m["role"] == "user")
-        & ~(F.startswith(_content(m), F.lit(TOOL_OPEN)) & F.endswith(_content(m), F.lit(TOOL_CLOSE))),
-        i).otherwise(F.lit(-1)))
+    idx = F.transform(messages, lambda m, i: F.when(is_query(m["role"], m["content"]), i)
+                      .otherwise(F.lit(-1)))
     best = F.array_max(idx)
     return F.when(F.coalesce(best, F.lit(-1)) >= 0, best).otherwise(F.size(messages) - 1)
 
 
-def _assistant(m: Column, i: Column, n: Column, lqi: Column) -> Column:
-    content = _content(m)
+def _assistant(content: Column, i: Column, n: Column, lqi: Column) -> Column:
     has_think = F.contains(content, F.lit(THINK_CLOSE))
     before = F.substring_index(content, THINK_CLOSE, 1)
     reasoning = F.when(has_think, lstrip_newlines(F.substring_index(rstrip_newlines(before), THINK_OPEN, -1))) \
@@ -56,27 +53,43 @@ def _assistant(m: Column, i: Column, n: Column, lqi: Column) -> Column:
     return F.concat(F.when(use_think, with_think).otherwise(plain), F.lit(D.IM_END + "\n"))
 
 
+def fragment(role: Column, content: Column, i: Column, n: Column, lqi: Column,
+             prev_role: Column, next_role: Column) -> Column:
+    """Rendered text of message ``i`` (0-based) of ``n``.
+
+    ``lqi`` is the conversation's last-query index; ``prev_role`` /
+    ``next_role`` are the neighbours' roles (null at the ends) and only
+    matter for tool turns.
+    """
+    content = F.coalesce(content, F.lit(""))
+    tool = F.concat(
+        F.when((i == 0) | ~F.coalesce(prev_role == "tool", F.lit(False)), F.lit(D.IM_START + "user"))
+        .otherwise(F.lit("")),
+        F.lit("\n" + TOOL_OPEN + "\n"), content, F.lit("\n" + TOOL_CLOSE),
+        F.when((i == n - 1) | ~F.coalesce(next_role == "tool", F.lit(False)), F.lit(D.IM_END + "\n"))
+        .otherwise(F.lit("")))
+    return (F.when(role.isin("user", "system"),
+                   F.concat(F.lit(D.IM_START), role, F.lit("\n"), content, F.lit(D.IM_END + "\n")))
+            .when(role == "assistant", _assistant(content, i, n, lqi))
+            .when(role == "tool", tool)
+            .otherwise(F.lit("")))
+
+
+def is_query(role: Column, content: Column) -> Column:
+    """A user message that is not a wrapped tool response."""
+    c = F.coalesce(content, F.lit(""))
+    return (role == "user") & ~(F.startswith(c, F.lit(TOOL_OPEN)) & F.endswith(c, F.lit(TOOL_CLOSE)))
+
+
 def message_fragments(messages: Column) -> Column:
     """Rendered text of every message, as an array aligned with ``messages``."""
     n = F.size(messages)
     lqi = last_query_index(messages)
 
     def frag(m, i):
-        role = m["role"]
-        content = _content(m)
         prev_role = F.when(i > 0, F.element_at(messages, i)["role"])
         next_role = F.when(i < n - 1, F.element_at(messages, i + 2)["role"])
-        tool = F.concat(
-            F.when((i == 0) | ~F.coalesce(prev_role == "tool", F.lit(False)), F.lit(D.IM_START + "user"))
-            .otherwise(F.lit("")),
-            F.lit("\n" + TOOL_OPEN + "\n"), content, F.lit("\n" + TOOL_CLOSE),
-            F.when((i == n - 1) | ~F.coalesce(next_role == "tool", F.lit(False)), F.lit(D.IM_END + "\n"))
-            .otherwise(F.lit("")))
-        return (F.when(role.isin("user", "system"),
-                       F.concat(F.lit(D.IM_START), role, F.lit("\n"), content, F.lit(D.IM_END + "\n")))
-                .when(role == "assistant", _assistant(m, i, n, lqi))
-                .when(role == "tool", tool)
-                .otherwise(F.lit("")))
+        return fragment(m["role"], m["content"], i, n, lqi, prev_role, next_role)
 
     return F.transform(messages, frag)
 

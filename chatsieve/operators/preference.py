@@ -218,13 +218,12 @@ def pair_stats_maps(long: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D12
-def assign_risk_level(category, text, high_categories=(), high_terms=(), medium_terms=(),
-                      low_categories=()) -> Column:
-    """low / medium / high by scene and phrase hits (first matching rule)."""
+def assign_risk_level(category, text, high_categories=(), high_terms=(), medium_categories=(),
+                      medium_terms=()) -> Column:
+    """high / medium / low by scene and phrase hits (first matching rule wins)."""
     t = _col(text)
     cat = _col(category)
-    return (F.when(cat.isin(*high_categories) if high_categories else F.lit(False), F.lit("high"))
-            .when(contains_any(t, literal_array(list(high_terms))), F.lit("high"))
-            .when(cat.isin(*low_categories) if low_categories else F.lit(False), F.lit("low"))
-            .when(contains_any(t, literal_array(list(medium_terms))), F.lit("medium"))
-            .otherwise(F.lit("low") if not medium_terms else F.lit("medium")))
+    in_cats = lambda cats: cat.isin(*cats) if cats else F.lit(False)
+    return (F.when(in_cats(high_categories) | contains_any(t, literal_array(list(high_terms))), F.lit("high"))
+            .when(in_cats(medium_categories) | contains_any(t, literal_array(list(medium_terms))), F.lit("medium"))
+            .otherwise(F.lit("low")))

@@ -10,6 +10,7 @@ _MODULES = [
     "chatsieve.plans.scoring",
     "chatsieve.plans.cleaning",
     "chatsieve.plans.building",
+    "chatsieve.plans.pairs",
 ]
 
 
