@@ -74,9 +74,12 @@ def literal_nested_array(groups) -> Column:
 
 
 def chars(c) -> Column:
-    """Code-point characters of a string; empty (not ``['']``) for an empty string."""
+    """Code-point characters of a string; empty (not ``['']``) for an empty
+    string; null for null."""
     c = _c(c)
-    return F.when(F.char_length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    return (F.when(c.isNull(), F.lit(None).cast("array<string>"))
+            .when(F.char_length(c) > 0, F.split(c, ""))
+            .otherwise(F.array().cast("array<string>")))
 
 
 def char_ngrams(text, n: int) -> Column:

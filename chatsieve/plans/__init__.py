@@ -11,6 +11,7 @@ _MODULES = [
     "chatsieve.plans.cleaning",
     "chatsieve.plans.building",
     "chatsieve.plans.pairs",
+    "chatsieve.plans.sequences",
 ]
 
 
