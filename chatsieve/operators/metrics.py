@@ -71,12 +71,13 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     base = df.select(*by, F.col(row_id).alias("__id"),
                      strip_ws(F.coalesce(_col(hyp), F.lit(""))).alias("__h"),
                      strip_ws(F.coalesce(_col(ref), F.lit(""))).alias("__r"))
+    def tag(n: int, side: str):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
+
     grams = []
     for n in range(1, max_n + 1):
         for side, c in (("h", "__h"), ("r", "__r")):
-            grams.append(F.transform(char_ngrams(F.col(c), n),
-                                     lambda g, n=n, side=side: F.struct(F.lit(n).alias("n"), g.alias("g"),
-                                                                        F.lit(side).alias("s"))))
+            grams.append(F.transform(char_ngrams(F.col(c), n), tag(n, side)))
     ex = base.select(*by, "__id", F.explode(F.flatten(F.array(*grams))).alias("__x"))
     per_gram = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
         F.sum(F.when(F.col("__x.s") == "h", 1).otherwise(0)).alias("ch"),
@@ -172,19 +173,23 @@ def bertscore_means(scores: DataFrame, by=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E16 / E17
-def win_rate(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
+def win_rate(df: DataFrame, a: str, b: str, by=(), with_means: bool = False) -> DataFrame:
     """Win / tie / lose of ``b`` over ``a`` per paired row (strict ``>``).
 
-    A NaN on either side counts in the total but in none of the three (as
-    NumPy comparisons do); Spark alone would call NaN the largest value and
-    equal to itself.
+    Only rows where both scores are present are pairs (feed a full outer
+    join to get the run means over every row of each side in the same pass
+    with ``with_means``).  A NaN on either side counts in the total but in
+    none of the three (as NumPy comparisons do); Spark alone would call NaN
+    the largest value and equal to itself.
     """
-    ok = ~(F.isnan(F.col(a)) | F.isnan(F.col(b)))
-    win = F.sum(F.when(ok & (F.col(b) > F.col(a)), 1).otherwise(0)).cast("long")
-    tie = F.sum(F.when(ok & (F.col(b) == F.col(a)), 1).otherwise(0)).cast("long")
-    lose = F.sum(F.when(ok & (F.col(b) < F.col(a)), 1).otherwise(0)).cast("long")
-    total = F.count(F.lit(1))
-    aggs = [win.alias("win"), tie.alias("tie"), lose.alias("lose"), total.alias("total")]
+    ca, cb = F.col(a), F.col(b)
+    paired = ca.isNotNull() & cb.isNotNull()
+    ok = paired & ~(F.isnan(ca) | F.isnan(cb))
+    count_if = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+    aggs = [count_if(ok & (cb > ca)).alias("win"), count_if(ok & (cb == ca)).alias("tie"),
+            count_if(ok & (cb < ca)).alias("lose"), count_if(paired).alias("total")]
+    if with_means:
+        aggs += [F.avg(ca).alias(f"mean_{a}"), F.avg(cb).alias(f"mean_{b}")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     return g.select("*", *[(F.col(x) / F.col("total")).alias(f"{x}_rate") for x in ("win", "tie", "lose")])
 

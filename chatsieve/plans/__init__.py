@@ -12,6 +12,7 @@ _MODULES = [
     "chatsieve.plans.building",
     "chatsieve.plans.pairs",
     "chatsieve.plans.sequences",
+    "chatsieve.plans.measures",
 ]
 
 
