@@ -13,6 +13,7 @@ _MODULES = [
     "chatsieve.plans.pairs",
     "chatsieve.plans.sequences",
     "chatsieve.plans.measures",
+    "chatsieve.plans.logs",
 ]
 
 
