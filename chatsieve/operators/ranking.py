@@ -13,8 +13,13 @@ handful of groups) that task becomes the job.  The helpers here instead:
    partition;
 4. add the offset back.
 
-Everything is deterministic given a total order, so a lost task recomputes
-the same numbers.
+The range-partitioned, numbered rows are read by two branches (the rows
+themselves and the per-partition counts).  Spark seeds the range sampler per
+shuffle, so two independently planned exchanges may cut the data at
+different bounds; the numbered rows are therefore written once with a
+reliable ``checkpoint()`` (to the cluster's ``spark.checkpoint.dir``) and both
+branches read that copy.  The checkpoint also cuts the lineage, so a lost
+executor never recomputes a different partitioning.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatsieve.session import ensure_checkpoint_dir
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -33,6 +40,19 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _range_numbered(df: DataFrame, parts: list, orders: list, num_partitions: int | None) -> DataFrame:
+    """Rows range-partitioned by (parts, orders), sorted inside each
+    partition, tagged with the partition id and a position id, written once
+    to the checkpoint directory."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = _num_partitions(df, num_partitions)
+    keyed = (df.repartitionByRange(n, *_cols(parts + orders))
+             .sortWithinPartitions(*_cols(parts + orders))
+             .withColumn("__pid", F.spark_partition_id())
+             .withColumn("__mid", F.monotonically_increasing_id()))
+    return keyed.checkpoint(eager=True)
+
+
 def exact_row_number(df: DataFrame, partition_cols, order_cols, out: str = "row_number",
                      num_partitions: int | None = None, broadcast_offsets: bool = False) -> DataFrame:
     """``row_number()`` over ``partitionBy(partition_cols).orderBy(order_cols)``.
@@ -44,11 +64,7 @@ def exact_row_number(df: DataFrame, partition_cols, order_cols, out: str = "row_
     """
     parts = list(partition_cols)
     orders = list(order_cols)
-    n = _num_partitions(df, num_partitions)
-    keyed = (df.repartitionByRange(n, *_cols(parts + orders))
-             .sortWithinPartitions(*_cols(parts + orders))
-             .withColumn("__pid", F.spark_partition_id())
-             .withColumn("__mid", F.monotonically_increasing_id()))
+    keyed = _range_numbered(df, parts, orders, num_partitions)
     stats = keyed.groupBy("__pid", *parts).agg(
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*parts).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,9 +87,7 @@ def running_max(df: DataFrame, partition_cols, order_cols, value: str, out: str
     """
     parts = list(partition_cols)
     orders = list(order_cols)
-    n = _num_partitions(df, num_partitions)
-    keyed = (df.repartitionByRange(n, *_cols(parts + orders))
-             .withColumn("__pid", F.spark_partition_id()))
+    keyed = _range_numbered(df, parts, orders, num_partitions).drop("__mid")
     local_w = Window.partitionBy("__pid", *parts).orderBy(*_cols(orders)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keyed = keyed.withColumn("__local", F.max(value).over(local_w))
