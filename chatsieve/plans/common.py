@@ -23,8 +23,17 @@ def register(name: str, sql: str | None):
     return deco
 
 
+# Tables whose rows carry long texts: every query does per-row text work on
+# them, so a coarsely stored copy is spread over all cores first.
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        from chatsieve.sources.io import spread_small_input
+        df = spread_small_input(df)
+    return df
 
 
 def flat_groups(c: Column) -> Column:
