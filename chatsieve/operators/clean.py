@@ -220,43 +220,68 @@ def exclude_holdout(df: DataFrame, holdout: DataFrame, c="question", holdout_col
             .join(keys.distinct(), on="__hk", how="left_anti").drop("__hk"))
 
 
+def _anchor_hashes(text: Column, k: int, modulus: int) -> Column:
+    from chatsieve.functions.text import char_ngrams
+    hashed = F.transform(char_ngrams(text, k), lambda g: F.xxhash64(g))
+    if modulus > 1:
+        hashed = F.filter(hashed, lambda h: F.pmod(h, F.lit(modulus)) == 0)
+    return F.array_distinct(hashed)
+
+
+def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -> tuple[DataFrame, DataFrame]:
+    """(confirmed (row, item) pairs, items that drew no anchor)."""
+    row_anchor = rows.select("__rid", F.explode(_anchor_hashes(F.col("__rtext"), k, modulus)).alias("__h"))
+    item_anchor = items.select("__iid", F.explode(_anchor_hashes(F.col("__itext"), k, modulus)).alias("__h"))
+    df_count = row_anchor.groupBy("__h").agg(F.count(F.lit(1)).alias("__df"))
+    with_freq = item_anchor.join(df_count, on="__h", how="left").fillna(0, subset=["__df"])
+    best = with_freq.groupBy("__iid").agg(F.min_by("__h", F.struct("__df", "__h")).alias("__h"))
+    cand = best.join(row_anchor, on="__h", how="inner").select("__iid", "__rid").distinct()
+    confirmed = (cand.join(items, on="__iid").join(rows, on="__rid")
+                 .where(F.contains(F.col("__rtext"), F.col("__itext")))
+                 .select("__rid", "__iid"))
+    return confirmed, items.join(best, on="__iid", how="left_anti")
+
+
 def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,
-                           item_id: str, item_text: str, k: int = 8, modulus: int = 4) -> DataFrame:
+                           item_id: str, item_text: str, k: int = 12, modulus: int = 8,
+                           max_short_items: int = 1_000_000) -> DataFrame:
     """Pairs (row, hold-out item) where the row's text contains the item's text verbatim.
 
     Exact and distributed, without comparing every row with every item:
 
     1. Anchors are character k-grams whose hash is 0 modulo ``modulus``.  The
-       choice depends only on the k-gram's content, so an item anchor occurs
-       in any text containing the item.
-    2. Each item keeps its rarest anchor (fewest rows hold it): the anchor
-       document frequency is a partially aggregated count.
-    3. Rows holding that anchor are candidates; ``contains`` confirms them.
-    4. Items with no anchor (shorter than k or unlucky) are checked with
-       ``contains`` against all rows; they are few and bounded by the item
-       count, and the join is broadcast only when that count is checked small.
+       choice depends only on the k-gram's content, so an item's anchor occurs
+       in any text that contains the item.
+    2. Each item keeps its rarest anchor (fewest rows hold it; the anchor
+       frequency is a partially aggregated count), so candidates per item are
+       bounded by that frequency; ``contains`` confirms each candidate.
+    3. Items of at least k characters that drew no anchor (probability
+       ``(1 - 1/modulus)^(len - k + 1)``) get a second round in which every
+       k-gram is an anchor; it runs only when such items exist.
+    4. Items shorter than k characters cannot be anchored; they are checked
+       with ``contains`` against every row through a broadcast nested-loop
+       join.  Each is under k characters and their number is checked against
+       ``max_short_items`` first, so the broadcast has a proven size bound.
     """
-    def anchors(text: Column) -> Column:
-        from chatsieve.functions.text import char_ngrams
-        grams = char_ngrams(text, k)
-        hashed = F.transform(grams, lambda g: F.xxhash64(g))
-        return F.array_distinct(F.filter(hashed, lambda h: F.pmod(h, F.lit(modulus)) == 0))
-
     rows = df.select(F.col(id_col).alias("__rid"), F.col(text_col).alias("__rtext"))
     items = holdout.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")) \
         .where(F.col("__itext").isNotNull() & (F.char_length("__itext") > 0))
-    row_anchor = rows.select("__rid", F.explode(anchors(F.col("__rtext"))).alias("__h"))
-    item_anchor = items.select("__iid", F.explode_outer(anchors(F.col("__itext"))).alias("__h"))
-    df_count = row_anchor.groupBy("__h").agg(F.count(F.lit(1)).alias("__df"))
-    with_freq = item_anchor.where(F.col("__h").isNotNull()).join(df_count, on="__h", how="left") \
-        .fillna(0, subset=["__df"])
-    best = with_freq.groupBy("__iid").agg(F.min_by("__h", F.struct("__df", "__h")).alias("__h"))
-    cand = best.join(row_anchor, on="__h", how="inner").select("__iid", "__rid").distinct()
-    no_anchor = items.join(best, on="__iid", how="left_anti")
-    confirmed = (cand.join(items, on="__iid").join(rows, on="__rid")
-                 .where(F.contains(F.col("__rtext"), F.col("__itext"))))
-    fallback = rows.join(no_anchor, on=F.contains(F.col("__rtext"), F.col("__itext")), how="inner")
-    out = confirmed.select("__rid", "__iid").unionByName(fallback.select("__rid", "__iid"))
+    long_items = items.where(F.char_length("__itext") >= k)
+    short_items = items.where(F.char_length("__itext") < k)
+
+    found, unanchored = _anchored_matches(rows, long_items, k, modulus)
+    parts = [found]
+    if modulus > 1 and unanchored.limit(1).count() > 0:
+        again, _none = _anchored_matches(rows, unanchored, k, 1)
+        parts.append(again)
+    n_short = short_items.count()
+    if n_short > max_short_items:
+        raise ValueError(f"{n_short} hold-out items are shorter than k={k}; lower k")
+    if n_short:
+        tiny = F.broadcast(short_items)
+        parts.append(rows.join(tiny, on=F.contains(F.col("__rtext"), F.col("__itext")), how="inner")
+                     .select("__rid", "__iid"))
+    out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.select(F.col("__rid").alias(id_col), F.col("__iid").alias(item_id))
 
 

@@ -173,8 +173,9 @@ def q_comparison_table(spark, sf):
     items = S.eval_items(spark, sf).withColumn("forbidden", F.array(*[F.lit(t) for t in S.PASS_FORBIDDEN]))
     rates = rule_pass_rates(items.join(S.two_run_outputs(spark, sf), S.KEY), by=["run"])
     a = sc.where(F.col("run") == "next").select(*S.KEY, F.col("rule_score").alias("a"))
-    b = sc.where(F.col("run") == "later").select(*S.KEY, F.col("rule_score").alias("b"))
-    w = M.win_rate(a.join(b, S.KEY), "a", "b").select(F.lit("later").alias("run"), "win_rate")
+    b = sc.where(F.col("run") == "later").select(*S.KEY, "run", F.col("rule_score").alias("b"))
+    # the run label comes from the data, so the join below stays an equi-join
+    w = M.win_rate(a.join(b, S.KEY), "a", "b", by=["run"]).select("run", "win_rate")
     metrics = quality.join(rates, "run").join(w, "run", "left")
     t = M.comparison_table(metrics, baseline_run="next", bert_f1="avg_rule_score")
     return t.select("run", "metric", r6(F.col("value")).alias("value"))
