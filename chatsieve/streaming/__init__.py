@@ -1,0 +1 @@
+"""Structured Streaming entry points (incremental scoring of prediction files)."""
