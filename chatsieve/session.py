@@ -52,14 +52,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     ``fallback`` or a fresh temporary folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    sc_dir = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - client sessions manage checkpoints server-side
+        return current or ""
+    sc_dir = sc.getCheckpointDir()
     if current:
         if not sc_dir:
-            spark.sparkContext.setCheckpointDir(current)
+            sc.setCheckpointDir(current)
         return current
     if sc_dir:
         return sc_dir
     path = fallback or tempfile.mkdtemp(prefix="chatsieve-ckpt-")
     os.makedirs(path, exist_ok=True)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
