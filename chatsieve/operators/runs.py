@@ -1,20 +1,20 @@
 """Experiment-run tables and training logs (L1-L10, S9-S11 formatting).
 
-A run table has one row per experiment, so the small global windows and
-sorts here run on report-sized data.  Training logs are exploded per record
-and aggregated per (run, series) with partial aggregation; the running peak
-uses the range-partitioned scan of ``ranking.running_max``.
+Ordering and best-run ranks use the range-partitioned numbering of
+``ranking`` (no single-task window even for very large run tables).
+Training logs are exploded per record and aggregated per (run, series) with
+partial aggregation; the running peak uses ``ranking.running_max``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatsieve import defaults as D
 from chatsieve.functions.format import fixed4, py_str
-from chatsieve.operators.ranking import running_max
+from chatsieve.operators.ranking import exact_row_number, running_max
 
 
 def _has_path(schema: T.StructType, path: list[str]) -> bool:
@@ -80,11 +80,15 @@ def rank_key(c="rank") -> Column:
 
 def order_runs(runs: DataFrame, out: str = "order") -> DataFrame:
     """Sort key (quantization, target preset, rank) with the path as final
-    tie-break (files are read in sorted path order), numbered 1..n."""
-    w = Window.orderBy(F.coalesce(F.col("quantization").cast("string"), F.lit("")),
-                       F.coalesce(F.col("target_preset").cast("string"), F.lit("")),
-                       rank_key("rank"), F.col("path"))
-    return runs.withColumn(out, F.row_number().over(w))
+    tie-break (files are read in sorted path order), numbered 1..n.
+
+    The numbering is the range-partitioned ``exact_row_number``, so a run
+    table with very many rows is never sorted in a single task.
+    """
+    keyed = runs.withColumn("__q", F.coalesce(F.col("quantization").cast("string"), F.lit(""))) \
+        .withColumn("__t", F.coalesce(F.col("target_preset").cast("string"), F.lit(""))) \
+        .withColumn("__r", rank_key("rank"))
+    return exact_row_number(keyed, [], ["__q", "__t", "__r", "path"], out).drop("__q", "__t", "__r")
 
 
 # ---------------------------------------------------------------- L4 / S9 / S10
@@ -183,11 +187,14 @@ def running_peak(df: DataFrame, by: list[str], order: list[str], value: str, sca
 # ---------------------------------------------------------------- L9
 def best_runs(metrics: DataFrame, metric_col: str, run_col: str, k: int = 2, ascending: bool = True,
               by=()) -> DataFrame:
-    """The ``k`` best runs per group by a metric (ties by run name).  The
-    input is one row per run (and group), so the window is report-sized."""
+    """The ``k`` best runs per group by a metric (ties by run name).
+
+    Ranks come from the range-partitioned ``exact_row_number``: a group
+    with very many runs is spread over many tasks instead of one window
+    partition."""
     o = F.col(metric_col).asc_nulls_last() if ascending else F.col(metric_col).desc_nulls_last()
-    w = Window.partitionBy(*by).orderBy(o, F.col(run_col))
-    return metrics.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = exact_row_number(metrics, list(by), [o, F.col(run_col)], "rank")
+    return ranked.where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- L10
