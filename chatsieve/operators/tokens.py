@@ -100,11 +100,12 @@ def tokenizer_udf(encode: Callable[[str], list[int]]):
     """Wrap ``encode(text) -> ids`` as an Arrow-batched pandas UDF."""
     import pandas as pd
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _tok(s: pd.Series) -> pd.Series:
+    def _tok(s):
         return s.map(lambda x: None if x is None else list(encode(x)))
 
-    return _tok
+    # real classes, not postponed strings, so Spark can infer the UDF kind
+    _tok.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(_tok, T.ArrayType(T.IntegerType()))
 
 
 def masked_sequence(prompt_ids: Column, answer_ids: Column, max_length: int) -> dict[str, Column]:
