@@ -151,8 +151,9 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42,
     quotas = stratum_quotas(counts.withColumnRenamed(stratum, "__s"), n, "__s", "n", floors) \
         .withColumnRenamed("__s", stratum)
     ranked = exact_row_number(df.withColumn("__h", hash_key(seed, key)), [stratum], ["__h", key], "__rn")
-    # The quota table has one row per stratum: a broadcast of bounded size.
-    return (ranked.join(F.broadcast(quotas), on=stratum, how="inner")
+    # One row per stratum: AQE broadcasts it once its measured size is small,
+    # and keeps a shuffle join otherwise (no unchecked broadcast hint).
+    return (ranked.join(quotas, on=stratum, how="inner")
             .where(F.col("__rn") <= F.col("quota"))
             .drop("__h", "__rn", "quota"))
 
