@@ -228,8 +228,8 @@ def _anchor_hashes(text: Column, k: int, modulus: int) -> Column:
     return F.array_distinct(hashed)
 
 
-def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -> tuple[DataFrame, DataFrame]:
-    """(confirmed (row, item) pairs, items that drew no anchor)."""
+def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -> DataFrame:
+    """Confirmed (row, item) pairs for items that have an anchor."""
     row_anchor = rows.select("__rid", F.explode(_anchor_hashes(F.col("__rtext"), k, modulus)).alias("__h"))
     item_anchor = items.select("__iid", F.explode(_anchor_hashes(F.col("__itext"), k, modulus)).alias("__h"))
     df_count = row_anchor.groupBy("__h").agg(F.count(F.lit(1)).alias("__df"))
@@ -239,7 +239,7 @@ def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -
     confirmed = (cand.join(items, on="__iid").join(rows, on="__rid")
                  .where(F.contains(F.col("__rtext"), F.col("__itext")))
                  .select("__rid", "__iid"))
-    return confirmed, items.join(best, on="__iid", how="left_anti")
+    return confirmed
 
 
 def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,
@@ -269,11 +269,13 @@ def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_
     long_items = items.where(F.char_length("__itext") >= k)
     short_items = items.where(F.char_length("__itext") < k)
 
-    found, unanchored = _anchored_matches(rows, long_items, k, modulus)
-    parts = [found]
-    if modulus > 1 and unanchored.limit(1).count() > 0:
-        again, _none = _anchored_matches(rows, unanchored, k, 1)
-        parts.append(again)
+    parts = [_anchored_matches(rows, long_items, k, modulus)]
+    if modulus > 1:
+        # whether an item has an anchor depends on its own text only: a cheap
+        # check on the hold-out table, not on the rows
+        unanchored = long_items.where(F.size(_anchor_hashes(F.col("__itext"), k, modulus)) == 0)
+        if unanchored.limit(1).count() > 0:
+            parts.append(_anchored_matches(rows, unanchored, k, 1))
     n_short = short_items.count()
     if n_short > max_short_items:
         raise ValueError(f"{n_short} hold-out items are shorter than k={k}; lower k")

@@ -101,6 +101,28 @@ def split_train_eval(df: DataFrame, key: str, eval_fraction: float = 0.1, seed:
     return df.withColumn(out, F.when(h < F.lit(threshold), F.lit("eval")).otherwise(F.lit("train")))
 
 
+def split_train_eval_exact(df: DataFrame, key: str, eval_fraction: float = 0.1, seed: int = 42,
+                           stratum: str | None = None, out: str = "split") -> DataFrame:
+    """Exact split: in each stratum (or overall) the first
+    ``round(fraction x size)`` rows in ``md5(seed|key)`` order are 'eval'.
+
+    Ranks come from ``exact_row_number`` (range-partitioned), sizes from a
+    partially aggregated count, so a large stratum is never one task.
+    """
+    parts = [stratum] if stratum else []
+    hashed = df.withColumn("__h", hash_key(seed, key))
+    ranked = exact_row_number(hashed, parts, ["__h", key], "__rn")
+    if stratum:
+        sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
+        ranked = ranked.join(sizes, on=stratum, how="inner")
+    else:
+        total = df.count()
+        ranked = ranked.withColumn("__size", F.lit(total))
+    n_eval = F.round(F.col("__size") * F.lit(eval_fraction)).cast("long")
+    return ranked.withColumn(out, F.when(F.col("__rn") <= n_eval, F.lit("eval")).otherwise(F.lit("train"))) \
+        .drop("__h", "__rn", "__size")
+
+
 # ---------------------------------------------------------------- C20
 def category_distribution(df: DataFrame, category="category") -> DataFrame:
     """Count and share per category.  The share divides by the total over the

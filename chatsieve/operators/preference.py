@@ -155,9 +155,10 @@ def rejected_defects(rejected, category, min_chars: int = 20, action_terms=(), b
 
 # ---------------------------------------------------------------- D9
 def must_include_groups(spec=None) -> list[list[str]]:
-    """'a/b' means a or b."""
+    """'a/b' and 'a或b' mean a or b."""
+    import re
     spec = spec or D.CHOSEN_MUST_INCLUDE
-    return [[t for t in s.split("/") if t] for s in spec]
+    return [[t for t in re.split("[/或]", s) if t] for s in spec]
 
 
 def chosen_violations(chosen, groups) -> Column:

@@ -102,6 +102,19 @@ SELECT doc_id, CASE WHEN substr({sql_hash('doc_id')}, 1, 4) < '{"%04x" % int(rou
 FROM documents""")(q_split_train_eval)
 
 
+def q_split_exact(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return DS.split_train_eval_exact(docs, "doc_id", EVAL_FRACTION, SEED, stratum="lang")
+
+
+register("split_exact", f"""
+SELECT doc_id, lang,
+  CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {sql_hash('doc_id')}, doc_id)
+            <= CAST(round(count(*) OVER (PARTITION BY lang) * {EVAL_FRACTION}) AS BIGINT)
+       THEN 'eval' ELSE 'train' END AS split
+FROM documents""")(q_split_exact)
+
+
 # ---------------------------------------------------------------- C20
 def q_category_distribution(spark, sf):
     docs = table(spark, sf, "documents").select(DS.classify("text", TEST_SCENES, "other").alias("category"))
