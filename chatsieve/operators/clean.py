@@ -229,17 +229,27 @@ def _anchor_hashes(text: Column, k: int, modulus: int) -> Column:
 
 
 def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -> DataFrame:
-    """Confirmed (row, item) pairs for items that have an anchor."""
-    row_anchor = rows.select("__rid", F.explode(_anchor_hashes(F.col("__rtext"), k, modulus)).alias("__h"))
+    """Confirmed (row, item) pairs for items that have an anchor.
+
+    Row anchors are first cut down to the hashes some item has (a semi-join)
+    and written once with ``checkpoint()``: the anchor frequencies and the
+    candidate join both read that copy, so the regex pass over the rows runs
+    once and a lost executor does not repeat it.
+    """
+    from chatsieve.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
     item_anchor = items.select("__iid", F.explode(_anchor_hashes(F.col("__itext"), k, modulus)).alias("__h"))
+    wanted = item_anchor.select("__h").distinct()
+    row_anchor = (rows.select("__rid", F.explode(_anchor_hashes(F.col("__rtext"), k, modulus)).alias("__h"))
+                  .join(wanted, on="__h", how="left_semi")
+                  .checkpoint(eager=True))
     df_count = row_anchor.groupBy("__h").agg(F.count(F.lit(1)).alias("__df"))
     with_freq = item_anchor.join(df_count, on="__h", how="left").fillna(0, subset=["__df"])
     best = with_freq.groupBy("__iid").agg(F.min_by("__h", F.struct("__df", "__h")).alias("__h"))
     cand = best.join(row_anchor, on="__h", how="inner").select("__iid", "__rid").distinct()
-    confirmed = (cand.join(items, on="__iid").join(rows, on="__rid")
-                 .where(F.contains(F.col("__rtext"), F.col("__itext")))
-                 .select("__rid", "__iid"))
-    return confirmed
+    return (cand.join(items, on="__iid").join(rows, on="__rid")
+            .where(F.contains(F.col("__rtext"), F.col("__itext")))
+            .select("__rid", "__iid"))
 
 
 def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,

@@ -173,25 +173,38 @@ def bertscore_means(scores: DataFrame, by=()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- E16 / E17
-def win_rate(df: DataFrame, a: str, b: str, by=(), with_means: bool = False) -> DataFrame:
-    """Win / tie / lose of ``b`` over ``a`` per paired row (strict ``>``).
+def win_rate_aggs(a: str, b: str) -> list[Column]:
+    """Aggregate expressions win / tie / lose / total of ``b`` over ``a``.
 
-    Only rows where both scores are present are pairs (feed a full outer
-    join to get the run means over every row of each side in the same pass
-    with ``with_means``).  A NaN on either side counts in the total but in
-    none of the three (as NumPy comparisons do); Spark alone would call NaN
-    the largest value and equal to itself.
+    Only rows where both scores are present are pairs.  A NaN on either side
+    counts in the total but in none of the three (as NumPy comparisons do);
+    Spark alone would call NaN the largest value and equal to itself.
     """
     ca, cb = F.col(a), F.col(b)
     paired = ca.isNotNull() & cb.isNotNull()
     ok = paired & ~(F.isnan(ca) | F.isnan(cb))
     count_if = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-    aggs = [count_if(ok & (cb > ca)).alias("win"), count_if(ok & (cb == ca)).alias("tie"),
+    return [count_if(ok & (cb > ca)).alias("win"), count_if(ok & (cb == ca)).alias("tie"),
             count_if(ok & (cb < ca)).alias("lose"), count_if(paired).alias("total")]
+
+
+def win_rates(df: DataFrame) -> DataFrame:
+    """Add win / tie / lose rates to the output of ``win_rate_aggs``."""
+    return df.select("*", *[(F.col(x) / F.col("total")).alias(f"{x}_rate") for x in ("win", "tie", "lose")])
+
+
+def win_rate(df: DataFrame, a: str, b: str, by=(), with_means: bool = False) -> DataFrame:
+    """Win / tie / lose of ``b`` over ``a`` per paired row (strict ``>``).
+
+    Feed one row per item with both runs' scores side by side (e.g. a
+    ``pivot`` on the run); ``with_means`` adds each side's mean over its
+    present values in the same pass.
+    """
+    aggs = win_rate_aggs(a, b)
     if with_means:
-        aggs += [F.avg(ca).alias(f"mean_{a}"), F.avg(cb).alias(f"mean_{b}")]
+        aggs += [F.avg(a).alias(f"mean_{a}"), F.avg(b).alias(f"mean_{b}")]
     g = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    return g.select("*", *[(F.col(x) / F.col("total")).alias(f"{x}_rate") for x in ("win", "tie", "lose")])
+    return win_rates(g)
 
 
 def improvement(before, after) -> dict[str, Column]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chatsieve.operators import metrics as M
 from chatsieve.operators.clean import extract_qa_pairs
 from chatsieve.operators.dataset import classify
-from chatsieve.operators.rules import rule_pass_rates, score_outputs
+from chatsieve.operators.rules import rule_pass_columns, score_columns, score_outputs
 from chatsieve.plans.common import SQL_WS, TEST_CATEGORIES, TEST_SCENES, r6, register, sql_scene_case, table
 from chatsieve.plans import scoring as S
 from chatsieve.plans import sequences as SQ
@@ -138,12 +138,25 @@ def run_scores(spark, sf):
                          key=S.KEY, categories=TEST_CATEGORIES)
 
 
+def runs_side_by_side(spark, sf):
+    """One row per question with both runs' rule score, must-have pass and
+    forbidden hit: one scoring pass and one shuffle (a pivot on the run)."""
+    items = S.eval_items(spark, sf)
+    j = items.join(S.two_run_outputs(spark, sf), S.KEY)
+    sc = score_columns(F.col("output"), F.col("must_have_any"), F.col("forbidden"), F.col("category"),
+                       False, TEST_CATEGORIES)
+    rp = rule_pass_columns(F.col("output"), F.col("must_have_any"),
+                           F.array(*[F.lit(t) for t in S.PASS_FORBIDDEN]))
+    scored = j.select(*S.KEY, "run", sc["rule_score"].alias("rule"),
+                      rp["must_pass"].cast("double").alias("must"), rp["forbidden_hit"].cast("double").alias("forb"))
+    return scored.groupBy(*S.KEY).pivot("run", ["next", "later"]).agg(
+        F.first("rule").alias("rule"), F.first("must").alias("must"), F.first("forb").alias("forb"))
+
+
 def q_win_rate(spark, sf):
-    sc = run_scores(spark, sf)
-    a = sc.where(F.col("run") == "next").select(*S.KEY, F.col("rule_score").alias("a"))
-    b = sc.where(F.col("run") == "later").select(*S.KEY, F.col("rule_score").alias("b"))
-    w = M.win_rate(a.join(b, S.KEY, "full_outer"), "a", "b", with_means=True)
-    imp = M.improvement(F.col("mean_a"), F.col("mean_b"))
+    piv = runs_side_by_side(spark, sf)
+    w = M.win_rate(piv, "next_rule", "later_rule", with_means=True)
+    imp = M.improvement(F.col("mean_next_rule"), F.col("mean_later_rule"))
     return w.select("win", "tie", "lose", "total",
                     *[r6(F.col(c)).alias(c) for c in ("win_rate", "tie_rate", "lose_rate")],
                     r6(imp["abs_improvement"]).alias("abs_improvement"),
@@ -168,16 +181,17 @@ FROM w, m""")(q_win_rate)
 
 # ---------------------------------------------------------------- E18
 def q_comparison_table(spark, sf):
-    sc = run_scores(spark, sf)
-    quality = sc.groupBy("run").agg(F.avg("rule_score").alias("avg_rule_score"))
-    items = S.eval_items(spark, sf).withColumn("forbidden", F.array(*[F.lit(t) for t in S.PASS_FORBIDDEN]))
-    rates = rule_pass_rates(items.join(S.two_run_outputs(spark, sf), S.KEY), by=["run"])
-    a = sc.where(F.col("run") == "next").select(*S.KEY, F.col("rule_score").alias("a"))
-    b = sc.where(F.col("run") == "later").select(*S.KEY, "run", F.col("rule_score").alias("b"))
-    # the run label comes from the data, so the join below stays an equi-join
-    w = M.win_rate(a.join(b, S.KEY), "a", "b", by=["run"]).select("run", "win_rate")
-    metrics = quality.join(rates, "run").join(w, "run", "left")
-    t = M.comparison_table(metrics, baseline_run="next", bert_f1="avg_rule_score")
+    piv = runs_side_by_side(spark, sf)
+    # every figure from one aggregate over the side-by-side table
+    row = M.win_rates(piv.agg(
+        *M.win_rate_aggs("next_rule", "later_rule"),
+        *[F.avg(f"{r}_{m}").alias(f"{r}_{m}") for r in ("next", "later") for m in ("rule", "must", "forb")]))
+    per_run = row.select(F.inline(F.array(*[
+        F.struct(F.lit(r).alias("run"), F.col(f"{r}_rule").alias("avg_rule_score"),
+                 F.col(f"{r}_must").alias("must_have_pass_rate"), F.col(f"{r}_forb").alias("forbidden_hit_rate"),
+                 F.col("win_rate").alias("win_rate"))
+        for r in ("next", "later")])))
+    t = M.comparison_table(per_run, baseline_run="next", bert_f1="avg_rule_score")
     return t.select("run", "metric", r6(F.col("value")).alias("value"))
 
 
