@@ -40,29 +40,36 @@ def union_parts(parts: dict, part_col: str = "part") -> DataFrame:
 
 
 # ---------------------------------------------------------------- C2 / C8
+def _first_ids(df: DataFrame, keys: list, order_col: str) -> DataFrame:
+    """``order_col`` of the first row of every key group, in one aggregate.
+
+    A row with a null key part gets its own id as an extra grouping column,
+    so it forms a group of one (nothing to compare it with) instead of
+    merging with the other null-key rows.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    any_null = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
+    keyed = df.select(F.col(order_col), *[k.alias(n) for k, n in zip(keys, names)],
+                      F.when(any_null, F.col(order_col)).alias("__solo"))
+    return keyed.groupBy(*names, "__solo").agg(F.min(order_col).alias(order_col)).select(order_col)
+
+
 def first_of_duplicates(df: DataFrame, key, order_col: str) -> DataFrame:
     """Rows of ``df`` whose ``order_col`` is the smallest within their ``key`` group.
 
     ``key`` is a Column (or list of Columns) computed from the row; rows
     with a null key are all kept (nothing to compare).  ``order_col`` must be
-    unique (it is the row key).
+    unique (it is the row key).  The per-key minimum is a hash aggregate
+    with map-side partial aggregation, so a group of copies holding a third
+    of all rows is collapsed before the shuffle.
     """
-    keys = key if isinstance(key, (list, tuple)) else [key]
-    keyed = df.select(F.col(order_col), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    firsts = (keyed.groupBy(*[f"__k{i}" for i in range(len(keys))])
-              .agg(F.min(order_col).alias(order_col))
-              .select(order_col))
-    nulls = keyed.where(reduce(lambda a, b: a | b, [F.col(f"__k{i}").isNull() for i in range(len(keys))]))
-    survivors = firsts.unionByName(nulls.select(order_col))
-    return df.join(survivors, on=order_col, how="left_semi")
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    return df.join(_first_ids(df, keys, order_col), on=order_col, how="left_semi")
 
 
 def mark_first_of_duplicates(df: DataFrame, key, order_col: str, out: str = "is_first") -> DataFrame:
-    keys = key if isinstance(key, (list, tuple)) else [key]
-    keyed = df.select(F.col(order_col), *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
-    firsts = (keyed.groupBy(*[f"__k{i}" for i in range(len(keys))])
-              .agg(F.min(order_col).alias(order_col))
-              .select(order_col, F.lit(True).alias(out)))
+    keys = list(key) if isinstance(key, (list, tuple)) else [key]
+    firsts = _first_ids(df, keys, order_col).withColumn(out, F.lit(True))
     return (df.join(firsts, on=order_col, how="left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(False))))
 
