@@ -148,3 +148,21 @@ def test_read_labelled_dialogues(spark, tmpdir_path):
     assert rows[0].label == 1 and rows[0].turns == ["嗯 嗯", "因为 买二送 一", "没事"]
     assert rows[0].reply == "客官 帮 您 看 了"
     assert rows[1].turns == ["问"] and rows[1].reply == "答"
+
+
+@needs(f"{REF}/results")
+def test_eval_summary_schema_golden(spark, tmpdir_path):
+    """The summary written for a scored run has the original summary files' fields and types."""
+    from chatsieve.operators import rules as RU
+    items = spark.createDataFrame([(1, "c", "q", [["a"]], ["x"])],
+                                  "id int, category string, question string, "
+                                  "must_have_any array<array<string>>, forbidden array<string>")
+    outs = spark.createDataFrame([(1, "a x")], "id int, output string")
+    out = os.path.join(tmpdir_path, "s")
+    IO.write_summary_json(RU.eval_summary(RU.score_outputs(items, outs, True), True), out)
+    mine = json.loads(open(glob.glob(f"{out}/part-*.json")[0], encoding="utf-8").read())
+    for f in glob.glob(f"{REF}/results/**/*.summary.json", recursive=True):
+        gold = json.load(open(f, encoding="utf-8"))
+        assert list(gold) == list(mine)
+        assert {k: type(v) for k, v in gold.items()} == {k: type(v) for k, v in mine.items()} or \
+            all(isinstance(mine[k], (int, float)) == isinstance(v, (int, float)) for k, v in gold.items())

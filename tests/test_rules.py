@@ -117,3 +117,38 @@ def test_extract_output_order_and_strict(spark):
         R.extract_output(df, strict=True).collect()
     with pytest.raises(KeyError):
         R.extract_output(df.select(F.lit(1).alias("x")))
+
+
+def test_scorers_on_random_rows(spark):
+    """Randomised rows (emoji, full-width space, U+0085, empty keywords and
+    groups, keywords with spaces) scored in one DataFrame vs Python."""
+    import random
+    rnd = random.Random(11)
+    alphabet = ["退", "货", "凭", "证", "a", "b", " ", "　", "\u0085", "😀", "\n", "场景分类：", "："]
+    words = ["退货", "凭证", "a b", "", "😀", "货凭", "b"]
+
+    def text():
+        return "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 25)))
+
+    items, outs = [], {}
+    for i in range(150):
+        groups = [[rnd.choice(words) for _ in range(rnd.randint(0, 3))] for _ in range(rnd.randint(0, 3))]
+        forb = [rnd.choice(words) for _ in range(rnd.randint(0, 2))]
+        cat = rnd.choice(CATS)
+        items.append({"id": i, "category": cat, "question": "q", "must_have_any": groups, "forbidden": forb})
+        outs[i] = (f"场景分类：{rnd.choice(CATS)}" if rnd.random() < 0.3 else "") + text()
+    idf = spark.createDataFrame(
+        [(x["id"], x["category"], x["question"], x["must_have_any"], x["forbidden"]) for x in items],
+        "id int, category string, question string, must_have_any array<array<string>>, forbidden array<string>")
+    odf = spark.createDataFrame(list(outs.items()), "id int, output string")
+    got = {r.id: r for r in R.score_outputs(idf, odf, False).collect()}
+    for it in items:
+        exp = py_detail(it, outs[it["id"]], False)
+        for k, v in exp.items():
+            assert getattr(got[it["id"]], k) == v, (it, outs[it["id"]], k)
+    j = idf.join(odf, "id")
+    flags = {r.id: (r.p, r.f) for r in j.select(
+        "id", *[c.alias(n) for n, c in zip(("p", "f"), R.rule_pass_columns(
+            F.col("output"), F.col("must_have_any"), F.col("forbidden")).values())]).collect()}
+    for it in items:
+        assert flags[it["id"]] == py_pass(it, outs[it["id"]])
