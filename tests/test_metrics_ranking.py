@@ -209,3 +209,22 @@ def test_sample_rows_all_or_prefix(spark):
     a = [r.k for r in DS.sample_rows(df, 10, "k", seed=3).collect()]
     b = [r.k for r in DS.sample_rows(df, 10, "k", seed=3).collect()]
     assert a == b and len(set(a)) == 10
+
+
+SF01 = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SF01), reason="sf0.01 not available")
+def test_bleu_counts_equal_independent_probe(spark):
+    """Counts over the 135 answer pairs (next vs later answer) at sf0.01 equal
+    the figures computed independently with plain Python and DuckDB."""
+    conv = spark.read.parquet(f"{SF01}/conversations.parquet")
+    u = conv.where("role = 'user'").select("conv_id", "turn")
+    nxt = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("h"))
+    later = conv.where("role = 'assistant'").select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("r"))
+    j = u.join(nxt, ["conv_id", "turn"]).join(later, ["conv_id", "turn"]) \
+        .withColumn("rid", F.col("conv_id") * 1000 + F.col("turn"))
+    c = M.bleu_counts(j, "h", "r", "rid").collect()[0]
+    assert c.num_rows == 135
+    assert [c.num1, c.num2, c.num3, c.num4] == [69671, 61192, 45282, 24770]
+    assert [c.den1, c.den2, c.den3, c.den4] == [103233, 103098, 102963, 102828]
