@@ -49,16 +49,27 @@ def q_char_bleu(spark, sf):
                     r6(F.col("bleu")).alias("bleu"))
 
 
-def _sql_bleu() -> str:
+SQL_QA_BLEU = f"""qa AS (
+  SELECT q.conv_id * 1000 + q.turn AS row_id, {sql_scene_case('q.text')} AS category,
+         regexp_replace(a.text, '{SQL_WS}+', '', 'g') AS h, regexp_replace(q.text, '{SQL_WS}+', '', 'g') AS r
+  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+  WHERE q.role = 'user' AND a.role = 'assistant')"""
+
+SQL_RUNS_BLEU = f"""qa AS (
+  SELECT q.conv_id * 1000 + q.turn AS row_id, 'all' AS category,
+         regexp_replace(a.text, '{SQL_WS}+', '', 'g') AS h, regexp_replace(b.text, '{SQL_WS}+', '', 'g') AS r
+  FROM conversations q
+  JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+  JOIN conversations b ON b.conv_id = q.conv_id AND b.turn = q.turn + 3 AND b.role = 'assistant'
+  WHERE q.role = 'user')"""
+
+
+def _sql_bleu(qa_cte: str = SQL_QA_BLEU) -> str:
     p = [f"CASE WHEN num{n} > 0 THEN num{n} / den{n} WHEN hyp_len > 1 THEN "
          f"pow(5.0 / ln(hyp_len), {' + '.join(f'CAST(num{m} = 0 AS INTEGER)' for m in range(1, n + 1))}) / den{n} END"
          for n in range(1, 5)]
     bad = " OR ".join(f"coalesce(p{n}, 0) <= 0" for n in range(1, 5))
-    return f"""WITH qa AS (
-  SELECT q.conv_id * 1000 + q.turn AS row_id, {sql_scene_case('q.text')} AS category,
-         regexp_replace(a.text, '{SQL_WS}+', '', 'g') AS h, regexp_replace(q.text, '{SQL_WS}+', '', 'g') AS r
-  FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-  WHERE q.role = 'user' AND a.role = 'assistant'),
+    return f"""WITH {qa_cte},
 grams AS (
   SELECT category, row_id, n, 'h' AS side, unnest(list_transform(range(1, length(h) - n + 2), lambda i: substring(h, i, n))) AS g
   FROM qa, (VALUES (1), (2), (3), (4)) t(n)
@@ -90,6 +101,25 @@ FROM pp"""
 register("char_bleu", _sql_bleu())(q_char_bleu)
 
 
+def q_char_bleu_runs(spark, sf):
+    """Corpus BLEU of one answer run against another (hypothesis: the next
+    answer, reference: the answer two turns later), as when a tuned model's
+    outputs are scored against reference answers."""
+    conv = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    hyp = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
+    ref = conv.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("ref"))
+    users = table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn")
+    pairs = users.join(hyp, ["conv_id", "turn"]).join(ref, ["conv_id", "turn"]) \
+        .withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("category", F.lit("all"))
+    b = M.corpus_char_bleu(pairs, "hyp", "ref", "row_id", by=["category"])
+    return b.select("category", "num_rows", "hyp_len", "ref_len",
+                    *[f"num{n}" for n in range(1, 5)], *[f"den{n}" for n in range(1, 5)],
+                    r6(F.col("bleu")).alias("bleu"))
+
+
+register("char_bleu_runs", _sql_bleu(SQL_RUNS_BLEU))(q_char_bleu_runs)
+
+
 # ---------------------------------------------------------------- E15
 def token_table(spark, sf):
     emb = table(spark, sf, "embeddings")
