@@ -59,12 +59,20 @@ def first_of_duplicates(df: DataFrame, key, order_col: str) -> DataFrame:
 
     ``key`` is a Column (or list of Columns) computed from the row; rows
     with a null key are all kept (nothing to compare).  ``order_col`` must be
-    unique (it is the row key).  The per-key minimum is a hash aggregate
-    with map-side partial aggregation, so a group of copies holding a third
-    of all rows is collapsed before the shuffle.
+    unique (it is the row key).  One scan and one shuffle: the whole row is
+    carried by ``min_by(row, order_col)`` per key, and map-side partial
+    aggregation collapses a group of copies holding a third of all rows
+    before the shuffle.
     """
     keys = list(key) if isinstance(key, (list, tuple)) else [key]
-    return df.join(_first_ids(df, keys, order_col), on=order_col, how="left_semi")
+    names = [f"__k{i}" for i in range(len(keys))]
+    any_null = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
+    keyed = df.select(*[k.alias(n) for k, n in zip(keys, names)],
+                      F.when(any_null, F.col(order_col)).alias("__solo"),
+                      F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
+                      F.col(order_col).alias("__o"))
+    firsts = keyed.groupBy(*names, "__solo").agg(F.min_by("__row", "__o").alias("__row"))
+    return firsts.select("__row.*")
 
 
 def mark_first_of_duplicates(df: DataFrame, key, order_col: str, out: str = "is_first") -> DataFrame:

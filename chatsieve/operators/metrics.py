@@ -62,15 +62,19 @@ def char_tokens(text) -> Column:
 
 # ---------------------------------------------------------------- E14
 def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: int = 4) -> DataFrame:
-    """Per corpus and n: clipped matches, denominators, hypothesis and reference length."""
+    """Per corpus: clipped matches and denominators per order n, hypothesis
+    and reference length, row count.
+
+    Clipped matches come from one ``groupBy(corpus, row, n, gram)`` over both
+    sides' exploded n-grams; denominators and lengths are row arithmetic.
+    The two kinds of contribution are unioned and summed in one final
+    aggregate (no join, so a single corpus needs no key).
+    """
     by = list(by)
-    single = not by
-    if single:
-        df = df.withColumn("__corpus", F.lit(1))
-        by = ["__corpus"]
     base = df.select(*by, F.col(row_id).alias("__id"),
                      strip_ws(F.coalesce(_col(hyp), F.lit(""))).alias("__h"),
                      strip_ws(F.coalesce(_col(ref), F.lit(""))).alias("__r"))
+
     def tag(n: int, side: str):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
 
@@ -82,18 +86,21 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     per_gram = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
         F.sum(F.when(F.col("__x.s") == "h", 1).otherwise(0)).alias("ch"),
         F.sum(F.when(F.col("__x.s") == "r", 1).otherwise(0)).alias("cr"))
-    num = per_gram.groupBy(*by).pivot("n", list(range(1, max_n + 1))).agg(
-        F.sum(F.least("ch", "cr")).cast("long"))
-    num = num.select(*by, *[F.coalesce(F.col(str(n)), F.lit(0)).cast("long").alias(f"num{n}")
-                            for n in range(1, max_n + 1)])
-    lens = base.select(*by, F.char_length("__h").alias("hl"), F.char_length("__r").alias("rl"))
-    dens = lens.groupBy(*by).agg(
-        F.sum("hl").cast("long").alias("hyp_len"), F.sum("rl").cast("long").alias("ref_len"),
-        F.count(F.lit(1)).alias("num_rows"),
-        *[F.sum(F.greatest(F.lit(1), F.col("hl") - n + 1)).cast("long").alias(f"den{n}")
-          for n in range(1, max_n + 1)])
-    out = dens.join(num, on=by, how="left").na.fill(0, subset=[f"num{n}" for n in range(1, max_n + 1)])
-    return out.drop("__corpus") if single else out
+    zero = F.lit(0).cast("long")
+    nums = [f"num{n}" for n in range(1, max_n + 1)]
+    dens = [f"den{n}" for n in range(1, max_n + 1)]
+    extra = ["hyp_len", "ref_len", "num_rows"]
+    clip = F.least("ch", "cr").cast("long")
+    matches = per_gram.select(*by, *[F.when(F.col("n") == n, clip).otherwise(zero).alias(f"num{n}")
+                                     for n in range(1, max_n + 1)],
+                              *[zero.alias(c) for c in dens + extra])
+    hl, rl = F.char_length("__h").cast("long"), F.char_length("__r").cast("long")
+    rows = base.select(*by, *[zero.alias(c) for c in nums],
+                       *[F.greatest(F.lit(1).cast("long"), hl - n + 1).alias(f"den{n}") for n in range(1, max_n + 1)],
+                       hl.alias("hyp_len"), rl.alias("ref_len"), F.lit(1).cast("long").alias("num_rows"))
+    both = matches.unionByName(rows)
+    aggs = [F.sum(c).cast("long").alias(c) for c in extra + dens + nums]
+    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
 
 
 def bleu_from_counts(counts: DataFrame, max_n: int = 4, k: float = 5.0) -> Column:

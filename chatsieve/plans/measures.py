@@ -110,9 +110,9 @@ def q_char_bleu_runs(spark, sf):
     ref = conv.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("ref"))
     users = table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn")
     pairs = users.join(hyp, ["conv_id", "turn"]).join(ref, ["conv_id", "turn"]) \
-        .withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn")).withColumn("category", F.lit("all"))
-    b = M.corpus_char_bleu(pairs, "hyp", "ref", "row_id", by=["category"])
-    return b.select("category", "num_rows", "hyp_len", "ref_len",
+        .withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
+    b = M.corpus_char_bleu(pairs, "hyp", "ref", "row_id")
+    return b.select(F.lit("all").alias("category"), "num_rows", "hyp_len", "ref_len",
                     *[f"num{n}" for n in range(1, 5)], *[f"den{n}" for n in range(1, 5)],
                     r6(F.col("bleu")).alias("bleu"))
 
