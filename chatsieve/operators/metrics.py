@@ -65,10 +65,12 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     """Per corpus: clipped matches and denominators per order n, hypothesis
     and reference length, row count.
 
-    Clipped matches come from one ``groupBy(corpus, row, n, gram)`` over both
-    sides' exploded n-grams; denominators and lengths are row arithmetic.
-    The two kinds of contribution are unioned and summed in one final
-    aggregate (no join, so a single corpus needs no key).
+    One pass over the input: each row's n-grams of both sides are exploded
+    together with one sentinel element (n = 0) that carries the row's
+    lengths; a ``groupBy(corpus, row, n, gram)`` (map-side partial
+    aggregation, row id in the key so no hot key) counts each gram per side,
+    and one final aggregate sums clipped matches, denominators and lengths.
+    No join, so a single corpus needs no key.
     """
     by = list(by)
     base = df.select(*by, F.col(row_id).alias("__id"),
@@ -78,29 +80,26 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     def tag(n: int, side: str):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
 
-    grams = []
+    elems = [F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("g"), F.lit("len").alias("s")))]
     for n in range(1, max_n + 1):
         for side, c in (("h", "__h"), ("r", "__r")):
-            grams.append(F.transform(char_ngrams(F.col(c), n), tag(n, side)))
-    ex = base.select(*by, "__id", F.explode(F.flatten(F.array(*grams))).alias("__x"))
-    per_gram = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
+            elems.append(F.transform(char_ngrams(F.col(c), n), tag(n, side)))
+    ex = base.select(*by, "__id", F.char_length("__h").cast("long").alias("__hl"),
+                     F.char_length("__r").cast("long").alias("__rl"),
+                     F.explode(F.flatten(F.array(*elems))).alias("__x"))
+    per = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
         F.sum(F.when(F.col("__x.s") == "h", 1).otherwise(0)).alias("ch"),
-        F.sum(F.when(F.col("__x.s") == "r", 1).otherwise(0)).alias("cr"))
-    zero = F.lit(0).cast("long")
-    nums = [f"num{n}" for n in range(1, max_n + 1)]
-    dens = [f"den{n}" for n in range(1, max_n + 1)]
-    extra = ["hyp_len", "ref_len", "num_rows"]
-    clip = F.least("ch", "cr").cast("long")
-    matches = per_gram.select(*by, *[F.when(F.col("n") == n, clip).otherwise(zero).alias(f"num{n}")
-                                     for n in range(1, max_n + 1)],
-                              *[zero.alias(c) for c in dens + extra])
-    hl, rl = F.char_length("__h").cast("long"), F.char_length("__r").cast("long")
-    rows = base.select(*by, *[zero.alias(c) for c in nums],
-                       *[F.greatest(F.lit(1).cast("long"), hl - n + 1).alias(f"den{n}") for n in range(1, max_n + 1)],
-                       hl.alias("hyp_len"), rl.alias("ref_len"), F.lit(1).cast("long").alias("num_rows"))
-    both = matches.unionByName(rows)
-    aggs = [F.sum(c).cast("long").alias(c) for c in extra + dens + nums]
-    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
+        F.sum(F.when(F.col("__x.s") == "r", 1).otherwise(0)).alias("cr"),
+        F.max("__hl").alias("hl"), F.max("__rl").alias("rl"))
+    is_len = F.col("n") == 0
+    lsum = lambda c: F.coalesce(F.sum(F.when(is_len, c)), F.lit(0)).cast("long")
+    aggs = [lsum(F.col("hl")).alias("hyp_len"), lsum(F.col("rl")).alias("ref_len"),
+            lsum(F.lit(1)).alias("num_rows")]
+    aggs += [lsum(F.greatest(F.lit(1).cast("long"), F.col("hl") - n + 1)).alias(f"den{n}")
+             for n in range(1, max_n + 1)]
+    aggs += [F.coalesce(F.sum(F.when(F.col("n") == n, F.least("ch", "cr"))), F.lit(0)).cast("long")
+             .alias(f"num{n}") for n in range(1, max_n + 1)]
+    return per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
 
 
 def bleu_from_counts(counts: DataFrame, max_n: int = 4, k: float = 5.0) -> Column:
@@ -162,11 +161,19 @@ def bertscore(tokens: DataFrame, sid: str = "sid", side: str = "side", tok: str
                                              F.col("nv").alias("rn"), F.col("w").alias("rw"))
     cos = _dot(F.col("cv").cast("array<double>"), F.col("rv").cast("array<double>")) / (F.col("cn") * F.col("rn"))
     sims = c.join(r, on="sid", how="inner").select("sid", "ct", "rt", "cw", "rw", cos.alias("cos"))
-    p = sims.groupBy("sid", "ct").agg(F.max("cos").alias("m"), F.first("cw").alias("w")) \
-        .groupBy("sid").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("precision"))
-    rc = sims.groupBy("sid", "rt").agg(F.max("cos").alias("m"), F.first("rw").alias("w")) \
-        .groupBy("sid").agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("recall"))
-    out = p.join(rc, "sid")
+    # Best match per candidate token and per reference token from one
+    # grouping-sets aggregate over the similarity rows (one pass, not two).
+    best = sims.groupingSets([[F.col("sid"), F.col("ct")], [F.col("sid"), F.col("rt")]],
+                             F.col("sid"), F.col("ct"), F.col("rt")).agg(
+        F.grouping_id().alias("__gid"), F.max("cos").alias("m"),
+        F.first("cw").alias("cw"), F.first("rw").alias("rw"))
+    cand_side = F.col("__gid") == 1   # (sid, ct): rt aggregated away
+    ref_side = F.col("__gid") == 2    # (sid, rt): ct aggregated away
+    out = best.groupBy("sid").agg(
+        (F.sum(F.when(cand_side, F.col("m") * F.col("cw"))) / F.sum(F.when(cand_side, F.col("cw"))))
+        .alias("precision"),
+        (F.sum(F.when(ref_side, F.col("m") * F.col("rw"))) / F.sum(F.when(ref_side, F.col("rw"))))
+        .alias("recall"))
     f1 = F.when((F.col("precision") + F.col("recall")) != 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
         .otherwise(F.lit(0.0))

@@ -144,8 +144,19 @@ register("eval_summary", SQL_EVAL_SUMMARY)(q_eval_summary)
 
 # ---------------------------------------------------------------- E10
 def two_run_outputs(spark, sf) -> DataFrame:
-    """Run 'next' answers with the following assistant turn, run 'later' with the one after."""
-    return eval_outputs(spark, sf, 1, "next").unionByName(eval_outputs(spark, sf, 3, "later"))
+    """Run 'next' answers with the following assistant turn, run 'later' with the one after.
+
+    One scan: every assistant turn is emitted under both offsets by an in-row
+    explode (not a union of two scans)."""
+    conv = table(spark, sf, "conversations")
+    a = conv.where(F.col("role") == "assistant").select(
+        "conv_id", "text",
+        F.explode(F.array(
+            F.struct(F.lit("next").alias("run"), (F.col("turn") - 1).alias("turn")),
+            F.struct(F.lit("later").alias("run"), (F.col("turn") - 3).alias("turn")))).alias("__r"))
+    return a.select("conv_id", F.col("__r.turn").alias("turn"),
+                    compose_answer(classify("text", TEST_SCENES, "other"), F.col("text")).alias("output"),
+                    F.col("__r.run").alias("run"))
 
 
 def q_eval_summary_by_scene(spark, sf):
