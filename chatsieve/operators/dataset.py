@@ -69,17 +69,24 @@ def variants(df: DataFrame, eff: Column, score: Column, tie_key: str, specs: lis
 
     ``specs``: ``[{"name": "strict20_all", "min_chars": 20},
     {"name": "strict20_top", "min_chars": 20, "top_k": 5800}, ...]``.
-    Returns the rows tagged with ``variant`` (a row can be in several).
+    Returns ``(tie_key, variant)`` rows (a row can be in several variants);
+    join back on ``tie_key`` for the full rows.
+
+    The texts are read once: effective length and score go into a narrow
+    ``(key, eff, score)`` table written with ``checkpoint()``, and every
+    variant (a filter, or a filter plus a global top-k) reads that copy.
     """
-    scored = df.withColumn("__eff", eff).withColumn("__score", score)
+    from chatsieve.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    narrow = df.select(F.col(tie_key), eff.alias("__eff"), score.alias("__score")).checkpoint(eager=True)
     out = None
     for spec in specs:
-        v = scored.where(F.col("__eff") >= spec["min_chars"])
+        v = narrow.where(F.col("__eff") >= spec["min_chars"])
         if spec.get("top_k"):
             v = quality_top_k(v, "__score", spec["top_k"], tie_key)
-        v = v.withColumn("variant", F.lit(spec["name"]))
+        v = v.select(F.col(tie_key), F.lit(spec["name"]).alias("variant"))
         out = v if out is None else out.unionByName(v)
-    return out.drop("__eff", "__score")
+    return out
 
 
 # ---------------------------------------------------------------- C19
