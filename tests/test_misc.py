@@ -71,3 +71,27 @@ def test_classify_rule_order(spark):
     df = spark.createDataFrame([("物流 退货",), ("nothing",)], "t string")
     got = [r.c for r in df.select(DS.classify("t", [("退换货场景", ["退货"]), ("物流查询场景", ["物流"])]).alias("c")).collect()]
     assert got == ["退换货场景", "其他咨询场景"]
+
+
+def test_pair_stats_maps(spark):
+    from chatsieve.operators import preference as P
+    df = spark.createDataFrame([("a", "infer", "high"), ("a", "given", "low"), ("b", "infer", "high")],
+                               "category string, prompt_type string, risk_level string")
+    maps = {r.dimension: r.counts for r in P.pair_stats_maps(P.pair_stats(df)).collect()}
+    assert maps == {"category": {"a": 2, "b": 1}, "prompt_type": {"infer": 2, "given": 1},
+                    "risk_level": {"high": 2, "low": 1}}
+
+
+def test_split_exact_without_strata(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    s = DS.split_train_eval_exact(df, "k", 0.1, seed=3)
+    counts = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    assert counts == {"eval": 100, "train": 900}
+
+
+def test_augment_keeps_provenance(spark):
+    base = spark.createDataFrame([("q", "a")], "question string, answer string")
+    tpl = spark.createDataFrame([("x", "问{slot}", "答{slot}")], "k string, question_template string, answer_template string")
+    slots = spark.createDataFrame([("x", "一"), ("x", "二"), ("y", "三")], "k string, slot string")
+    rows = sorted(tuple(r) for r in DS.augment(base, tpl, slots, on="k").collect())
+    assert rows == [("q", "a", "raw_cleaned"), ("问一", "答一", "rule_augmented"), ("问二", "答二", "rule_augmented")]
