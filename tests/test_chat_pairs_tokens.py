@@ -11,39 +11,35 @@ MSG_T = "array<struct<role:string,content:string>>"
 
 
 def py_render(messages, gen=False, thinking=True):
-    """Plain-Python statement of the chat layout (system/user/assistant/tool)."""
-    n = len(messages)
-    lqi = n - 1
-    for i in range(n - 1, -1, -1):
-        m = messages[i]
+    """Independent statement of the chat layout (system/user/assistant/tool)."""
+    def is_query(m):
         c = m["content"] or ""
-        if m["role"] == "user" and not (c.startswith("<tool_response>") and c.endswith("</tool_response>")):
-            lqi = i
-            break
-    out = []
+        return m["role"] == "user" and not (c.startswith("<tool_response>") and c.endswith("</tool_response>"))
+
+    queries = [i for i, m in enumerate(messages) if is_query(m)]
+    last_query = queries[-1] if queries else len(messages) - 1
+    parts = []
     for i, m in enumerate(messages):
-        c = m["content"] or ""
-        if m["role"] in ("user", "system"):
-            out.append(f"<|im_start|>{m['role']}\n{c}<|im_end|>\n")
-        elif m["role"] == "assistant":
-            reasoning = ""
+        role, c = m["role"], m["content"] or ""
+        prev_tool = i > 0 and messages[i - 1]["role"] == "tool"
+        next_tool = i + 1 < len(messages) and messages[i + 1]["role"] == "tool"
+        if role in ("user", "system"):
+            parts.append("<|im_start|>" + role + "\n" + c + "<|im_end|>\n")
+        elif role == "assistant":
+            thought = ""
             if "</think>" in c:
-                reasoning = c.split("</think>")[0].rstrip("\n").split("<think>")[-1].lstrip("\n")
-                c = c.split("</think>")[-1].lstrip("\n")
-            if i > lqi and (i == n - 1 or reasoning):
-                out.append(f"<|im_start|>assistant\n<think>\n{reasoning.strip(chr(10))}\n</think>\n\n{c.lstrip(chr(10))}")
-            else:
-                out.append(f"<|im_start|>assistant\n{c}")
-            out.append("<|im_end|>\n")
-        elif m["role"] == "tool":
-            if i == 0 or messages[i - 1]["role"] != "tool":
-                out.append("<|im_start|>user")
-            out.append(f"\n<tool_response>\n{c}\n</tool_response>")
-            if i == n - 1 or messages[i + 1]["role"] != "tool":
-                out.append("<|im_end|>\n")
+                before_first_close = c.partition("</think>")[0]
+                thought = before_first_close.rstrip("\n").rpartition("<think>")[2].lstrip("\n")
+                c = c.rpartition("</think>")[2].lstrip("\n")
+            think = i > last_query and (i == len(messages) - 1 or thought != "")
+            body = ("<think>\n" + thought.strip("\n") + "\n</think>\n\n" + c.lstrip("\n")) if think else c
+            parts.append("<|im_start|>assistant\n" + body + "<|im_end|>\n")
+        elif role == "tool":
+            parts.append(("" if prev_tool else "<|im_start|>user") + "\n<tool_response>\n" + c
+                         + "\n</tool_response>" + ("" if next_tool else "<|im_end|>\n"))
     if gen:
-        out.append("<|im_start|>assistant\n" + ("" if thinking else "<think>\n\n</think>\n\n"))
-    return "".join(out)
+        parts.append("<|im_start|>assistant\n" + ("" if thinking else "<think>\n\n</think>\n\n"))
+    return "".join(parts)
 
 
 def M(role, content):

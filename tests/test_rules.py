@@ -10,38 +10,41 @@ CATS = D.CATEGORIES
 
 
 def py_extract_category(text):
-    m = re.search(r"场景分类[:：]\s*([^\n\r]+)", text)
-    if not m:
-        return ""
-    raw = m.group(1).strip()
-    for c in CATS:
-        if c in raw:
-            return c
-    return raw[:20]
+    """Category named after the first label that has text after it: skip
+    whitespace (newlines too), take the rest of that line, trim it; the first
+    known category inside wins, else its first 20 characters."""
+    for label in re.finditer("场景分类[:：]", text):
+        rest = text[label.end():].lstrip()
+        if rest:
+            line = re.split("[\n\r]", rest, maxsplit=1)[0].strip()
+            known = [c for c in CATS if c in line]
+            return known[0] if known else line[:20]
+    return ""
 
 
 def py_detail(item, output, gold_mode):
-    norm = re.sub(r"\s+", "", output)
+    compact = "".join(output.split())
     groups = item.get("must_have_any") or []
-    hit, missed = 0, []
-    for g in groups:
-        if any(t and t in norm for t in (g or [])):
-            hit += 1
-        else:
-            missed.append(g)
-    forb = [t for t in (item.get("forbidden") or []) if t and t in norm]
+
+    def hit(group):
+        return any(term in compact for term in (group or []) if term)
+
+    missed = [g for g in groups if not hit(g)]
+    hits = len(groups) - len(missed)
+    forb = [term for term in (item.get("forbidden") or []) if term and term in compact]
     pred = py_extract_category(output)
     return {"pred_category": pred,
             "category_correct": None if gold_mode else int(pred == item["category"]),
-            "must_hit_count": hit, "must_total": len(groups), "rule_score": hit / max(1, len(groups)),
-            "missed_groups": missed, "forbidden_hits": forb, "risky": int(bool(forb))}
+            "must_hit_count": hits, "must_total": len(groups),
+            "rule_score": hits / len(groups) if groups else 0.0,
+            "missed_groups": missed, "forbidden_hits": forb, "risky": 1 if forb else 0}
 
 
 def py_pass(item, output):
     groups = item.get("must_have_any") or []
-    ok = all(any(k in output for k in g) for g in groups) if groups else True
-    bad = any(k in output for k in (item.get("forbidden") or []))
-    return ok, bad
+    failing = [g for g in groups if not [k for k in g if k in output]]
+    flagged = [k for k in (item.get("forbidden") or []) if k in output]
+    return not failing, bool(flagged)
 
 
 ITEMS = [
