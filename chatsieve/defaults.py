@@ -80,6 +80,21 @@ RUN_TABLE_MD_HEADER = [
     "|---|---:|---:|---:|---:|---:|---:|---:|---:|",
 ]
 RANK_FALLBACK = 999
+# Run-table column -> path in a run summary (same order as RUN_TABLE_COLUMNS,
+# without the trailing path column).
+RUN_FIELDS = [
+    ("experiment", ["experiment"]), ("target_preset", ["target_preset"]),
+    ("target_modules", ["target_modules"]), ("quantization", ["quantization"]), ("dtype", ["dtype"]),
+    ("rank", ["rank"]), ("lora_alpha", ["lora_alpha"]), ("learning_rate", ["learning_rate"]),
+    ("epochs", ["num_train_epochs"]), ("max_steps", ["max_steps"]), ("train_samples", ["train_samples"]),
+    ("eval_samples", ["eval_samples"]), ("eval_loss", ["eval_metrics", "eval_loss"]),
+    ("eval_mean_token_accuracy", ["eval_metrics", "eval_mean_token_accuracy"]),
+    ("train_runtime_seconds", ["train_runtime_seconds"]),
+    ("max_memory_allocated_gb", ["max_memory_allocated_gb"]),
+    ("max_memory_reserved_gb", ["max_memory_reserved_gb"]),
+]
+# Preference-training series in a trainer log.
+REWARD_METRICS = ["rewards/accuracies", "rewards/margins", "rewards/chosen", "rewards/rejected"]
 
 # Comparison-table metric labels; the baseline run's win rate is 0.5.
 COMPARISON_LABELS = ["BERTScore F1", "Must-have Pass", "1 - Forbidden Hit", "Win Rate"]

@@ -43,24 +43,13 @@ def get_json_path(c, path: list[str], default: str | None = None) -> Column:
 
 
 # ---------------------------------------------------------------- L2
-RUN_FIELDS = [
-    ("experiment", ["experiment"]), ("target_preset", ["target_preset"]),
-    ("target_modules", ["target_modules"]), ("quantization", ["quantization"]), ("dtype", ["dtype"]),
-    ("rank", ["rank"]), ("lora_alpha", ["lora_alpha"]), ("learning_rate", ["learning_rate"]),
-    ("epochs", ["num_train_epochs"]), ("max_steps", ["max_steps"]), ("train_samples", ["train_samples"]),
-    ("eval_samples", ["eval_samples"]), ("eval_loss", ["eval_metrics", "eval_loss"]),
-    ("eval_mean_token_accuracy", ["eval_metrics", "eval_mean_token_accuracy"]),
-    ("train_runtime_seconds", ["train_runtime_seconds"]),
-    ("max_memory_allocated_gb", ["max_memory_allocated_gb"]),
-    ("max_memory_reserved_gb", ["max_memory_reserved_gb"]),
-]
 
 
 def run_table(summaries: DataFrame, dir_col: str = "run_dir", dir_name_col: str = "run_name") -> DataFrame:
     """The 18-column run table: typed values (null when absent), the module
     list joined by commas, the run name falling back to the directory name."""
     cols = []
-    for name, path in RUN_FIELDS:
+    for name, path in D.RUN_FIELDS:
         v = get_nested(summaries, path)
         if name == "experiment":
             v = F.coalesce(v, F.col(dir_name_col))
@@ -126,7 +115,10 @@ def side_by_side_markdown(pairs: DataFrame, id_col: str = "id", title: str = D.S
     Writing the blocks in order, each followed by a newline, reproduces the
     report file.
     """
-    item_head = F.concat(F.lit("## 样本 "), F.col(id_col).cast("string"), F.lit("："), F.col("category"))
+    before_id, after_id = D.SIDE_BY_SIDE_ITEM.split("{id}")
+    between, after_cat = after_id.split("{category}")
+    item_head = F.concat(F.lit(before_id), F.col(id_col).cast("string"), F.lit(between), F.col("category"),
+                         F.lit(after_cat))
     block = F.concat(item_head, F.lit("\n\n" + D.SIDE_BY_SIDE_QUESTION + "\n\n"), F.col("question"),
                      F.lit("\n\n" + D.SIDE_BY_SIDE_BASE + "\n\n"), F.col("base_answer"),
                      F.lit("\n\n" + D.SIDE_BY_SIDE_CANDIDATE + "\n\n"), F.col("lora_answer"),
@@ -169,11 +161,8 @@ def log_stats(series: DataFrame, by=("run", "series"), order: str = "pos") -> Da
         F.min("value").alias("min"))
 
 
-REWARD_METRICS = ["rewards/accuracies", "rewards/margins", "rewards/chosen", "rewards/rejected"]
-
-
 def reward_series(records: DataFrame, step: str = "step", keep=("run",)) -> DataFrame:
-    return log_series(records, REWARD_METRICS, step, keep)
+    return log_series(records, D.REWARD_METRICS, step, keep)
 
 
 # ---------------------------------------------------------------- L8
