@@ -83,7 +83,8 @@ def q_qa_pairs(spark, sf):
 
 
 register("qa_pairs", """
-SELECT q.conv_id, q.turn, length(q.text) AS q_len, length(a.text) AS a_len, md5(a.text) AS a_md5
+SELECT q.conv_id, q.turn, CAST(length(q.text) AS INTEGER) AS q_len, CAST(length(a.text) AS INTEGER) AS a_len,
+       md5(a.text) AS a_md5
 FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
 WHERE q.role = 'user' AND a.role = 'assistant'""")(q_qa_pairs)
 
@@ -100,8 +101,8 @@ register("normalize_text", f"""
 SELECT conv_id, turn,
   md5(regexp_replace(regexp_replace(text, '(\\p{{Han}})[ \\t]+(\\p{{Han}})', '\\1\\2', 'g'),
                      '(\\p{{Han}})[ \\t]+(\\p{{Han}})', '\\1\\2', 'g')) AS detok_md5,
-  {SQL_EFF} AS eff_chars,
-  length(regexp_replace(text, '{SQL_WS}+', '', 'g')) AS nows_chars
+  CAST({SQL_EFF} AS INTEGER) AS eff_chars,
+  CAST(length(regexp_replace(text, '{SQL_WS}+', '', 'g')) AS INTEGER) AS nows_chars
 FROM conversations""")(q_normalize_text)
 
 
@@ -119,7 +120,8 @@ ctx AS (
          string_agg(c.role || ': ' || c.text, chr(10) ORDER BY c.turn) AS context
   FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn < t.turn
   GROUP BY t.conv_id, t.turn)
-SELECT conv_id, turn, context_turns, md5(context) AS context_md5, length(context) AS context_len
+SELECT conv_id, turn, CAST(context_turns AS INTEGER) AS context_turns, md5(context) AS context_md5,
+       CAST(length(context) AS INTEGER) AS context_len
 FROM ctx""")(q_context_text)
 
 
@@ -131,7 +133,7 @@ def q_min_effective_chars(spark, sf):
 
 
 register("min_effective_chars", f"""
-SELECT doc_id, {SQL_EFF} AS eff_chars FROM documents WHERE {SQL_EFF} >= {MIN_CHARS}
+SELECT doc_id, CAST({SQL_EFF} AS INTEGER) AS eff_chars FROM documents WHERE {SQL_EFF} >= {MIN_CHARS}
 """)(q_min_effective_chars)
 
 
@@ -265,7 +267,7 @@ def q_sample_weight(spark, sf):
 
 
 register("sample_weight", """
-SELECT doc_id, CASE WHEN contains(text, '@') THEN 0.5 ELSE 1.0 END AS weight FROM documents
+SELECT doc_id, CAST(CASE WHEN contains(text, '@') THEN 0.5 ELSE 1.0 END AS DOUBLE) AS weight FROM documents
 """)(q_sample_weight)
 
 

@@ -111,7 +111,7 @@ def q_score_outputs(spark, sf):
 SQL_SCORE_OUTPUTS = _sql_scored(_sql_outputs()) + f"""
 SELECT conv_id, turn, category, '' AS risk_level, pred_category,
        CAST(pred_category = category AS INTEGER) AS category_correct,
-       must_hit_count, must_total,
+       CAST(must_hit_count AS INTEGER) AS must_hit_count, CAST(must_total AS INTEGER) AS must_total,
        round(must_hit_count / greatest(1, must_total), 6) AS rule_score,
        {_flat_sql('missed')} AS missed_groups,
        array_to_string(fhits, '|') AS forbidden_hits,
@@ -172,7 +172,7 @@ def q_eval_summary_by_scene(spark, sf):
 
 SQL_EVAL_SUMMARY_BY_SCENE = _sql_scored(
     _sql_outputs(1, "next") + " UNION ALL " + _sql_outputs(3, "later")) + """
-SELECT run, category, CAST(grouping(run, category) AS INTEGER) AS grouping_id, count(*) AS num_samples,
+SELECT run, category, CAST(grouping(run, category) AS BIGINT) AS grouping_id, count(*) AS num_samples,
        round(avg(must_hit_count / greatest(1, must_total)), 6) AS avg_rule_score,
        round(avg(CAST(len(fhits) > 0 AS DOUBLE)), 6) AS risky_response_rate,
        round(sum(CAST(pred_category = category AS INTEGER)) / greatest(1, count(*)), 6) AS category_accuracy

@@ -169,7 +169,8 @@ m AS (
   FROM m0)"""
 
 register("masked_sequences", f"""WITH {SQL_ROWS}, {SQL_MASKED}
-SELECT conv_id, turn, len(input_ids) AS n_tokens, len(list_filter(labels, lambda x: x <> -100)) AS n_answer_tokens,
+SELECT conv_id, turn, CAST(len(input_ids) AS INTEGER) AS n_tokens,
+       CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_answer_tokens,
        md5(array_to_string(input_ids, ',')) AS ids_md5, md5(array_to_string(labels, ',')) AS labels_md5,
        md5(array_to_string(attention_mask, ',')) AS mask_md5
 FROM m""")(q_masked_sequences)
@@ -206,7 +207,7 @@ register("split_list", f"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','),
              lambda x: regexp_replace(x, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')), lambda x: x <> '') AS parts
            FROM documents)
-SELECT doc_id, len(parts) AS n_parts, md5(array_to_string(parts, '|')) AS parts_md5 FROM s""")(q_split_list)
+SELECT doc_id, CAST(len(parts) AS INTEGER) AS n_parts, md5(array_to_string(parts, '|')) AS parts_md5 FROM s""")(q_split_list)
 
 
 # ---------------------------------------------------------------- P8

@@ -6,7 +6,7 @@ import pytest
 from conftest import SF_SMALL, needs
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, table_hash
+from tools.oracle_check import TABLES, table_hash, type_mismatches
 
 NAMES = list(E.queries())
 SQL = E.oracle_sql()
@@ -31,6 +31,8 @@ def test_query_matches_oracle(spark, duck, name):
     if name not in SQL:
         assert len(rows) >= 0
         return
+    rel = duck.sql(SQL[name])
+    assert not type_mismatches(df.dtypes, rel.columns, rel.types)
     res = duck.execute(SQL[name])
     d_cols = [d[0] for d in res.description]
     d_rows = [tuple(r) for r in res.fetchall()]
