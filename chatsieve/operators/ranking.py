@@ -87,7 +87,12 @@ def running_max(df: DataFrame, partition_cols, order_cols, value: str, out: str
     """
     parts = list(partition_cols)
     orders = list(order_cols)
-    keyed = _range_numbered(df, parts, orders, num_partitions).drop("__mid")
+    n = _num_partitions(df, num_partitions)
+    # One reducer per range partition: a range exchange on the partition id
+    # also satisfies the window's clustering on (partition id, group), so no
+    # hash exchange (whose collisions would stack partitions) is added.
+    keyed = _range_numbered(df, parts, orders, num_partitions).drop("__mid") \
+        .repartitionByRange(n, "__pid")
     local_w = Window.partitionBy("__pid", *parts).orderBy(*_cols(orders)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keyed = keyed.withColumn("__local", F.max(value).over(local_w))
