@@ -1,4 +1,5 @@
-"""Goldens from the original project's result files, and reader/writer behaviour."""
+"""Goldens (result files of the original project, copied under tests/fixtures)
+and reader/writer behaviour."""
 import csv
 import glob
 import json
@@ -7,19 +8,18 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import REF, needs
+from conftest import FIX
 from chatsieve.operators import runs as R
 from chatsieve.sources import io as IO
 
-ABL = f"{REF}/ablation_outputs_fast4000_5runs"
+RUNS = f"{FIX}/runs"
 
 
-@needs(ABL)
 def test_run_table_csv_and_markdown_goldens(spark, tmpdir_path):
-    s = IO.read_run_summaries(spark, f"{ABL}/*/ablation_summary.json")
+    s = IO.read_run_summaries(spark, f"{RUNS}/*/summary.json")
     t = R.order_runs(R.run_table(s))
     cols = [c for c in t.columns if c != "order"]
-    gold = list(csv.reader(open(f"{ABL}/ablation_summary_fast4000_5runs.csv", encoding="utf-8")))
+    gold = list(csv.reader(open(f"{RUNS}/run_table.csv", encoding="utf-8")))
     assert cols == gold[0]
     rows = R.as_text_columns(t.orderBy("order"), cols).collect()
     for g, r in zip(gold[1:], rows):
@@ -29,7 +29,7 @@ def test_run_table_csv_and_markdown_goldens(spark, tmpdir_path):
             else:
                 assert a == b, (h, a, b)
     md = [r.line for r in R.markdown_rows(t).orderBy("order").collect()]
-    assert md == open(f"{ABL}/ablation_summary_fast4000_5runs.md", encoding="utf-8").read().splitlines()
+    assert md == open(f"{RUNS}/run_table.md", encoding="utf-8").read().splitlines()
     # CSV writer round trip: Python's csv module reads back the same cells
     out = f"{tmpdir_path}/runs_csv"
     IO.write_csv(R.as_text_columns(t.orderBy("order"), cols), out)
@@ -39,23 +39,21 @@ def test_run_table_csv_and_markdown_goldens(spark, tmpdir_path):
     assert [x[:-1] for x in back[1:]] == [x[:-1] for x in gold[1:]]
 
 
-@needs(f"{REF}/results/lora2/base_vs_lora_results.json")
 def test_side_by_side_markdown_golden(spark, tmpdir_path):
-    items = json.load(open(f"{REF}/results/lora2/base_vs_lora_results.json", encoding="utf-8"))
+    items = json.load(open(f"{FIX}/side_by_side/pairs.json", encoding="utf-8"))
     df = spark.createDataFrame(items, "id long, category string, question string, base_answer string, "
                                       "lora_answer string")
     blocks = R.side_by_side_markdown(df)
     out = f"{tmpdir_path}/md"
     IO.write_lines(blocks, out, text_col="block")
     text = open(glob.glob(f"{out}/part-*")[0], encoding="utf-8").read()
-    assert text == open(f"{REF}/results/lora2/base_vs_lora_comparison.md", encoding="utf-8").read()
+    assert text == open(f"{FIX}/side_by_side/report.md", encoding="utf-8").read()
 
 
-@needs(f"{REF}/references.txt")
 def test_read_ordered_lines_references(spark):
-    df = IO.read_ordered_lines(spark, f"{REF}/references.txt")
+    df = IO.read_ordered_lines(spark, f"{FIX}/reference_answers.txt")
     rows = df.orderBy("pos").collect()
-    lines = [x.strip() for x in open(f"{REF}/references.txt", encoding="utf-8") if x.strip()]
+    lines = [x.strip() for x in open(f"{FIX}/reference_answers.txt", encoding="utf-8") if x.strip()]
     assert len(rows) == len(lines) == 100
     assert [r.text for r in rows] == lines
     assert [r.pos for r in rows] == list(range(100))
@@ -68,30 +66,28 @@ def _stats(spark, path, metric):
     return s.collect()[0]
 
 
-@needs(f"{REF}/outputs")
 @pytest.mark.parametrize("run,metric,count,first,last,mn", [
-    ("qwen3_8b_ecommerce_sft_lora/checkpoint-900", "loss", 90, 6.476979, 0.908777, 0.704412),
-    ("qwen3_8b_ecommerce_sft_lora/checkpoint-900", "eval_loss", 9, 2.104420, 1.844663, 1.732870),
-    ("dpo_lora_r16_1epoch/checkpoint-63", "loss", 12, 0.625589, 0.116214, 0.084985),
-    ("dpo_lora_2000_beta01_1epoch/checkpoint-250", "loss", 50, 0.642051, 0.002724, 0.001377),
-    ("dpo_lora_2000_beta03_1epoch/checkpoint-250", "rewards/margins", 50, None, 12.287892, None),
+    ("sft_run/checkpoint-900", "loss", 90, 6.476979, 0.908777, 0.704412),
+    ("sft_run/checkpoint-900", "eval_loss", 9, 2.104420, 1.844663, 1.732870),
+    ("pref_500/checkpoint-63", "loss", 12, 0.625589, 0.116214, 0.084985),
+    ("pref_beta01/checkpoint-250", "loss", 50, 0.642051, 0.002724, 0.001377),
+    ("pref_beta03/checkpoint-250", "rewards/margins", 50, None, 12.287892, None),
 ])
 def test_trainer_log_stats_goldens(spark, run, metric, count, first, last, mn):
-    s = _stats(spark, f"{REF}/outputs/{run}/trainer_state.json", metric)
+    s = _stats(spark, f"{FIX}/logs/{run}/trainer_state.json", metric)
     assert s["count"] == count
     for got, exp in ((s["first"], first), (s["last"], last), (s["min"], mn)):
         if exp is not None:
             assert got == pytest.approx(exp, abs=5e-7)
 
 
-@needs(f"{REF}/outputs")
 def test_reward_series_and_flatten(spark):
-    logs = IO.read_trainer_logs(spark, f"{REF}/outputs/dpo_lora_2000_beta01_1epoch/checkpoint-250/trainer_state.json")
+    logs = IO.read_trainer_logs(spark, f"{FIX}/logs/pref_beta01/checkpoint-250/trainer_state.json")
     rs = R.reward_series(R.log_records(logs))
     last = {r.series: r.value for r in rs.where(F.col("step") == 250).collect()}
     assert last["rewards/accuracies"] == 1.0
     assert last["rewards/margins"] == pytest.approx(6.980091, abs=5e-7)
-    s = IO.read_run_summaries(spark, f"{ABL}/*/ablation_summary.json")
+    s = IO.read_run_summaries(spark, f"{RUNS}/*/summary.json")
     flat = R.flatten_metrics(s)
     assert "eval_metrics__eval_loss" in flat.columns and "train_metrics__train_loss" in flat.columns
 
@@ -150,7 +146,6 @@ def test_read_labelled_dialogues(spark, tmpdir_path):
     assert rows[1].turns == ["问"] and rows[1].reply == "答"
 
 
-@needs(f"{REF}/results")
 def test_eval_summary_schema_golden(spark, tmpdir_path):
     """The summary written for a scored run has the original summary files' fields and types."""
     from chatsieve.operators import rules as RU
@@ -161,7 +156,9 @@ def test_eval_summary_schema_golden(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "s")
     IO.write_summary_json(RU.eval_summary(RU.score_outputs(items, outs, True), True), out)
     mine = json.loads(open(glob.glob(f"{out}/part-*.json")[0], encoding="utf-8").read())
-    for f in glob.glob(f"{REF}/results/**/*.summary.json", recursive=True):
+    files = glob.glob(f"{FIX}/summaries/*.summary.json")
+    assert len(files) == 6
+    for f in files:
         gold = json.load(open(f, encoding="utf-8"))
         assert list(gold) == list(mine)
         assert {k: type(v) for k, v in gold.items()} == {k: type(v) for k, v in mine.items()} or \
