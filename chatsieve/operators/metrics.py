@@ -66,7 +66,8 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     and reference length, row count.
 
     Clipped matches come from one ``groupBy(corpus, row, n, gram)`` over both
-    sides' exploded n-grams; denominators and lengths are row arithmetic.
+    sides' exploded n-grams (rows hash-partitioned by id first, so no shuffle
+    of the n-grams); denominators and lengths are row arithmetic.
     The two kinds of contribution are unioned and summed in one final
     aggregate (no join, so a single corpus needs no key).
     """
@@ -74,6 +75,13 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     base = df.select(*by, F.col(row_id).alias("__id"),
                      strip_ws(F.coalesce(_col(hyp), F.lit(""))).alias("__h"),
                      strip_ws(F.coalesce(_col(ref), F.lit(""))).alias("__r"))
+    # Hash-partition the rows by id before the explode: the per-gram groupBy
+    # (keys include the row id) is then already clustered, so the shuffle
+    # moves each text once instead of moving its 2 x max_n exploded n-grams.
+    # An explicit partition count keeps AQE from coalescing this exchange
+    # (the rows are small; the exploded work per partition is not).
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    grams_base = base.repartition(n_parts, "__id")
 
     def tag(n: int, side: str):
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
@@ -82,7 +90,7 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     for n in range(1, max_n + 1):
         for side, c in (("h", "__h"), ("r", "__r")):
             grams.append(F.transform(char_ngrams(F.col(c), n), tag(n, side)))
-    ex = base.select(*by, "__id", F.explode(F.flatten(F.array(*grams))).alias("__x"))
+    ex = grams_base.select(*by, "__id", F.explode(F.flatten(F.array(*grams))).alias("__x"))
     per_gram = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
         F.sum(F.when(F.col("__x.s") == "h", 1).otherwise(0)).alias("ch"),
         F.sum(F.when(F.col("__x.s") == "r", 1).otherwise(0)).alias("cr"))
