@@ -2,11 +2,11 @@
 
 Scale notes
 -----------
-* Character BLEU: both sides' n-grams are exploded together with a side flag
-  and counted by one ``groupBy(corpus, row, n, gram)`` — one shuffle, with
-  map-side partial aggregation; the key contains the row id, so no corpus
-  or frequent n-gram becomes a hot key.  Denominators and lengths come from
-  row-level arithmetic, never from an explode.
+* Character BLEU: rows are hash-partitioned by row id once; both sides'
+  n-grams are then exploded with a side flag and counted by a
+  ``groupBy(corpus, row, n, gram)`` that needs no further exchange (the key
+  holds the row id), so n-grams are never shuffled and no corpus or frequent
+  n-gram becomes a hot key.  Denominators and lengths are row arithmetic.
 * BERTScore: token vectors are normalised once, then joined on the sample id
   only, so cost is tokens² per sample and never crosses samples.
 * Win rate, token accuracy, rubric roll-ups: conditional sums (partial
