@@ -7,8 +7,10 @@ Scale notes
   ``groupBy(corpus, row, n, gram)`` that needs no further exchange (the key
   holds the row id), so n-grams are never shuffled and no corpus or frequent
   n-gram becomes a hot key.  Denominators and lengths are row arithmetic.
-* BERTScore: token vectors are normalised once, then joined on the sample id
-  only, so cost is tokens² per sample and never crosses samples.
+* BERTScore: token norms are computed once, token pairs come from a join on
+  the sample id only (tokens² per sample, never across samples), and the
+  best match per candidate and per reference token comes from one
+  grouping-sets aggregate.
 * Win rate, token accuracy, rubric roll-ups: conditional sums (partial
   aggregation).
 """
