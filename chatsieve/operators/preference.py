@@ -170,13 +170,33 @@ def chosen_violations(chosen, groups) -> Column:
 
 def check_pairs(df: DataFrame, groups, chosen="chosen", triplet=("prompt", "chosen", "rejected")) -> DataFrame:
     """Validation counts: pairs whose chosen answer misses a required group,
-    and duplicate (prompt, chosen, rejected) rows beyond the first."""
+    and duplicate (prompt, chosen, rejected) rows beyond the first.
+
+    Duplicates are counted without shuffling the texts of unique rows:
+
+    1. rows are grouped by a 128-bit hash of the triplet (only hashes move);
+       a hash group of one row is certainly a unique triplet;
+    2. only rows in hash groups of two or more (true duplicates, or a
+       collision) are regrouped by their full text, so the count is exact.
+    """
+    cols = [F.col(c) for c in triplet]
     flag = F.when(F.size(chosen_violations(chosen, groups)) > 0, 1).otherwise(0)
-    per_triplet = df.groupBy(*triplet).agg(F.count(F.lit(1)).alias("__n"), F.sum(flag).alias("__v"))
-    return per_triplet.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("num_pairs"),
-        F.coalesce(F.sum("__v"), F.lit(0)).cast("long").alias("violations"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_triplets"))
+    # length-prefixed fields: distinct triplets cannot serialise alike
+    framed = F.concat_ws("\u0001", *[F.concat(F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"),
+                                              F.coalesce(c, F.lit(""))) for c in cols])
+    keyed = df.select(*cols, flag.alias("__v"), F.xxhash64(framed).alias("__h1"),
+                      F.substring(F.md5(framed), 1, 16).alias("__h2"))
+    per_hash = keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__v"))
+    shared = per_hash.where(F.col("__n") > 1).select("__h1", "__h2")
+    distinct_shared = keyed.join(shared, on=["__h1", "__h2"], how="left_semi").select(*triplet).distinct()
+    zero = F.lit(0).cast("long")
+    parts = per_hash.select(F.col("__n").cast("long").alias("n"), F.col("__v").cast("long").alias("v"),
+                            F.when(F.col("__n") == 1, 1).otherwise(0).cast("long").alias("u"), zero.alias("d")) \
+        .unionByName(distinct_shared.select(zero.alias("n"), zero.alias("v"), zero.alias("u"),
+                                            F.lit(1).cast("long").alias("d")))
+    t = parts.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("n", "v", "u", "d")])
+    return t.select(F.col("n").alias("num_pairs"), F.col("v").alias("violations"),
+                    (F.col("n") - F.col("u") - F.col("d")).alias("duplicate_triplets"))
 
 
 # ---------------------------------------------------------------- D9b

@@ -171,3 +171,22 @@ def test_pad_batches(spark):
 def test_argmax_first_max(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0, 2.0],), ([5.0],)], "v array<double>")
     assert [r.a for r in df.select(TK.argmax("v").alias("a")).collect()] == [1, 0]
+
+
+def test_check_pairs_against_brute_force(spark):
+    import random
+    rnd = random.Random(4)
+    vocab = ["场景分类：x 客服回复：y 理解", "场景分类：x", "a", "", None]
+    rows = [(rnd.choice(["p1", "p2", None]), rnd.choice(vocab), rnd.choice(["r1", "r2"])) for _ in range(300)]
+    rows += [("p1", "a", "r1")] * 5 + [("ab", "c", "r"), ("a", "bc", "r")]   # duplicates and near-duplicates
+    df = spark.createDataFrame(rows, "prompt string, chosen string, rejected string")
+    groups = P.must_include_groups(["场景分类", "客服回复", "安抚/理解"])
+    c = P.check_pairs(df, groups).collect()[0]
+
+    def violates(ch):
+        text = ch or ""
+        return any(not any(t in text for t in g) for g in groups)
+
+    assert c.num_pairs == len(rows)
+    assert c.violations == sum(1 for _, ch, _ in rows if violates(ch))
+    assert c.duplicate_triplets == len(rows) - len(set(rows))
