@@ -19,31 +19,28 @@ def _c(c) -> Column:
 
 def py_float_str(c) -> Column:
     x = _c(c).cast("double")
+    ax = F.abs(x)
+    # 1e-4 <= |x| < 1e16: positional.  The double-to-decimal cast starts from
+    # the JVM's shortest digit string, so trimming the padding zeros leaves
+    # exactly those digits.
+    dec = F.regexp_replace(x.cast("decimal(38,22)").cast("string"), r"(\.\d*?)0+$", "$1")
+    positional = F.when(F.endswith(dec, F.lit(".")), F.concat(dec, F.lit("0"))).otherwise(dec)
+    # otherwise exponent form: 5.0E-5 -> 5e-05, 1.5E16 -> 1.5e+16
     s = x.cast("string")
-    neg = F.startswith(s, F.lit("-"))
-    body = F.regexp_replace(s, "^-", "")
-    mant = F.substring_index(body, "E", 1)
-    exp = F.substring_index(body, "E", -1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    n = F.char_length(digits)
-    # positional rendering of d.ddd x 10^exp
-    int_len = exp + 1
-    pos_big = F.when(n <= int_len, F.concat(digits, F.repeat(F.lit("0"), int_len - n), F.lit(".0"))) \
-        .otherwise(F.concat(F.substr(digits, F.lit(1), int_len), F.lit("."), F.substr(digits, int_len + 1)))
-    pos_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    frac = F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(F.lit(""))
-    sci = F.concat(F.substr(digits, F.lit(1), F.lit(1)), frac, F.lit("e"),
-                   F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
-                   F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    has_e = F.contains(body, F.lit("E"))
-    converted = (F.when((exp >= -4) & (exp < 0), pos_small)
-                 .when((exp >= 0) & (exp < 16), pos_big)
-                 .otherwise(sci))
-    out = F.when(has_e, F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), converted)).otherwise(s)
-    out = F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")) \
+    sci = F.regexp_replace(F.regexp_replace(s, r"\.0E", "E"), r"E(-?)(\d+)$", "e$1$2")
+    sci = F.regexp_replace(F.regexp_replace(sci, r"e(\d)$", "e+0$1"), r"e-(\d)$", "e-0$1")
+    sci = F.regexp_replace(sci, r"e(\d\d+)$", "e+$1")
+    # Java 17 sometimes prints 17 or 18 significant digits where fewer
+    # round-trip; then take 16 digits if they round-trip, else 17.
+    n_digits = F.char_length(F.regexp_replace(F.substring_index(s, "E", 1), r"[^0-9]|0+$", ""))
+    d16, d17 = F.format_string("%.15e", x), F.format_string("%.16e", x)
+    short = F.when(d16.cast("double") == x, d16).otherwise(d17)
+    short = F.regexp_replace(F.regexp_replace(short, r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
+    sci = F.when(n_digits >= 17, short).otherwise(sci)
+    out = F.when(x == 0, F.when(F.startswith(s, F.lit("-")), F.lit("-0.0")).otherwise(F.lit("0.0"))) \
+        .when((ax >= 1e-4) & (ax < 1e16), positional).otherwise(sci)
+    return F.when(F.isnan(x), F.lit("nan")).when(x == float("inf"), F.lit("inf")) \
         .when(x == float("-inf"), F.lit("-inf")).otherwise(out)
-    return out
 
 
 def py_str(c, dtype: str) -> Column:
