@@ -163,3 +163,17 @@ def test_eval_summary_schema_golden(spark, tmpdir_path):
         assert list(gold) == list(mine)
         assert {k: type(v) for k, v in gold.items()} == {k: type(v) for k, v in mine.items()} or \
             all(isinstance(mine[k], (int, float)) == isinstance(v, (int, float)) for k, v in gold.items())
+
+
+def test_spread_small_input_only_for_coarse_inputs(spark, tmpdir_path):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    one = os.path.join(tmpdir_path, "one")
+    many = os.path.join(tmpdir_path, "many")
+    df.coalesce(1).write.parquet(one)
+    df.repartition(spark.sparkContext.defaultParallelism * 2).write.parquet(many)
+    spread = IO.spread_small_input(spark.read.parquet(one))
+    kept = IO.spread_small_input(spark.read.parquet(many))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan(spread)
+    assert "RoundRobinPartitioning" not in plan(kept)
+    assert spread.count() == kept.count() == 2000
