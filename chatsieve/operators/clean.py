@@ -3,11 +3,14 @@
 Scale notes
 -----------
 * Keep-first deduplication never uses a window over the duplicate key: a
-  group of copies may hold a third of all rows and a window would put it in
-  one task.  Instead ``min(order key)`` per text is a hash aggregate with
-  map-side partial aggregation (a hot group collapses to one row per map
-  task before the shuffle), and the survivors are marked by a join on the
-  unique row key.
+  group of copies may hold a third of all rows.  ``min_by(row, order key)``
+  per key is an aggregate with map-side partial aggregation (a hot group
+  collapses to one row per map task before the shuffle); the funnel, which
+  keeps every row with a flag, joins the per-key ``min(order key)`` back on
+  the unique row key.
+* Hold-out containment uses content-defined k-gram anchors (rarest anchor
+  per item, confirmed with ``contains``), never a comparison of every row
+  with every item.
 * Question/answer pairing joins turn ``t`` to turn ``t + 1`` on the composite
   key ``(conversation, turn)``: no window partitioned by conversation, so a
   huge conversation spreads over all tasks.
