@@ -29,3 +29,19 @@ def test_stream_matches_batch(spark, tmpdir_path):
     batch = score_outputs(items, spark.createDataFrame(preds, "run string, id long, output string"), True)
     exp = sorted((r.run, r.id, r.rule_score, r.risky) for r in batch.collect())
     assert got == exp and len(got) == 3
+
+
+def test_start_scoring_writes_json(spark, tmpdir_path):
+    from chatsieve.streaming.scoring import start_scoring
+    items = spark.createDataFrame(ITEMS, "id long, category string, question string, "
+                                         "must_have_any array<array<string>>, forbidden array<string>")
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "p.json"), "w", encoding="utf-8") as f:
+        f.write(json.dumps({"run": "a", "id": 1, "output": "凭证 退货"}, ensure_ascii=False) + "\n")
+        f.write(json.dumps({"run": "a", "id": 2, "output": "物流"}, ensure_ascii=False) + "\n")
+    out = os.path.join(tmpdir_path, "out")
+    q = start_scoring(spark, src, items, out, os.path.join(tmpdir_path, "ckpt"), trigger_once=True)
+    q.awaitTermination(120)
+    rows = spark.read.json(out).select("id", "rule_score").orderBy("id").collect()
+    assert [(r.id, r.rule_score) for r in rows] == [(1, 1.0), (2, 1.0)]
