@@ -107,6 +107,11 @@ def main() -> None:
             "next_text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))),
         ("question/answer pairing: extract_qa_pairs", lambda: extract_qa_pairs(turns)),
         ("chat fragments per turn: chat_fragments", lambda: chat_fragments(turns)),
+        # last: turn automatic broadcasts off to see the sort-merge plan
+        ("question/answer pairing: extract_qa_pairs, no broadcast", lambda: (
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1"),
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1"),
+            extract_qa_pairs(turns))[-1]),
     ]
     results = []
     sc = spark.sparkContext
