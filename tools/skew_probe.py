@@ -35,17 +35,16 @@ def _events(log_path: str):
 def stage_shares(log_path: str) -> dict[int, float]:
     """job id -> max over its shuffle-reading stages of (max task records / stage records)."""
     stage_job, per_stage = {}, {}
-    if True:
-        for ev in _events(log_path):
-            kind = ev.get("Event")
-            if kind == "SparkListenerJobStart":
-                for sid in ev.get("Stage IDs", []):
-                    stage_job[sid] = ev["Job ID"]
-            elif kind == "SparkListenerTaskEnd":
-                m = ev.get("Task Metrics") or {}
-                rd = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
-                if rd:
-                    per_stage.setdefault(ev["Stage ID"], []).append(rd)
+    for ev in _events(log_path):
+        kind = ev.get("Event")
+        if kind == "SparkListenerJobStart":
+            for sid in ev.get("Stage IDs", []):
+                stage_job[sid] = ev["Job ID"]
+        elif kind == "SparkListenerTaskEnd":
+            m = ev.get("Task Metrics") or {}
+            rd = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
+            if rd:
+                per_stage.setdefault(ev["Stage ID"], []).append(rd)
     out = {}
     for sid, recs in per_stage.items():
         share = max(recs) / sum(recs)
@@ -117,27 +116,24 @@ def main() -> None:
     sc = spark.sparkContext
     for label, build in cases:
         sc.setJobGroup(label, label)
-        before = set(glob.glob(f"{scratch}/*"))
         build().write.format("noop").mode("overwrite").save()
         results.append(label)
     app_id = sc.applicationId
     spark.stop()
     logs = [p for p in glob.glob(f"{scratch}/*") if app_id in os.path.basename(p)]
     shares = stage_shares(logs[0])
-    # jobs run in case order; attribute each job to the case that ran it
+    # attribute each job to the case (job group) that ran it
     job_case = {}
-    if True:
-        for ev in _events(logs[0]):
-            if ev.get("Event") == "SparkListenerJobStart":
-                props = ev.get("Properties") or {}
-                job_case[ev["Job ID"]] = props.get("spark.jobGroup.id", "?")
+    for ev in _events(logs[0]):
+        if ev.get("Event") == "SparkListenerJobStart":
+            props = ev.get("Properties") or {}
+            job_case[ev["Job ID"]] = props.get("spark.jobGroup.id", "?")
     worst = {}
     for job, share in shares.items():
         if not share:
             continue
         case = job_case.get(job, "?")
         worst[case] = max(worst.get(case, 0.0), share)
-    del before
     lines = ["# Hot-key probe", "",
              f"{n} rows, one key holding a third of them, {args.partitions} shuffle partitions, "
              "local[8]. Largest share of a shuffle stage's records read by a single task "
