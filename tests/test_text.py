@@ -83,3 +83,25 @@ def test_split_list(spark):
         .select("i", T.split_list("s").alias("p")).orderBy("i").collect()
     assert out[0].p == ["q_proj", "k_proj", "v_proj"]
     assert out[1].p == []
+
+
+def test_whitespace_helpers_property(spark):
+    """Hypothesis-generated strings over a whitespace-heavy alphabet: Unicode
+    strip / removal / effective characters agree with Python."""
+    from hypothesis import given, settings, strategies as st
+    alphabet = st.sampled_from(list(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     "
+                                    " 　ab中文😀1,.​"))
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.lists(st.text(alphabet=alphabet, max_size=12), min_size=40, max_size=40))
+    def check(values):
+        df = _rows(spark, values)
+        got = df.select("i", T.utrim("s").alias("a"), T.strip_ws("s").alias("b"),
+                        T.effective_chars("s").alias("c")).orderBy("i").collect()
+        for r, v in zip(got, values):
+            assert r.a == v.strip()
+            assert r.b == re.sub(r"\s+", "", v)
+            assert r.c == sum(1 for ch in v if ch.isalnum() and not ch.isspace()
+                              and (ch.isalpha() or ch.isdigit()))
+
+    check()
