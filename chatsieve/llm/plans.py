@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatsieve.llm import (exact_dedup, language_ecoc, license_scan, piece_bpe, pii, pivotal_mix, quality_zstd,
+from chatsieve.llm import (exact_dedup, jaccard_join, language_ecoc, license_scan, piece_bpe, pii, pivotal_mix, quality_zstd,
                            token_orc, weak_rules)
 from chatsieve.llm.common import documents
 
@@ -31,6 +31,11 @@ def op1(spark, sf_dir):
     return quality_zstd.held_out_scores(documents(spark, sf_dir), labels)
 
 
+@query("op2_jaccard_join")
+def op2(spark, sf_dir):
+    return jaccard_join.near_components(documents(spark, sf_dir), words=3, num=9, den=10)
+
+
 @query("op3_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
