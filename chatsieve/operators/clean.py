@@ -3,11 +3,10 @@
 Scale notes
 -----------
 * Keep-first deduplication never uses a window over the duplicate key: a
-  group of copies may hold a third of all rows.  ``min_by(row, order key)``
-  per key is an aggregate with map-side partial aggregation (a hot group
-  collapses to one row per map task before the shuffle); the funnel, which
-  keeps every row with a flag, joins the per-key ``min(order key)`` back on
-  the unique row key.
+  group of copies may hold a third of all rows.  ``min(order key)`` per
+  128-bit key hash is an aggregate with map-side partial aggregation (a hot
+  group collapses to one row per map task before the shuffle), confirmed by
+  the key itself where a hash is shared, and joined back on the unique row key.
 * Hold-out containment uses content-defined k-gram anchors (rarest anchor
   per item, confirmed with ``contains``), never a comparison of every row
   with every item.
@@ -25,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.operators.ranking import exact_row_number
 from chatsieve.functions.text import (
     contains_any, effective_chars, join_segmented, line_repetition_ratio, literal_array,
     normalize_key, repetition_ratio, strip_ws,
@@ -44,17 +44,27 @@ def union_parts(parts: dict, part_col: str = "part") -> DataFrame:
 
 # ---------------------------------------------------------------- C2 / C8
 def _first_ids(df: DataFrame, keys: list, order_col: str) -> DataFrame:
-    """``order_col`` of the first row of every key group, in one aggregate.
+    """``order_col`` of the first row of every key group.
 
-    A row with a null key part gets its own id as an extra grouping column,
-    so it forms a group of one (nothing to compare it with) instead of
-    merging with the other null-key rows.
+    Groups are found by a 128-bit hash of the key, so the first aggregate
+    shuffles (hash, row key) only, with map-side partial aggregation.  A hash
+    may collide: the groups of two rows or more are grouped again by the key
+    itself.  A row with a null key part is a group of one (nothing to compare
+    it with) and does not merge with other null-key rows.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     any_null = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
-    keyed = df.select(F.col(order_col), *[k.alias(n) for k, n in zip(keys, names)],
-                      F.when(any_null, F.col(order_col)).alias("__solo"))
-    return keyed.groupBy(*names, "__solo").agg(F.min(order_col).alias(order_col)).select(order_col)
+    # The lengths keep ("ab", "c") and ("a", "bc") apart.
+    parts = [p for k in keys for p in (F.length(k.cast("string")).cast("string"), k.cast("string"))]
+    keyed = df.select(F.col(order_col).alias("__o"), *[k.alias(n) for k, n in zip(keys, names)],
+                      any_null.alias("__solo"), F.md5(F.concat_ws("|", *parts)).alias("__h"))
+    solo = keyed.where("__solo").select("__o")
+    keyed = keyed.where("not __solo")
+    groups = keyed.groupBy("__h").agg(F.min("__o").alias("__o"), F.count(F.lit(1)).alias("__n"))
+    shared = keyed.join(groups.where("__n > 1").select("__h"), "__h", "left_semi")
+    firsts = shared.groupBy("__h", *names).agg(F.min("__o").alias("__o"))
+    return (groups.where("__n = 1").select("__o").unionByName(firsts.select("__o")).unionByName(solo)
+            .withColumnRenamed("__o", order_col))
 
 
 def first_of_duplicates(df: DataFrame, key, order_col: str) -> DataFrame:
@@ -62,20 +72,11 @@ def first_of_duplicates(df: DataFrame, key, order_col: str) -> DataFrame:
 
     ``key`` is a Column (or list of Columns) computed from the row; rows
     with a null key are all kept (nothing to compare).  ``order_col`` must be
-    unique (it is the row key).  One scan and one shuffle: the whole row is
-    carried by ``min_by(row, order_col)`` per key, and map-side partial
-    aggregation collapses a group of copies holding a third of all rows
-    before the shuffle.
+    unique (it is the row key).  The groups come from hashes (``_first_ids``)
+    and the rows meet the chosen row keys in one semi-join.
     """
     keys = list(key) if isinstance(key, (list, tuple)) else [key]
-    names = [f"__k{i}" for i in range(len(keys))]
-    any_null = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
-    keyed = df.select(*[k.alias(n) for k, n in zip(keys, names)],
-                      F.when(any_null, F.col(order_col)).alias("__solo"),
-                      F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"),
-                      F.col(order_col).alias("__o"))
-    firsts = keyed.groupBy(*names, "__solo").agg(F.min_by("__row", "__o").alias("__row"))
-    return firsts.select("__row.*")
+    return df.join(_first_ids(df, keys, order_col), on=order_col, how="left_semi")
 
 
 def mark_first_of_duplicates(df: DataFrame, key, order_col: str, out: str = "is_first") -> DataFrame:
@@ -102,11 +103,22 @@ def keep_label(df: DataFrame, value: int = 1, label: str = "label") -> DataFrame
 
 
 # ---------------------------------------------------------------- C4
+def with_dense_turns(turns: DataFrame, conv="conv_id", turn="turn") -> DataFrame:
+    """``turn`` renumbered 0, 1, 2, ... in its order within each conversation.
+
+    Range partitioning plus offsets, so a conversation that holds a third of
+    all rows is not one task.
+    """
+    numbered = exact_row_number(turns, [conv], [turn], "__rn")
+    return numbered.withColumn(turn, F.col("__rn") - 1).select(*turns.columns)
+
+
 def extract_qa_pairs(turns: DataFrame, conv="conv_id", turn="turn", role="role", text="text",
                      user_role: str = "user", agent_role: str = "assistant") -> DataFrame:
     """Adjacent user -> agent turn pairs from role-labelled turns.
 
-    ``turn`` must be a dense position within the conversation (0, 1, 2, ...).
+    ``turn`` must be a dense position within the conversation (0, 1, 2, ...);
+    ``with_dense_turns`` makes it one where there are gaps.
     Output: conversation, ``turn`` of the question, ``question``, ``answer``.
     """
     q = turns.where(F.col(role) == user_role).select(
@@ -140,6 +152,7 @@ def context_text(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
                  sep: str = "\n") -> DataFrame:
     """Prior turns of each ``target_role`` turn as ``role: text`` lines.
 
+    ``turn`` must be a dense position (``with_dense_turns`` makes it one).
     Each target turn generates the positions it needs (all earlier turns, or
     the last ``max_turns``) and fetches them with an equi-join on
     ``(conversation, turn)``; the lines are gathered by a group on
@@ -271,8 +284,7 @@ def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -
 
 
 def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,
-                           item_id: str, item_text: str, k: int = 12, modulus: int = 8,
-                           max_short_items: int = 1_000_000) -> DataFrame:
+                           item_id: str, item_text: str, k: int = 12, modulus: int = 8) -> DataFrame:
     """Pairs (row, hold-out item) where the row's text contains the item's text verbatim.
 
     Exact and distributed, without comparing every row with every item:
@@ -286,10 +298,8 @@ def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_
     3. Items of at least k characters that drew no anchor (probability
        ``(1 - 1/modulus)^(len - k + 1)``) get a second round in which every
        k-gram is an anchor; it runs only when such items exist.
-    4. Items shorter than k characters cannot be anchored; they are checked
-       with ``contains`` against every row through a broadcast nested-loop
-       join.  Each is under k characters and their number is checked against
-       ``max_short_items`` first, so the broadcast has a proven size bound.
+    4. Items shorter than k characters are one gram of their own length: they
+       go through the same equi-join once for each length below k that occurs.
     """
     rows = df.select(F.col(id_col).alias("__rid"), F.col(text_col).alias("__rtext"))
     items = holdout.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")) \
@@ -304,13 +314,9 @@ def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_
         unanchored = long_items.where(F.size(_anchor_hashes(F.col("__itext"), k, modulus)) == 0)
         if unanchored.limit(1).count() > 0:
             parts.append(_anchored_matches(rows, unanchored, k, 1))
-    n_short = short_items.count()
-    if n_short > max_short_items:
-        raise ValueError(f"{n_short} hold-out items are shorter than k={k}; lower k")
-    if n_short:
-        tiny = F.broadcast(short_items)
-        parts.append(rows.join(tiny, on=F.contains(F.col("__rtext"), F.col("__itext")), how="inner")
-                     .select("__rid", "__iid"))
+    lengths = short_items.select(F.char_length("__itext").alias("n")).distinct().collect()  # below k rows
+    for n in sorted(r["n"] for r in lengths):
+        parts.append(_anchored_matches(rows, short_items.where(F.char_length("__itext") == n), n, 1))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     return out.select(F.col("__rid").alias(id_col), F.col("__iid").alias(item_id))
 

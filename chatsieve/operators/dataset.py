@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chatsieve import defaults as D
 from chatsieve.functions.text import contains_any, literal_array
-from chatsieve.operators.ranking import exact_row_number
+from chatsieve.operators.ranking import exact_row_number, null_safe_join
 
 
 def _col(c) -> Column:
@@ -99,12 +99,12 @@ def split_train_eval(df: DataFrame, key: str, eval_fraction: float = 0.1, seed:
                      out: str = "split") -> DataFrame:
     """Deterministic split: a row is 'eval' when its hash falls below the fraction.
 
-    The first four hex digits of ``md5(seed|key)`` are compared as text with
-    the threshold, so no shuffle or global rank is needed and the split is
-    stable when rows are added.
+    The first 52 bits of ``md5(seed|key)`` are compared as a number with the
+    fraction, so any fraction from 0 to 1 works, no shuffle or global rank is
+    needed and the split is stable when rows are added.
     """
-    threshold = "%04x" % int(round(eval_fraction * 65536))
-    h = F.substring(hash_key(seed, key), 1, 4)
+    threshold = int(round(eval_fraction * (1 << 52)))
+    h = F.conv(F.substring(hash_key(seed, key), 1, 13), 16, 10).cast("long")
     return df.withColumn(out, F.when(h < F.lit(threshold), F.lit("eval")).otherwise(F.lit("train")))
 
 
@@ -121,10 +121,10 @@ def split_train_eval_exact(df: DataFrame, key: str, eval_fraction: float = 0.1,
     ranked = exact_row_number(hashed, parts, ["__h", key], "__rn")
     if stratum:
         sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
-        ranked = ranked.join(sizes, on=stratum, how="inner")
+        ranked = null_safe_join(ranked, sizes, [stratum])
     else:
-        total = df.count()
-        ranked = ranked.withColumn("__size", F.lit(total))
+        # One row; the size travels with the plan instead of a job at build time.
+        ranked = ranked.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__size"))))
     n_eval = F.round(F.col("__size") * F.lit(eval_fraction)).cast("long")
     return ranked.withColumn(out, F.when(F.col("__rn") <= n_eval, F.lit("eval")).otherwise(F.lit("train"))) \
         .drop("__h", "__rn", "__size")
@@ -182,7 +182,7 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42,
     ranked = exact_row_number(df.withColumn("__h", hash_key(seed, key)), [stratum], ["__h", key], "__rn")
     # One row per stratum: AQE broadcasts it once its measured size is small,
     # and keeps a shuffle join otherwise (no unchecked broadcast hint).
-    return (ranked.join(quotas, on=stratum, how="inner")
+    return (null_safe_join(ranked, quotas, [stratum])
             .where(F.col("__rn") <= F.col("quota"))
             .drop("__h", "__rn", "quota"))
 

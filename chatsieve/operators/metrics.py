@@ -49,12 +49,14 @@ def positional_align(left: DataFrame, right: DataFrame, pos: str = "pos", strict
 def pair_answers(runs: DataFrame, pos: str = "id", run: str = "run", answer: str = "answer",
                  run_names: list[str] | None = None) -> DataFrame:
     """One row per position with one answer column per run (``<run>_answer``);
-    positions missing in any run are dropped (``zip`` truncates)."""
-    names = run_names
-    p = runs.groupBy(pos).pivot(run, names).agg(F.first(answer))
-    cols = [c for c in p.columns if c != pos]
-    p = p.dropna(subset=cols)
-    return p.select(pos, *[F.col(f"`{c}`").alias(f"{c}_answer") for c in cols])
+    positions missing in any run are dropped (``zip`` truncates).  An answer
+    that is present but null counts as present.  ``pos`` may be several columns."""
+    keys = [pos] if isinstance(pos, str) else list(pos)
+    p = runs.groupBy(*keys).pivot(run, run_names).agg(F.first(answer).alias("a"), F.count(F.lit(1)).alias("n"))
+    names = [c[:-2] for c in p.columns if c not in keys and c.endswith("_n")]
+    for c in names:
+        p = p.where(F.col(f"`{c}_n`") > 0)
+    return p.select(*keys, *[F.col(f"`{c}_a`").alias(f"{c}_answer") for c in names])
 
 
 # ---------------------------------------------------------------- E13
@@ -63,9 +65,10 @@ def char_tokens(text) -> Column:
 
 
 # ---------------------------------------------------------------- E14
-def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: int = 4) -> DataFrame:
+def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id, by=(), max_n: int = 4) -> DataFrame:
     """Per corpus: clipped matches and denominators per order n, hypothesis
-    and reference length, row count.
+    and reference length, row count.  ``row_id`` is the unique key: one column
+    or a list of them.
 
     Clipped matches come from one ``groupBy(corpus, row, n, gram)`` over both
     sides' exploded n-grams (rows hash-partitioned by id first, so no shuffle
@@ -74,28 +77,25 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: in
     aggregate (no join, so a single corpus needs no key).
     """
     by = list(by)
-    base = df.select(*by, F.col(row_id).alias("__id"),
+    keys = [row_id] if isinstance(row_id, str) else list(row_id)
+    base = df.select(*by, F.struct(*keys).alias("__id"),
                      strip_ws(F.coalesce(_col(hyp), F.lit(""))).alias("__h"),
                      strip_ws(F.coalesce(_col(ref), F.lit(""))).alias("__r"))
     # Hash-partition the rows by id before the explode: the per-gram groupBy
     # (keys include the row id) is then already clustered, so the shuffle
     # moves each text once instead of moving its 2 x max_n exploded n-grams.
-    # An explicit partition count keeps AQE from coalescing this exchange
-    # (the rows are small; the exploded work per partition is not).
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    grams_base = base.repartition(n_parts, "__id")
-
-    def tag(n: int, side: str):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(side).alias("s"))
-
-    grams = []
-    for n in range(1, max_n + 1):
-        for side, c in (("h", "__h"), ("r", "__r")):
-            grams.append(F.transform(char_ngrams(F.col(c), n), tag(n, side)))
-    ex = grams_base.select(*by, "__id", F.explode(F.flatten(F.array(*grams))).alias("__x"))
-    per_gram = ex.groupBy(*by, "__id", F.col("__x.n").alias("n"), F.col("__x.g").alias("g")).agg(
-        F.sum(F.when(F.col("__x.s") == "h", 1).otherwise(0)).alias("ch"),
-        F.sum(F.when(F.col("__x.s") == "r", 1).otherwise(0)).alias("cr"))
+    # One row per (text, side, order) before the grams are cut, so a row never
+    # holds more than one order of one text.
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n"), F.col(c).alias("t"))
+                                for s, c in (("h", "__h"), ("r", "__r")) for n in range(1, max_n + 1)]))
+    part = base.repartition("__id").select(*by, "__id", sides.alias("__x")).select(*by, "__id", "__x.*")
+    cut = F.when(F.col("n") == 1, char_ngrams(F.col("t"), 1))
+    for n in range(2, max_n + 1):
+        cut = cut.when(F.col("n") == n, char_ngrams(F.col("t"), n))
+    ex = part.select(*by, "__id", "n", "s", F.explode(cut).alias("g"))
+    per_gram = ex.groupBy(*by, "__id", "n", "g").agg(
+        F.sum(F.when(F.col("s") == "h", 1).otherwise(0)).alias("ch"),
+        F.sum(F.when(F.col("s") == "r", 1).otherwise(0)).alias("cr"))
     zero = F.lit(0).cast("long")
     nums = [f"num{n}" for n in range(1, max_n + 1)]
     dens = [f"den{n}" for n in range(1, max_n + 1)]
@@ -117,8 +117,8 @@ def bleu_from_counts(counts: DataFrame, max_n: int = 4, k: float = 5.0) -> Colum
     """Corpus BLEU with equal weights, brevity penalty and method-4 smoothing.
 
     A zero numerator at order n (when the hypothesis length h > 1) becomes
-    ``(k / ln h)^z / den_n``, z counting the zero numerators so far.  Zero
-    unigram matches give 0.
+    ``1 / (2^z k / ln h)``, divided by ``den_n``, z counting the zero
+    numerators so far: the current public rule.  Zero unigram matches give 0.
     """
     h = F.col("hyp_len")
     r = F.col("ref_len")
@@ -126,19 +126,19 @@ def bleu_from_counts(counts: DataFrame, max_n: int = 4, k: float = 5.0) -> Colum
     log_sum = F.lit(0.0)
     zeros = F.lit(0)
     fail = F.lit(False)
-    factor = F.lit(k) / F.log(h.cast("double"))
+    log_h = F.log(h.cast("double"))
     for n in range(1, max_n + 1):
         num = F.col(f"num{n}")
         den = F.col(f"den{n}")
         zeros = zeros + F.when(num == 0, 1).otherwise(0)
-        smoothed = F.pow(factor, zeros.cast("double")) / den
+        smoothed = log_h / (F.pow(F.lit(2.0), zeros.cast("double")) * k) / den
         p = F.when(num > 0, num / den).when(h > 1, smoothed)
         fail = fail | p.isNull() | (p <= 0)
         log_sum = log_sum + F.lit(1.0 / max_n) * F.log(F.when(p > 0, p))
     return F.when(F.col("num1") == 0, F.lit(0.0)).when(fail, F.lit(0.0)).otherwise(bp * F.exp(log_sum))
 
 
-def corpus_char_bleu(df: DataFrame, hyp: str, ref: str, row_id: str, by=(), max_n: int = 4) -> DataFrame:
+def corpus_char_bleu(df: DataFrame, hyp: str, ref: str, row_id, by=(), max_n: int = 4) -> DataFrame:
     counts = bleu_counts(df, hyp, ref, row_id, by, max_n)
     return counts.withColumn("bleu", bleu_from_counts(counts, max_n))
 
@@ -160,6 +160,8 @@ def bertscore(tokens: DataFrame, sid: str = "sid", side: str = "side", tok: str
     ``tokens`` has one row per (sample, side, token) with its contextual
     vector; the vectors come from an encoder outside Spark.  No IDF, no
     baseline rescaling; ``weight`` (default 1) lets special tokens count 0.
+    A zero vector has similarity 0 to everything; a sample with tokens on one
+    side only, or of weight 0 only, scores 0 in all three.
     """
     w = F.col(weight) if weight and weight in tokens.columns else F.lit(1.0)
     # Norms are per-token scalars computed once before the join; the cosine is
@@ -170,7 +172,8 @@ def bertscore(tokens: DataFrame, sid: str = "sid", side: str = "side", tok: str
                                               F.col("nv").alias("cn"), F.col("w").alias("cw"))
     r = t.where(F.col("side") == ref).select("sid", F.col("tok").alias("rt"), F.col("v").alias("rv"),
                                              F.col("nv").alias("rn"), F.col("w").alias("rw"))
-    cos = _dot(F.col("cv").cast("array<double>"), F.col("rv").cast("array<double>")) / (F.col("cn") * F.col("rn"))
+    dot = _dot(F.col("cv").cast("array<double>"), F.col("rv").cast("array<double>"))
+    cos = F.coalesce(F.try_divide(dot, F.col("cn") * F.col("rn")), F.lit(0.0))
     sims = c.join(r, on="sid", how="inner").select("sid", "ct", "rt", "cw", "rw", cos.alias("cos"))
     # Best match per candidate token and per reference token from one
     # grouping-sets aggregate over the similarity rows (one pass, not two).
@@ -181,10 +184,12 @@ def bertscore(tokens: DataFrame, sid: str = "sid", side: str = "side", tok: str
     cand_side = F.col("__gid") == 1   # (sid, ct): rt aggregated away
     ref_side = F.col("__gid") == 2    # (sid, rt): ct aggregated away
     out = best.groupBy("sid").agg(
-        (F.sum(F.when(cand_side, F.col("m") * F.col("cw"))) / F.sum(F.when(cand_side, F.col("cw"))))
+        F.try_divide(F.sum(F.when(cand_side, F.col("m") * F.col("cw"))), F.sum(F.when(cand_side, F.col("cw"))))
         .alias("precision"),
-        (F.sum(F.when(ref_side, F.col("m") * F.col("rw"))) / F.sum(F.when(ref_side, F.col("rw"))))
+        F.try_divide(F.sum(F.when(ref_side, F.col("m") * F.col("rw"))), F.sum(F.when(ref_side, F.col("rw"))))
         .alias("recall"))
+    # Samples without a pair of tokens have no similarity row; they score 0.
+    out = t.select("sid").distinct().join(out, "sid", "left").fillna(0.0, subset=["precision", "recall"])
     f1 = F.when((F.col("precision") + F.col("recall")) != 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
         .otherwise(F.lit(0.0))
@@ -240,17 +245,20 @@ def improvement(before, after) -> dict[str, Column]:
 # ---------------------------------------------------------------- E18
 def comparison_table(metrics: DataFrame, run: str = "run", baseline_run: str | None = None,
                      bert_f1: str = "f1_mean", must_pass: str = "must_have_pass_rate",
-                     forbidden: str = "forbidden_hit_rate", win: str = "win_rate") -> DataFrame:
+                     forbidden: str = "forbidden_hit_rate", win: str = "win_rate",
+                     labels=None) -> DataFrame:
     """Long (metric, run, value) table: F1, must-have pass, 1 - forbidden hit,
-    win rate (the baseline run's win rate is fixed at 0.5)."""
+    win rate (the baseline run's win rate is fixed at 0.5).  ``labels`` names
+    the four metrics where the columns hold something else."""
+    labels = list(labels or D.COMPARISON_LABELS)
     win_col = F.col(win) if baseline_run is None else \
         F.when(F.col(run) == baseline_run, F.lit(D.BASELINE_WIN_RATE)).otherwise(F.col(win))
     wide = metrics.select(F.col(run).alias("run"),
-                          F.col(bert_f1).cast("double").alias(D.COMPARISON_LABELS[0]),
-                          F.col(must_pass).cast("double").alias(D.COMPARISON_LABELS[1]),
-                          (1 - F.col(forbidden)).cast("double").alias(D.COMPARISON_LABELS[2]),
-                          win_col.cast("double").alias(D.COMPARISON_LABELS[3]))
-    return wide.unpivot("run", D.COMPARISON_LABELS, "metric", "value")
+                          F.col(bert_f1).cast("double").alias(labels[0]),
+                          F.col(must_pass).cast("double").alias(labels[1]),
+                          (1 - F.col(forbidden)).cast("double").alias(labels[2]),
+                          win_col.cast("double").alias(labels[3]))
+    return wide.unpivot("run", labels, "metric", "value")
 
 
 # ---------------------------------------------------------------- E19

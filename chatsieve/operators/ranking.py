@@ -30,6 +30,17 @@ from pyspark.sql import functions as F
 from chatsieve.session import ensure_checkpoint_dir
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on equal columns where a null matches a null (a null group is a group)."""
+    on = list(on)
+    if not on:
+        return left.crossJoin(right)
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"__on_{i}") for i, c in enumerate(on)],
+                           *[F.col(f"`{c}`") for c in right.columns if c not in on])
+    cond = [F.col(f"`{c}`").eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)]
+    return left.join(renamed, cond, how).drop(*[f"__on_{i}" for i in range(len(on))])
+
+
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -54,13 +65,12 @@ def _range_numbered(df: DataFrame, parts: list, orders: list, num_partitions: in
 
 
 def exact_row_number(df: DataFrame, partition_cols, order_cols, out: str = "row_number",
-                     num_partitions: int | None = None, broadcast_offsets: bool = False) -> DataFrame:
+                     num_partitions: int | None = None) -> DataFrame:
     """``row_number()`` over ``partitionBy(partition_cols).orderBy(order_cols)``.
 
     ``order_cols`` must give a total order inside each group (end with a
     unique key).  ``partition_cols`` may be empty (a global numbering).
-    ``broadcast_offsets`` may be set when the number of groups is known to be
-    small (the offset table has at most partitions x groups rows).
+    Rows whose group is null form a group of their own.
     """
     parts = list(partition_cols)
     orders = list(order_cols)
@@ -69,9 +79,7 @@ def exact_row_number(df: DataFrame, partition_cols, order_cols, out: str = "row_
         F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*parts).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0))).drop("__cnt")
-    if broadcast_offsets:
-        stats = F.broadcast(stats)
-    joined = keyed.join(stats, on=["__pid", *parts], how="inner")
+    joined = null_safe_join(keyed, stats, ["__pid", *parts])
     return (joined.withColumn(out, F.col("__off") + (F.col("__mid") - F.col("__first")) + 1)
             .drop("__pid", "__mid", "__first", "__off"))
 
@@ -99,7 +107,7 @@ def running_max(df: DataFrame, partition_cols, order_cols, value: str, out: str
     stats = keyed.groupBy("__pid", *parts).agg(F.max(value).alias("__pmax"))
     w = Window.partitionBy(*parts).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("__carry", F.max("__pmax").over(w)).drop("__pmax")
-    joined = keyed.join(stats, on=["__pid", *parts], how="inner")
+    joined = null_safe_join(keyed, stats, ["__pid", *parts])
     best = F.when(F.col("__carry").isNull(), F.col("__local")) \
         .when(F.col("__local").isNull(), F.col("__carry")) \
         .otherwise(F.greatest("__local", "__carry"))

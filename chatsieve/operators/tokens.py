@@ -18,7 +18,7 @@ from chatsieve import defaults as D
 from chatsieve.functions.chat import fragment, is_query, render_chat, render_prompt
 from chatsieve.functions.text import chars
 from chatsieve.operators.preference import given_category_prompt
-from chatsieve.operators.ranking import exact_row_number
+from chatsieve.operators.ranking import exact_row_number, null_safe_join
 
 
 def _col(c) -> Column:
@@ -108,12 +108,14 @@ def tokenizer_udf(encode: Callable[[str], list[int]]):
     return F.pandas_udf(_tok, T.ArrayType(T.IntegerType()))
 
 
-def masked_sequence(prompt_ids: Column, answer_ids: Column, max_length: int) -> dict[str, Column]:
+def masked_sequence(prompt_ids: Column, answer_ids: Column, max_length: int | None) -> dict[str, Column]:
     """input_ids = prompt ++ answer, labels = -100 x prompt ++ answer, mask = 1s;
-    all right-truncated to ``max_length``."""
+    all right-truncated to ``max_length`` (None: whole)."""
     ids = F.concat(prompt_ids, answer_ids)
     labels = F.concat(F.transform(prompt_ids, lambda _x: F.lit(D.IGNORE_INDEX)), answer_ids)
     mask = F.transform(ids, lambda _x: F.lit(1))
+    if max_length is None:
+        return {"input_ids": ids, "attention_mask": mask, "labels": labels}
     return {
         "input_ids": F.slice(ids, 1, max_length),
         "attention_mask": F.slice(mask, 1, max_length),
@@ -121,7 +123,7 @@ def masked_sequence(prompt_ids: Column, answer_ids: Column, max_length: int) ->
     }
 
 
-def masked_examples(df: DataFrame, max_length: int, messages="messages",
+def masked_examples(df: DataFrame, max_length: int | None, messages="messages",
                     encode: Callable[[Column], Column] = codepoint_ids, eos: str = D.IM_END,
                     keep=("category", "source")) -> DataFrame:
     """Training sequences from chat rows; rows without an assistant turn are dropped
@@ -136,21 +138,25 @@ def masked_examples(df: DataFrame, max_length: int, messages="messages",
 
 
 # ---------------------------------------------------------------- P5
-def pad_batches(df: DataFrame, batch_size: int, order_col: str, pad_id: int = 0,
+def pad_batches(df: DataFrame, batch_size: int, order_col, pad_id: int = 0,
                 multiple: int = D.PAD_MULTIPLE) -> DataFrame:
     """Pad each batch of ``batch_size`` consecutive rows (in ``order_col``
-    order) to the batch's longest sequence rounded up to ``multiple``: ids
-    with ``pad_id``, mask with 0, labels with -100.
+    order, a unique column or a list that is unique together) to the batch's
+    longest sequence rounded up to ``multiple``: ids with ``pad_id``, mask
+    with 0, labels with -100.
 
     The global order comes from ``exact_row_number`` (range partitioning +
-    offsets), not an unpartitioned window; the batch maximum is a partially
-    aggregated ``groupBy`` joined back on the batch number.
+    offsets) over a narrow table of keys and lengths, so only that is
+    sorted and checkpointed; the token arrays meet it in one join on the key.
     """
-    numbered = exact_row_number(df, [], [order_col], "__rn")
+    keys = [order_col] if isinstance(order_col, str) else list(order_col)
+    narrow = df.select(*keys, F.size("input_ids").alias("__len"))
+    numbered = exact_row_number(narrow, [], keys, "__rn")
     numbered = numbered.withColumn("batch", F.floor((F.col("__rn") - 1) / batch_size).cast("long"))
-    longest = numbered.groupBy("batch").agg(F.max(F.size("input_ids")).alias("__max"))
+    longest = numbered.groupBy("batch").agg(F.max("__len").alias("__max"))
     target = (F.ceil(F.col("__max") / multiple) * multiple).cast("int") if multiple else F.col("__max")
-    j = numbered.join(longest, "batch").withColumn("__pad", target - F.size("input_ids"))
+    plan = numbered.join(longest, "batch").select(*keys, "batch", (target - F.col("__len")).alias("__pad"))
+    j = null_safe_join(df, plan, keys)
     pad = lambda v: F.array_repeat(F.lit(v), F.col("__pad"))
     return j.select(
         *[c for c in df.columns if c not in ("input_ids", "attention_mask", "labels")], "batch",

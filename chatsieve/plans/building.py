@@ -43,7 +43,7 @@ SELECT doc_id, lang, {sql_scene_case('text')} AS category FROM documents""")(q_c
 def scored_docs(spark, sf):
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    score = F.coalesce(F.col("quality"), F.lit(0)) + F.least(effective_chars("text"), F.lit(5000)) / 5000.0
+    score = F.coalesce(F.col("quality"), F.lit(0)) + effective_chars("text") / 5000.0
     return docs.join(labels, "doc_id", "left").withColumn("score", score)
 
 
@@ -53,7 +53,7 @@ def q_quality_top_k(spark, sf):
 
 
 SQL_SCORED = f"""scored AS (
-  SELECT d.doc_id, d.text, coalesce(l.quality, 0) + least({SQL_EFF}, 5000) / 5000.0 AS score
+  SELECT d.doc_id, d.text, coalesce(l.quality, 0) + {SQL_EFF} / 5000.0 AS score
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 register("quality_top_k", f"""WITH {SQL_SCORED}
@@ -97,7 +97,7 @@ def q_split_train_eval(spark, sf):
 
 
 register("split_train_eval", f"""
-SELECT doc_id, CASE WHEN substr({sql_hash('doc_id')}, 1, 4) < '{"%04x" % int(round(EVAL_FRACTION * 65536))}'
+SELECT doc_id, CASE WHEN CAST('0x' || substr({sql_hash('doc_id')}, 1, 13) AS BIGINT) / 4503599627370496.0 < {EVAL_FRACTION}
                     THEN 'eval' ELSE 'train' END AS split
 FROM documents""")(q_split_train_eval)
 

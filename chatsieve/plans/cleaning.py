@@ -140,18 +140,18 @@ SELECT doc_id, CAST({SQL_EFF} AS INTEGER) AS eff_chars FROM documents WHERE {SQL
 # ---------------------------------------------------------------- C8
 def q_drop_duplicate_qa(spark, sf):
     pairs = C.extract_qa_pairs(table(spark, sf, "conversations")) \
-        .withColumn("pair_key", F.col("conv_id") * 1000 + F.col("turn"))
+        .withColumn("pair_key", F.struct("conv_id", "turn"))
     return C.drop_duplicate_qa(pairs, "pair_key").select("conv_id", "turn")
 
 
 register("drop_duplicate_qa", f"""
 WITH p AS (
-  SELECT q.conv_id, q.turn, q.conv_id * 1000 + q.turn AS pair_key,
-         lower(regexp_replace(q.text, '{SQL_WS}+', '', 'g')) AS nq,
+  SELECT q.conv_id, q.turn, lower(regexp_replace(q.text, '{SQL_WS}+', '', 'g')) AS nq,
          lower(regexp_replace(a.text, '{SQL_WS}+', '', 'g')) AS na
   FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
   WHERE q.role = 'user' AND a.role = 'assistant')
-SELECT conv_id, turn FROM p WHERE pair_key IN (SELECT min(pair_key) FROM p GROUP BY nq, na)
+SELECT conv_id, turn FROM (
+  SELECT *, row_number() OVER (PARTITION BY nq, na ORDER BY conv_id, turn) AS k FROM p) WHERE k = 1
 """)(q_drop_duplicate_qa)
 
 
@@ -183,10 +183,26 @@ def q_repetition(spark, sf):
     return docs.select("doc_id", r6(repetition_ratio("text", REPEAT_N)).alias("repetition"))
 
 
-# Character n-gram repetition has no SQL oracle: every DuckDB spelling is
-# quadratic in text length on these documents (minutes at sf0.01).  It is
-# checked against a brute-force Python version in tests/test_text.py.
-register("repetition", None)(q_repetition)
+# One row per character; lead() builds the n-gram that starts there.
+SQL_GRAMS = f"""bare AS (
+  SELECT doc_id, string_split(regexp_replace(text, '{SQL_WS}+', '', 'g'), '') AS cs FROM documents),
+ch AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS pos FROM bare),
+grams AS (
+  SELECT doc_id, c || {' || '.join(f"lead(c, {i}) OVER w" for i in range(1, REPEAT_N))} AS g
+  FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+rep AS (
+  SELECT doc_id, 1.0 - count(DISTINCT g) / count(g) AS repetition FROM grams WHERE g IS NOT NULL GROUP BY doc_id),
+all_rep AS (SELECT doc_id, source, coalesce(repetition, 0.0) AS repetition FROM documents LEFT JOIN rep USING (doc_id))"""
+register("repetition", f"WITH {SQL_GRAMS} SELECT doc_id, round(repetition, 6) AS repetition FROM all_rep")(q_repetition)
+
+
+def q_drop_repetitive(spark, sf):
+    docs = table(spark, sf, "documents")
+    return C.drop_repetitive(docs, "text", REPEAT_N, REPEAT_MAX).select("doc_id", "source")
+
+
+register("drop_repetitive", f"WITH {SQL_GRAMS} SELECT doc_id, source FROM all_rep WHERE repetition <= {REPEAT_MAX}")(
+    q_drop_repetitive)
 
 
 def q_line_repetition(spark, sf):
@@ -283,7 +299,7 @@ TEMPLATES = [
 def q_augment(spark, sf):
     base = C.extract_qa_pairs(table(spark, sf, "conversations"))
     templates = spark.createDataFrame(TEMPLATES, "lang string, question_template string, answer_template string")
-    slots = table(spark, sf, "documents").select("lang", F.col("source").alias("slot"))
+    slots = table(spark, sf, "documents").select("lang", F.col("source").alias("slot")).distinct()
     aug = augment(base, templates, slots, on="lang")
     return aug.groupBy("source", F.md5(F.concat_ws("|", "question", "answer")).alias("row_md5")) \
         .agg(F.count(F.lit(1)).alias("n"))
@@ -302,7 +318,7 @@ WITH base AS (
 filled AS (
   SELECT replace(question_template, '{{slot}}', d.source) AS question,
          replace(answer_template, '{{slot}}', d.source) AS answer, 'rule_augmented' AS source
-  FROM {_sql_templates()} JOIN documents d USING (lang)),
+  FROM {_sql_templates()} JOIN (SELECT DISTINCT lang, source FROM documents) d USING (lang)),
 u AS (SELECT * FROM base UNION ALL SELECT * FROM filled)
 SELECT source, md5(concat_ws('|', question, answer)) AS row_md5, count(*) AS n FROM u GROUP BY ALL
 """)(q_augment)

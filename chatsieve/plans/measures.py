@@ -27,36 +27,38 @@ SAMPLE_BLOCK = 16
 
 # ---------------------------------------------------------------- E12
 def q_positional_align(spark, sf):
-    refs = table(spark, sf, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("ref"))
-    preds = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("pred"))
-    j = M.positional_align(preds, refs, "pos", strict=False)
+    """Equal sizes (strict): the documents against themselves in reverse order."""
+    docs = table(spark, sf, "documents")
+    last = docs.agg(F.max("doc_id").alias("last"))
+    refs = docs.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("doc_id")).alias("pos"), F.col("text").alias("ref"))
+    preds = docs.select(F.col("doc_id").alias("pos"), F.col("text").alias("pred"))
+    j = M.positional_align(preds, refs, "pos")
     return j.select("pos", F.md5("pred").alias("pred_md5"), F.md5("ref").alias("ref_md5"))
 
 
 register("positional_align", """
-SELECT d.doc_id AS pos, md5(d.text) AS pred_md5, md5(b.text) AS ref_md5
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id""")(q_positional_align)
+SELECT d.doc_id AS pos, md5(d.text) AS pred_md5, md5(r.text) AS ref_md5
+FROM documents d JOIN documents r ON r.doc_id = (SELECT max(doc_id) FROM documents) - d.doc_id""")(q_positional_align)
 
 
 # ---------------------------------------------------------------- E13 / E14
 def q_char_bleu(spark, sf):
     pairs = extract_qa_pairs(table(spark, sf, "conversations")) \
-        .withColumn("category", classify("question", TEST_SCENES, "other")) \
-        .withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
-    b = M.corpus_char_bleu(pairs, "answer", "question", "row_id", by=["category"])
+        .withColumn("category", classify("question", TEST_SCENES, "other"))
+    b = M.corpus_char_bleu(pairs, "answer", "question", ["conv_id", "turn"], by=["category"])
     return b.select("category", "num_rows", "hyp_len", "ref_len",
                     *[f"num{n}" for n in range(1, 5)], *[f"den{n}" for n in range(1, 5)],
                     r6(F.col("bleu")).alias("bleu"))
 
 
 SQL_QA_BLEU = f"""qa AS (
-  SELECT q.conv_id * 1000 + q.turn AS row_id, {sql_scene_case('q.text')} AS category,
+  SELECT (q.conv_id, q.turn) AS row_id, {sql_scene_case('q.text')} AS category,
          regexp_replace(a.text, '{SQL_WS}+', '', 'g') AS h, regexp_replace(q.text, '{SQL_WS}+', '', 'g') AS r
   FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
   WHERE q.role = 'user' AND a.role = 'assistant')"""
 
 SQL_RUNS_BLEU = f"""qa AS (
-  SELECT q.conv_id * 1000 + q.turn AS row_id, 'all' AS category,
+  SELECT (q.conv_id, q.turn) AS row_id, 'all' AS category,
          regexp_replace(a.text, '{SQL_WS}+', '', 'g') AS h, regexp_replace(b.text, '{SQL_WS}+', '', 'g') AS r
   FROM conversations q
   JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
@@ -66,7 +68,7 @@ SQL_RUNS_BLEU = f"""qa AS (
 
 def _sql_bleu(qa_cte: str = SQL_QA_BLEU) -> str:
     p = [f"CASE WHEN num{n} > 0 THEN num{n} / den{n} WHEN hyp_len > 1 THEN "
-         f"pow(5.0 / ln(hyp_len), {' + '.join(f'CAST(num{m} = 0 AS INTEGER)' for m in range(1, n + 1))}) / den{n} END"
+         f"ln(hyp_len) / (5.0 * pow(2.0, {' + '.join(f'CAST(num{m} = 0 AS INTEGER)' for m in range(1, n + 1))})) / den{n} END"
          for n in range(1, 5)]
     bad = " OR ".join(f"coalesce(p{n}, 0) <= 0" for n in range(1, 5))
     return f"""WITH {qa_cte},
@@ -109,9 +111,8 @@ def q_char_bleu_runs(spark, sf):
     hyp = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     ref = conv.select("conv_id", (F.col("turn") - 3).alias("turn"), F.col("text").alias("ref"))
     users = table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn")
-    pairs = users.join(hyp, ["conv_id", "turn"]).join(ref, ["conv_id", "turn"]) \
-        .withColumn("row_id", F.col("conv_id") * 1000 + F.col("turn"))
-    b = M.corpus_char_bleu(pairs, "hyp", "ref", "row_id")
+    pairs = users.join(hyp, ["conv_id", "turn"]).join(ref, ["conv_id", "turn"])
+    b = M.corpus_char_bleu(pairs, "hyp", "ref", ["conv_id", "turn"])
     return b.select(F.lit("all").alias("category"), "num_rows", "hyp_len", "ref_len",
                     *[f"num{n}" for n in range(1, 5)], *[f"den{n}" for n in range(1, 5)],
                     r6(F.col("bleu")).alias("bleu"))
@@ -210,6 +211,10 @@ FROM w, m""")(q_win_rate)
 
 
 # ---------------------------------------------------------------- E18
+# The first column is the mean rule score here, so that is its label.
+COMPARED = ["Average Rule Score", "Must-have Pass", "1 - Forbidden Hit", "Win Rate"]
+
+
 def q_comparison_table(spark, sf):
     piv = runs_side_by_side(spark, sf)
     # every figure from one aggregate over the side-by-side table
@@ -221,7 +226,7 @@ def q_comparison_table(spark, sf):
                  F.col(f"{r}_must").alias("must_have_pass_rate"), F.col(f"{r}_forb").alias("forbidden_hit_rate"),
                  F.col("win_rate").alias("win_rate"))
         for r in ("next", "later")])))
-    t = M.comparison_table(per_run, baseline_run="next", bert_f1="avg_rule_score")
+    t = M.comparison_table(per_run, baseline_run="next", bert_f1="avg_rule_score", labels=COMPARED)
     return t.select("run", "metric", r6(F.col("value")).alias("value"))
 
 
@@ -240,7 +245,7 @@ w AS (SELECT sum(CASE WHEN b > a THEN 1 ELSE 0 END) / count(*) AS win FROM p),
 wide AS (SELECT q.run, q.quality, r.must, 1 - r.forb AS nf,
                 CASE WHEN q.run = 'next' THEN 0.5 ELSE (SELECT win FROM w) END AS wr
          FROM q JOIN rates r USING (run))
-SELECT run, 'BERTScore F1' AS metric, round(quality, 6) AS value FROM wide
+SELECT run, 'Average Rule Score' AS metric, round(quality, 6) AS value FROM wide
 UNION ALL SELECT run, 'Must-have Pass', round(must, 6) FROM wide
 UNION ALL SELECT run, '1 - Forbidden Hit', round(nf, 6) FROM wide
 UNION ALL SELECT run, 'Win Rate', round(wr, 6) FROM wide""")(q_comparison_table)
@@ -286,11 +291,11 @@ FROM events GROUP BY event_type""")(q_rubric_rollup)
 # ---------------------------------------------------------------- E22
 def q_pair_answers(spark, sf):
     outs = S.two_run_outputs(spark, sf).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "run", F.col("output").alias("answer"))
-    p = M.pair_answers(outs, "id", "run", "answer", ["next", "later"])
-    return p.select("id", F.md5("next_answer").alias("next_md5"), F.md5("later_answer").alias("later_md5"))
+        "conv_id", "turn", "run", F.col("output").alias("answer"))
+    p = M.pair_answers(outs, ["conv_id", "turn"], "run", "answer", ["next", "later"])
+    return p.select("conv_id", "turn", F.md5("next_answer").alias("next_md5"), F.md5("later_answer").alias("later_md5"))
 
 
 register("pair_answers", f"""WITH o AS ({S._sql_outputs(1, "next")} UNION ALL {S._sql_outputs(3, "later")})
-SELECT a.conv_id * 1000 + a.turn AS id, md5(a.output) AS next_md5, md5(b.output) AS later_md5
+SELECT a.conv_id, a.turn, md5(a.output) AS next_md5, md5(b.output) AS later_md5
 FROM o a JOIN o b USING (conv_id, turn) WHERE a.run = 'next' AND b.run = 'later'""")(q_pair_answers)

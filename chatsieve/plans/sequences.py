@@ -136,60 +136,70 @@ FROM rows""")(q_last_assistant)
 
 
 # ---------------------------------------------------------------- P4
-def masked(spark, sf):
-    rows = chat_rows(spark, sf).withColumn("pair_key", F.col("conv_id") * 1000 + F.col("turn"))
-    return TK.masked_examples(rows, MAX_LENGTH, keep=("conv_id", "turn", "pair_key", "category", "source"))
+def masked(spark, sf, max_length=None):
+    return TK.masked_examples(chat_rows(spark, sf), max_length, keep=("conv_id", "turn", "category", "source"))
 
 
 def _ids_md5(c: str):
     return F.md5(F.array_join(F.col(c), ","))
 
 
-def q_masked_sequences(spark, sf):
-    m = masked(spark, sf)
+def _masked_digest(m):
     return m.select("conv_id", "turn", F.size("input_ids").alias("n_tokens"),
                     F.size(F.filter("labels", lambda x: x != D.IGNORE_INDEX)).alias("n_answer_tokens"),
                     _ids_md5("input_ids").alias("ids_md5"), _ids_md5("labels").alias("labels_md5"),
                     _ids_md5("attention_mask").alias("mask_md5"))
 
 
+def q_masked_sequences(spark, sf):
+    return _masked_digest(masked(spark, sf))
+
+
+def q_masked_sequences_cut(spark, sf):
+    """The same, right-truncated to MAX_LENGTH, which here is the feature."""
+    return _masked_digest(masked(spark, sf, MAX_LENGTH))
+
+
 def _sql_cp(s: str) -> str:
     return f"list_transform(string_split({s}, ''), lambda c: unicode(c))"
 
 
 SQL_MASKED = f"""m0 AS (
-  SELECT conv_id, turn, conv_id * 1000 + turn AS pair_key,
-         {_sql_cp(sql_render('question'))} AS p, {_sql_cp(f"answer || '{D.IM_END}'")} AS a
+  SELECT conv_id, turn, {_sql_cp(sql_render('question'))} AS p, {_sql_cp(f"answer || '{D.IM_END}'")} AS a
   FROM rows WHERE answer IS NOT NULL),
 m AS (
-  SELECT conv_id, turn, pair_key,
-         list_slice(list_concat(p, a), 1, {MAX_LENGTH}) AS input_ids,
-         list_slice(list_concat(list_transform(p, lambda x: -100), a), 1, {MAX_LENGTH}) AS labels,
-         list_transform(list_slice(list_concat(p, a), 1, {MAX_LENGTH}), lambda x: 1) AS attention_mask
+  SELECT conv_id, turn, list_concat(p, a) AS input_ids,
+         list_concat(list_transform(p, lambda x: -100), a) AS labels,
+         list_transform(list_concat(p, a), lambda x: 1) AS attention_mask
   FROM m0)"""
+SQL_MASKED_CUT = SQL_MASKED + f""", cut AS (
+  SELECT conv_id, turn, list_slice(input_ids, 1, {MAX_LENGTH}) AS input_ids, list_slice(labels, 1, {MAX_LENGTH}) AS labels,
+         list_slice(attention_mask, 1, {MAX_LENGTH}) AS attention_mask FROM m)"""
 
-register("masked_sequences", f"""WITH {SQL_ROWS}, {SQL_MASKED}
+_SQL_MASKED_DIGEST = """
 SELECT conv_id, turn, CAST(len(input_ids) AS INTEGER) AS n_tokens,
        CAST(len(list_filter(labels, lambda x: x <> -100)) AS INTEGER) AS n_answer_tokens,
        md5(array_to_string(input_ids, ',')) AS ids_md5, md5(array_to_string(labels, ',')) AS labels_md5,
        md5(array_to_string(attention_mask, ',')) AS mask_md5
-FROM m""")(q_masked_sequences)
+FROM """
+register("masked_sequences", f"WITH {SQL_ROWS}, {SQL_MASKED}{_SQL_MASKED_DIGEST} m")(q_masked_sequences)
+register("masked_sequences_cut", f"WITH {SQL_ROWS}, {SQL_MASKED_CUT}{_SQL_MASKED_DIGEST} cut")(q_masked_sequences_cut)
 
 
 # ---------------------------------------------------------------- P5
 def q_pad_batches(spark, sf):
-    p = TK.pad_batches(masked(spark, sf), BATCH, "pair_key", pad_id=0)
-    return p.select("pair_key", "batch", F.size("input_ids").alias("padded_len"),
+    p = TK.pad_batches(masked(spark, sf), BATCH, ["conv_id", "turn"], pad_id=0)
+    return p.select("conv_id", "turn", "batch", F.size("input_ids").alias("padded_len"),
                     _ids_md5("input_ids").alias("ids_md5"), _ids_md5("attention_mask").alias("mask_md5"),
                     _ids_md5("labels").alias("labels_md5"))
 
 
 register("pad_batches", f"""WITH {SQL_ROWS}, {SQL_MASKED},
-b AS (SELECT *, (row_number() OVER (ORDER BY pair_key) - 1) // {BATCH} AS batch FROM m),
+b AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // {BATCH} AS batch FROM m),
 mx AS (SELECT batch, CAST(ceil(max(len(input_ids)) / {D.PAD_MULTIPLE}) * {D.PAD_MULTIPLE} AS INTEGER) AS tgt
        FROM b GROUP BY batch),
 p AS (SELECT b.*, tgt - len(input_ids) AS pad FROM b JOIN mx USING (batch))
-SELECT pair_key, CAST(batch AS BIGINT) AS batch, tgt AS padded_len,
+SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch, tgt AS padded_len,
   md5(array_to_string(list_concat(input_ids, list_transform(range(pad), lambda x: 0)), ',')) AS ids_md5,
   md5(array_to_string(list_concat(attention_mask, list_transform(range(pad), lambda x: 0)), ',')) AS mask_md5,
   md5(array_to_string(list_concat(labels, list_transform(range(pad), lambda x: -100)), ',')) AS labels_md5

@@ -51,8 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Return the checkpoint directory named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we create one, under
-    ``fallback`` or a fresh temporary folder.
+    as is.  Only when it is unset do we create one: under ``fallback`` where
+    the caller names a folder, else a temporary one, and that only under a
+    local master, as executors of a cluster would not see it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -66,6 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     if sc_dir:
         return sc_dir
+    local = sc.master == "local" or sc.master.startswith("local[")
+    if not fallback and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="chatsieve-ckpt-")
     os.makedirs(path, exist_ok=True)
     sc.setCheckpointDir(path)

@@ -20,13 +20,30 @@ from chatsieve.operators.ranking import exact_row_number
 
 # ---------------------------------------------------------------- S1 / S2
 def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = None,
-               strict: bool = True) -> DataFrame:
+               strict: bool = True, corrupt_col: str = "_corrupt_record") -> DataFrame:
     """One JSON object per line; blank lines skipped; a malformed line fails
-    the job when ``strict`` (else it is dropped)."""
-    r = spark.read.option("mode", "FAILFAST" if strict else "DROPMALFORMED")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    the job when ``strict``.
+
+    Otherwise every line stays: a malformed one is a row whose ``corrupt_col``
+    holds its text (null on the others).  ``split_corrupt`` parts the two.
+    """
+    if strict:
+        r = spark.read.option("mode", "FAILFAST")
+        return (r.schema(schema) if schema is not None else r).json(path)
+    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_col)
+    if schema is None:
+        schema = r.json(path).schema
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if corrupt_col not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType())])
+    return r.schema(schema).json(path)
+
+
+def split_corrupt(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+    """(well-formed rows, quarantine of malformed lines) of ``read_jsonl(strict=False)``."""
+    good = df.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
+    return good, df.where(F.col(corrupt_col).isNotNull()).select(F.col(corrupt_col).alias("line"))
 
 
 def read_named_splits(spark: SparkSession, paths: dict, schema=None, split_col: str = "split") -> DataFrame:
@@ -116,43 +133,3 @@ def write_lines(lines: DataFrame, path: str, order_col: str = "order", text_col:
                 mode: str = "overwrite") -> None:
     """Ordered text lines (Markdown reports) into one file."""
     lines.orderBy(order_col).select(text_col).coalesce(1).write.mode(mode).text(path)
-
-
-# ---------------------------------------------------------------- scan balancing
-def _row_groups(path: str) -> int | None:
-    try:
-        import pyarrow.parquet as pq
-        local = path[len("file:"):] if path.startswith("file:") else path
-        return pq.ParquetFile(local).metadata.num_row_groups
-    except Exception:  # noqa: BLE001 - remote or unreadable footer: no opinion
-        return None
-
-
-def spread_small_input(df: DataFrame, factor: int = 4) -> DataFrame:
-    """Round-robin an input that is stored too coarsely to keep every core busy.
-
-    A Parquet row group is the smallest unit a scan can split, so a file
-    with one row group is read by one task however large its rows are.  When
-    the input has fewer files *and* fewer row groups than the default
-    parallelism, the rows are spread over ``factor x parallelism``
-    partitions before the per-row text work.  Inputs with enough files or
-    row groups (every production-sized table) are returned unchanged, so no
-    extra shuffle is added at scale.  Only the footers of that handful of
-    files are read, on the driver.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        files = df.inputFiles()
-    except Exception:  # noqa: BLE001 - e.g. a client session without a SparkContext
-        return df
-    if not files or len(files) >= par:
-        return df
-    groups = 0
-    for f in files:
-        g = _row_groups(f)
-        if g is None:
-            return df
-        groups += g
-    if groups >= par:
-        return df
-    return df.repartition(par * factor)

@@ -165,15 +165,11 @@ def test_eval_summary_schema_golden(spark, tmpdir_path):
             all(isinstance(mine[k], (int, float)) == isinstance(v, (int, float)) for k, v in gold.items())
 
 
-def test_spread_small_input_only_for_coarse_inputs(spark, tmpdir_path):
-    df = spark.range(2000).withColumnRenamed("id", "k")
-    one = os.path.join(tmpdir_path, "one")
-    many = os.path.join(tmpdir_path, "many")
-    df.coalesce(1).write.parquet(one)
-    df.repartition(spark.sparkContext.defaultParallelism * 2).write.parquet(many)
-    spread = IO.spread_small_input(spark.read.parquet(one))
-    kept = IO.spread_small_input(spark.read.parquet(many))
-    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan(spread)
-    assert "RoundRobinPartitioning" not in plan(kept)
-    assert spread.count() == kept.count() == 2000
+def test_malformed_lines_go_to_the_quarantine(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "x.jsonl")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"a": 1}\n{"a": \n{"a": 3}\nnot json\n')
+    for schema in (None, "a long"):
+        good, bad = IO.split_corrupt(IO.read_jsonl(spark, path, schema, strict=False))
+        assert sorted(r["a"] for r in good.collect()) == [1, 3]
+        assert sorted(r["line"] for r in bad.collect()) == ["not json", '{"a": ']

@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     if name not in SQL:
-        assert len(rows) >= 0
+        assert rows, "a query without an oracle must still return rows"
         return
     rel = duck.sql(SQL[name])
     assert not type_mismatches(df.dtypes, rel.columns, rel.types)
