@@ -67,17 +67,23 @@ def codewords(n: int, seed: int = 11, tries: int = 200) -> np.ndarray:
 def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
     """(texts, bits): mean weight of each text's n-grams."""
     raws = [t.lower().encode() for t in texts]
-    ends = np.cumsum([len(r) + 1 for r in raws])
-    buf = np.frombuffer(b"\0".join(raws) + b"\0\0\0", dtype=np.uint8)
+    ends = np.cumsum([len(r) + 2 for r in raws])  # two zero bytes after each text
+    buf = np.frombuffer(b"\0\0".join(raws) + b"\0\0\0\0", dtype=np.uint8)
     total = np.zeros((len(texts), weights.shape[1]))
     starts = np.concatenate([[0], ends[:-1]])
+    weights = np.concatenate([weights, np.zeros((1, weights.shape[1]), dtype=weights.dtype)])
     for lo in range(0, int(ends[-1]), SLICE):
         hi = min(int(ends[-1]), lo + SLICE)
         pairs, triples = grams(buf[lo:hi + 2])
         k = hi - lo
+        pairs, triples = pairs[:k], triples[:k]
         first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi - 1, "right")
+        # N-grams that reach into the next text weigh nothing.
+        for places, back in ((pairs, 1), (triples, 1), (triples, 2)):
+            over = ends[first:last + 1] - back - lo
+            places[over[(over >= 0) & (over < k)]] = SIZE
         cuts = np.maximum(starts[first:last + 1] - lo, 0)
-        for places in (pairs[:k], triples[:k]):
+        for places in (pairs, triples):
             total[first:last + 1] += np.add.reduceat(weights[places], cuts, axis=0)
     n = np.array([2.0 * (len(r) + 1) for r in raws])
     return total / n[:, None]
