@@ -50,7 +50,36 @@ def op4(spark, sf_dir):
     return weak_rules.judge(documents(spark, sf_dir))
 
 
-@query("op5_license_scan")
+def _license_sql() -> str:
+    items = [(True, *x) for x in license_scan.BASE] + [(False, *x) for x in license_scan.TEMPLATES]
+    rows = [f"('{base}:{label}:{phrase}', '{label}', {base}, {len(phrase.split()) - 1}, {i}, '{a} {b}')"
+            for base, label, phrase in items for i, (a, b) in enumerate(zip(phrase.split(), phrase.split()[1:]))]
+    return rf"""
+WITH t(tid, label, is_base, n_grams, tpos, tgram) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, md5(coalesce(text, '')) AS key, list_filter(string_split_regex(
+        lower(replace(coalesce(text, ''), chr(8490), chr(8491))), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+      FROM documents),
+g AS (SELECT doc_id, key, unnest(range(1, len(w))) AS i,
+             unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM d),
+h AS (SELECT doc_id, key, tid, label, is_base, n_grams, i - 1 - tpos AS diag, bit_or(CAST(1 AS BIGINT) << tpos) AS mask
+      FROM g JOIN t ON gram = tgram GROUP BY ALL),
+s AS (SELECT *, CASE WHEN is_base OR coalesce(diag - lag(diag) OVER (PARTITION BY doc_id, key, tid ORDER BY diag), 99)
+                          > {license_scan.NEAR} THEN 1 ELSE 0 END AS new FROM h),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, key, tid ORDER BY diag) AS run FROM s),
+m AS (SELECT doc_id, key, tid, label, is_base, least(bit_count(bit_or(mask)) / n_grams, 1.0) AS share,
+             greatest(min(diag), 0) AS start FROM r GROUP BY doc_id, key, tid, label, is_base, n_grams, run),
+f AS (SELECT * FROM m WHERE CASE WHEN is_base THEN share = 1 ELSE share >= {license_scan.MIN_SHARE} END),
+a AS (SELECT doc_id, key, count(*) FILTER (WHERE is_base) AS n_base, min(start) FILTER (WHERE is_base) AS first_word,
+             max(start) FILTER (WHERE is_base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE is_base) AS base_labels,
+             string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id, key)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (doc_id, key)"""
+
+
+@query("op5_license_scan", _license_sql())
 def op5(spark, sf_dir):
     return license_scan.license_digest(documents(spark, sf_dir))
 
