@@ -27,6 +27,14 @@ SYSTEM_PROMPT = """你是一个专业、谨慎、负责的电商客服助手。
 客服回复：xxx
 """
 
+# The published chat rows with dialogue context: system prompt, task, labels, speakers.
+SERVICE_SYSTEM_PROMPT = ("你是一名专业、礼貌、遵守平台规则的电商客服助手。回答需要先安抚用户，再给出清晰、可执行的处理建议，"
+                         "不能随意承诺退款、赔偿或补发。")
+CONTEXT_TASK = "请根据以下电商客服对话上下文，生成一段合适、礼貌、可执行的客服回复。"
+CONTEXT_SCENE_LABEL = "场景类别："
+CONTEXT_LABEL = "对话上下文："
+SPEAKER_NAMES = {"user": "用户", "assistant": "客服"}
+
 # Prompt pieces.
 CHOOSE_CATEGORY_PREAMBLE = "请先从以下类别中选择最合适的一个场景分类，然后给出客服回复：\n"
 CATEGORY_JOINER = "、"

@@ -149,8 +149,9 @@ def detokenize(c, script: str = "Han") -> Column:
 # ---------------------------------------------------------------- C6
 def context_text(turns: DataFrame, conv="conv_id", turn="turn", role="role", text="text",
                  target_role: str = "assistant", max_turns: int | None = None,
-                 sep: str = "\n") -> DataFrame:
-    """Prior turns of each ``target_role`` turn as ``role: text`` lines.
+                 sep: str = "\n", prefix_role: bool = True) -> DataFrame:
+    """Prior turns of each ``target_role`` turn as ``role: text`` lines
+    (without ``prefix_role`` as the texts alone).
 
     ``turn`` must be a dense position (``with_dense_turns`` makes it one).
     Each target turn generates the positions it needs (all earlier turns, or
@@ -164,7 +165,8 @@ def context_text(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
     wanted = targets.where(F.col("target_turn") > 0).select(
         conv, "target_turn",
         F.explode(F.sequence(start, F.col("target_turn") - 1)).alias(turn))
-    lines = turns.select(conv, turn, F.concat_ws(": ", F.col(role), F.col(text)).alias("__line"))
+    line = F.concat_ws(": ", F.col(role), F.col(text)) if prefix_role else F.col(text)
+    lines = turns.select(conv, turn, line.alias("__line"))
     ctx = (wanted.join(lines, on=[conv, turn], how="inner")
            .groupBy(conv, "target_turn")
            .agg(F.array_sort(F.collect_list(F.struct(F.col(turn), F.col("__line")))).alias("__l")))

@@ -179,7 +179,11 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42,
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     quotas = stratum_quotas(counts.withColumnRenamed(stratum, "__s"), n, "__s", "n", floors) \
         .withColumnRenamed("__s", stratum)
-    ranked = exact_row_number(df.withColumn("__h", hash_key(seed, key)), [stratum], ["__h", key], "__rn")
+    # No quota exceeds n, so each task passes on at most n rows of a stratum
+    # (Spark's window group limit) and no whole stratum meets in one task.
+    w = Window.partitionBy(stratum).orderBy("__h", key)
+    ranked = (df.withColumn("__h", hash_key(seed, key)).withColumn("__rn", F.row_number().over(w))
+              .where(F.col("__rn") <= n))
     # One row per stratum: AQE broadcasts it once its measured size is small,
     # and keeps a shuffle join otherwise (no unchecked broadcast hint).
     return (null_safe_join(ranked, quotas, [stratum])
@@ -202,6 +206,31 @@ def build_messages(df: DataFrame, question="question", answer="answer", category
     return df.select("*", msgs.alias("messages")).withColumn("source", src)
 
 
+def build_context_messages(df: DataFrame, context="context", answer="answer", category="category",
+                           system_prompt: str = D.SERVICE_SYSTEM_PROMPT) -> DataFrame:
+    """System + user (task, scene, dialogue context) + assistant chat rows.
+
+    ``context`` is the dialogue so far, one labelled line per turn
+    (``context_lines`` of the speaker and text columns, or ``clean.context_text``).
+    """
+    user = F.concat(F.lit(D.CONTEXT_TASK + "\n\n" + D.CONTEXT_SCENE_LABEL), _col(category),
+                    F.lit("\n" + D.CONTEXT_LABEL + "\n"), _col(context))
+    msgs = F.array(
+        F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")),
+        F.struct(F.lit("user").alias("role"), user.alias("content")),
+        F.struct(F.lit("assistant").alias("role"), _col(answer).alias("content")),
+    )
+    return df.select("*", msgs.alias("messages"))
+
+
+def speaker_line(role, text, names: dict | None = None) -> Column:
+    """One context line, ``<speaker>：<text>``; an unknown role stands for itself."""
+    name = _col(role)
+    for k, v in (names or D.SPEAKER_NAMES).items():
+        name = F.when(_col(role) == k, F.lit(v)).otherwise(name)
+    return F.concat(name, F.lit("："), _col(text))
+
+
 def build_instruction_rows(df: DataFrame, question="question", answer="answer",
                            instruction: str | None = None) -> DataFrame:
     """Instruction / input / output rows (alpaca layout)."""
@@ -213,16 +242,20 @@ def build_instruction_rows(df: DataFrame, question="question", answer="answer",
 
 
 # ---------------------------------------------------------------- C24
-def profile(df: DataFrame) -> DataFrame:
-    """Per column: type, non-null count and row count (one aggregate pass)."""
+def profile(df: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Per column: type, non-null count and row count (one aggregate pass);
+    with ``order_col`` also the first row's value, as text."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    if order_col:
+        texts = F.struct(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+        aggs.append(F.min_by(texts, F.col(order_col)).alias("__first"))
     for c in df.columns:
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"__nn_{c}"))
     row = df.agg(*aggs)
     stack = F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.lit(t).alias("data_type"),
                  F.col(f"`__nn_{c}`").alias("non_null"), F.col("__rows").alias("n_rows"),
-                 F.lit(i).alias("position"))
+                 F.lit(i).alias("position"), *([F.col(f"__first.c{i}").alias("first_value")] if order_col else []))
         for i, (c, t) in enumerate(df.dtypes)]))
     return row.select(stack)
 

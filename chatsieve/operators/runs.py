@@ -8,7 +8,7 @@ partial aggregation; the running peak uses ``ranking.running_max``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,9 +62,12 @@ def run_table(summaries: DataFrame, dir_col: str = "run_dir", dir_name_col: str
 
 
 # ---------------------------------------------------------------- L3
-def rank_key(c="rank") -> Column:
-    """Integer rank, 999 when it is not an integer."""
-    return F.coalesce(F.col(c).cast("string").try_cast("int"), F.lit(D.RANK_FALLBACK))
+def rank_key(c="rank", data_type: str = "string") -> Column:
+    """Integer rank, 999 when it is none.  A number is cut to its whole part;
+    a text must be an integer's."""
+    number = data_type in ("double", "float") or data_type.startswith("decimal")
+    value = F.col(c) if number else F.col(c).cast("string")
+    return F.coalesce(value.try_cast("int"), F.lit(D.RANK_FALLBACK))
 
 
 def order_runs(runs: DataFrame, out: str = "order") -> DataFrame:
@@ -76,7 +79,7 @@ def order_runs(runs: DataFrame, out: str = "order") -> DataFrame:
     """
     keyed = runs.withColumn("__q", F.coalesce(F.col("quantization").cast("string"), F.lit(""))) \
         .withColumn("__t", F.coalesce(F.col("target_preset").cast("string"), F.lit(""))) \
-        .withColumn("__r", rank_key("rank"))
+        .withColumn("__r", rank_key("rank", dict(runs.dtypes)["rank"]))
     return exact_row_number(keyed, [], ["__q", "__t", "__r", "path"], out).drop("__q", "__t", "__r")
 
 
@@ -178,12 +181,11 @@ def best_runs(metrics: DataFrame, metric_col: str, run_col: str, k: int = 2, asc
               by=()) -> DataFrame:
     """The ``k`` best runs per group by a metric (ties by run name).
 
-    Ranks come from the range-partitioned ``exact_row_number``: a group
-    with very many runs is spread over many tasks instead of one window
-    partition."""
+    Each task keeps its own best k of a group before the shuffle (Spark's
+    window group limit), so a group with very many runs is k rows a task."""
     o = F.col(metric_col).asc_nulls_last() if ascending else F.col(metric_col).desc_nulls_last()
-    ranked = exact_row_number(metrics, list(by), [o, F.col(run_col)], "rank")
-    return ranked.where(F.col("rank") <= k)
+    w = Window.partitionBy(*by).orderBy(o, F.col(run_col))
+    return metrics.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- L10

@@ -181,6 +181,32 @@ SELECT conv_id, turn, category, 'raw_cleaned' AS source, 3 AS n_messages,
 FROM qa""")(q_build_messages)
 
 
+def q_build_context_messages(spark, sf):
+    """Every assistant turn after the first turn: scene of the last user line, dialogue so far, reply."""
+    turns = table(spark, sf, "conversations")
+    named = turns.withColumn("line", DS.speaker_line("role", "text"))
+    context = C.context_text(named.select("conv_id", "turn", "role", F.col("line").alias("text")), prefix_role=False)
+    rows = turns.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("answer"))
+    rows = rows.join(context, ["conv_id", "turn"]).withColumn("category", DS.classify("context", TEST_SCENES, "other"))
+    m = DS.build_context_messages(rows)
+    flat = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("\t"), x["content"])), "\n")
+    return m.select("conv_id", "turn", "category", F.md5(flat).alias("messages_md5"))
+
+
+register("build_context_messages", f"""
+WITH t AS (SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant'),
+ctx AS (
+  SELECT t.conv_id, t.turn, t.answer,
+         string_agg(CASE c.role WHEN 'user' THEN '{D.SPEAKER_NAMES['user']}' WHEN 'assistant'
+                    THEN '{D.SPEAKER_NAMES['assistant']}' ELSE c.role END || '：' || c.text, chr(10) ORDER BY c.turn) AS context
+  FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn < t.turn GROUP BY ALL),
+k AS (SELECT *, {sql_scene_case('context')} AS category FROM ctx)
+SELECT conv_id, turn, category, md5('system' || chr(9) || {sql_lit(D.SERVICE_SYSTEM_PROMPT)} || chr(10) || 'user' || chr(9) ||
+  '{D.CONTEXT_TASK}' || chr(10) || chr(10) || '{D.CONTEXT_SCENE_LABEL}' || category || chr(10) || '{D.CONTEXT_LABEL}' || chr(10) ||
+  context || chr(10) || 'assistant' || chr(9) || answer) AS messages_md5
+FROM k""")(q_build_context_messages)
+
+
 # ---------------------------------------------------------------- C23
 def q_instruction_rows(spark, sf):
     pairs = C.extract_qa_pairs(table(spark, sf, "conversations"))
@@ -197,15 +223,16 @@ WHERE q.role = 'user' AND a.role = 'assistant'""")(q_instruction_rows)
 
 # ---------------------------------------------------------------- C24
 def q_profile(spark, sf):
-    return DS.profile(table(spark, sf, "documents"))
+    return DS.profile(table(spark, sf, "documents"), "doc_id")
+
+
+def _sql_profile(column: str, kind: str, position: int) -> str:
+    return f"""SELECT '{column}' AS "column", '{kind}' AS data_type, count({column}) AS non_null, count(*) AS n_rows,
+  {position} AS position, CAST(arg_min({column}, doc_id) AS VARCHAR) AS first_value FROM documents"""
 
 
-register("profile", """
-SELECT 'doc_id' AS "column", 'bigint' AS data_type, count(doc_id) AS non_null, count(*) AS n_rows, 0 AS position FROM documents
-UNION ALL SELECT 'text', 'string', count(text), count(*), 1 FROM documents
-UNION ALL SELECT 'lang', 'string', count(lang), count(*), 2 FROM documents
-UNION ALL SELECT 'source', 'string', count(source), count(*), 3 FROM documents
-UNION ALL SELECT 'n_chars', 'bigint', count(n_chars), count(*), 4 FROM documents""")(q_profile)
+register("profile", " UNION ALL ".join(_sql_profile(c, k, i) for i, (c, k) in enumerate(
+    [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")])))(q_profile)
 
 
 # ---------------------------------------------------------------- P6

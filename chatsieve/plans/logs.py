@@ -175,3 +175,25 @@ def q_flatten_metrics(spark, sf):
 register("flatten_metrics", """
 SELECT event_id, value AS eval_metrics__value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS eval_metrics__k
 FROM events""")(q_flatten_metrics)
+
+
+# ---------------------------------------------------------------- L2 / S9 on parsed summaries
+def event_summaries(spark, sf):
+    """Each user's events as a run summary with the nested layout of the summary files."""
+    r = event_runs(spark, sf)
+    return r.select(
+        F.when(F.col("rank") != "auto", F.col("experiment")).alias("experiment"),
+        "target_preset", "quantization", "dtype", "rank", F.struct("eval_loss", F.col("eval_mean_token_accuracy")).alias("eval_metrics"),
+        F.col("path").alias("run_dir"), F.regexp_extract("path", "([^/]+)$", 1).alias("run_name"))
+
+
+def q_run_table(spark, sf):
+    t = R.run_table(event_summaries(spark, sf))
+    return R.as_text_columns(t.select("experiment", "target_preset", "target_modules", "quantization", "dtype", "rank",
+                                      "lora_alpha", "path"))
+
+
+register("run_table", f"""WITH {SQL_EVENT_RUNS}
+SELECT CASE WHEN rank <> 'auto' THEN experiment ELSE regexp_extract(path, '([^/]+)$', 1) END AS experiment, target_preset,
+       '' AS target_modules, quantization, dtype, rank, '' AS lora_alpha, path
+FROM r""")(q_run_table)

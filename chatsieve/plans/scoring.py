@@ -226,12 +226,14 @@ register("extract_output", SQL_EXTRACT_OUTPUT)(q_extract_output)
 
 
 # ---------------------------------------------------------------- E20
-BEHAVIOURS = {"soothing": ["sorry", "leid", "désolé"], "advice": ["the", "que"], "action": ["tion", "ung"]}
+BEHAVIOURS = {"soothing": ["erth", "heit"], "advice": ["le", "que"], "action": ["tion", "ung"]}
 BANNED = ["einach", "ouai"]
 
 
 def q_behaviour_hit_rates(spark, sf):
-    outs = two_run_outputs(spark, sf)
+    # Answers to a question only: what follows it by one and by three turns.
+    asked = table(spark, sf, "conversations").where(F.col("role") == "user").select(*KEY)
+    outs = two_run_outputs(spark, sf).join(asked, KEY)
     r = behaviour_hit_rates(outs, "output", BEHAVIOURS, BANNED, by=["run"])
     return r.select("run", "num_samples", *[r6(F.col(c)).alias(c) for c in r.columns
                                             if c.endswith("_rate")])
@@ -247,7 +249,8 @@ def _sql_behaviour() -> str:
     clean = f"len(list_filter({_sql_list(BANNED)}, lambda t: contains(output, t))) = 0"
     rates.append(f"round(avg(CAST({clean} AS DOUBLE)), 6) AS no_banned_rate")
     rates.append(f"round(avg(CAST({clean} AND {' AND '.join(all_terms)} AS DOUBLE)), 6) AS all_behaviours_rate")
-    return f"""WITH outs AS ({_sql_outputs(1, "next")} UNION ALL {_sql_outputs(3, "later")})
+    return f"""WITH pairs AS ({_sql_outputs(1, "next")} UNION ALL {_sql_outputs(3, "later")}),
+outs AS (SELECT * FROM pairs WHERE (conv_id, turn) IN (SELECT (conv_id, turn) FROM conversations WHERE role = 'user'))
 SELECT run, count(*) AS num_samples, {', '.join(rates)} FROM outs GROUP BY run"""
 
 

@@ -118,3 +118,11 @@ def test_a_cluster_needs_a_shared_folder():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=sc)
     with pytest.raises(ValueError, match="share"):
         ensure_checkpoint_dir(fake)
+
+
+def test_rank_of_numbers_and_texts(spark):
+    from chatsieve.operators.runs import rank_key
+    num = spark.createDataFrame([(16.0,), (7.9,), (float("nan"),), (None,)], "rank double")
+    assert [r[0] for r in num.select(rank_key("rank", "double")).collect()] == [16, 7, 999, 999]
+    text = spark.createDataFrame([("16",), ("16.0",), ("auto",), (None,)], "rank string")
+    assert [r[0] for r in text.select(rank_key()).collect()] == [16, 999, 999, 999]
