@@ -1,6 +1,8 @@
 """Quality rules as weak supervision.
 
-Eight rules vote good (1), bad (-1) or abstain (0) on every document.
+Eight rules vote good (1), bad (-1) or abstain (0) on every document.  A rule
+that looks for one kind of junk abstains where it sees none: what it does not
+look for is no evidence that a document is good.
 Expectation-maximisation over the table of distinct vote patterns (at most
 3^8 = 6,561 rows whatever the corpus) estimates, for either class, how often
 each rule votes bad; the posterior probability of a good document then
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chatsieve.llm.common import id_and_text, words, write_and_read
 
-RULES = ["r_words", "r_word_length", "r_symbols", "r_lines", "r_repeats", "r_capitals", "r_variety", "r_marks"]
+RULES = ["r_prose", "r_letters", "r_symbols", "r_lines", "r_repeats", "r_capitals", "r_variety", "r_marks"]
 SYMBOLS = "#*$%&|<>"
 #: Pseudo-counts (bad, good votes) that keep the classes apart and rates off 0 and 1.
 PRIOR = {"good": (1.0, 20.0), "bad": (2.0, 2.0)}
@@ -70,6 +72,7 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     df = df.withColumns(_repeat_words(F.col("w"), F.col("n")))
     df = df.withColumn("windows", F.sort_array("windows"))
     df = df.withColumn("at", _twice(F.col("windows")))
+    df = df.withColumn("letters", F.regexp_replace("text", r"[^\p{L}\p{N}]+", ""))
     size = F.octet_length("text")
     return df.select(
         "doc_id", F.col("n").cast("long").alias("n_words"),
@@ -78,7 +81,8 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("at")), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("w")).alias("n_distinct"),
-        F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_capitals"),
+        F.length("letters").alias("n_alnum"),
+        F.length(F.regexp_replace("letters", r"\P{Lu}+", "")).alias("n_capitals"),
         (size - F.octet_length(without(F.col("text"), ".!?"))).alias("n_marks"))
 
 
@@ -89,17 +93,19 @@ def votes() -> dict[str, Column]:
     def vote(bad: Column, good: Column) -> Column:
         return F.when(n == 0, F.lit(-1)).when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
 
+    never = F.lit(False)
+    chars = c("word_chars")
+    prose = ((50 * c("n_symbols") <= n) & (10 * c("n_capitals") <= chars) & (4 * c("n_marks") <= n)
+             & (50 * c("n_marks") >= n) & (chars >= 3 * n) & (chars <= 12 * n))
     return {
-        "r_words": vote(n < 50, n >= 80),
-        "r_word_length": vote((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n),
-                              (c("word_chars") >= 3 * n) & (c("word_chars") <= 12 * n)),
-        "r_symbols": vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
-        "r_lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), 10 * c("n_dup_lines") <= c("n_lines")),
-        "r_repeats": vote(10 * c("n_repeat_words") > 3 * n, 100 * c("n_repeat_words") < 15 * n),
-        "r_capitals": vote(10 * c("n_capitals") > 3 * c("word_chars"), 10 * c("n_capitals") <= c("word_chars")),
-        "r_variety": vote(20 * c("n_distinct") < n, 5 * c("n_distinct") >= n),
-        "r_marks": vote((2 * c("n_marks") > n) | ((n >= 200) & (200 * c("n_marks") < n)),
-                        (5 * c("n_marks") <= n) & (100 * c("n_marks") >= n)),
+        "r_prose": vote(never, prose),
+        "r_letters": vote(100 * c("n_alnum") < 92 * chars, 100 * c("n_alnum") >= 96 * chars),
+        "r_symbols": vote(10 * c("n_symbols") > n, never),
+        "r_lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), never),
+        "r_repeats": vote(10 * c("n_repeat_words") > 3 * n, never),
+        "r_capitals": vote(10 * c("n_capitals") > 3 * chars, never),
+        "r_variety": vote(20 * c("n_distinct") < n, 4 * c("n_distinct") >= n),
+        "r_marks": vote((2 * c("n_marks") > n) | ((n >= 200) & (200 * c("n_marks") < n)), never),
     }
 
 
