@@ -1,3 +1,4 @@
+"""Fixtures of the tests in this folder (imported by name)."""
 import os
 
 import pytest

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import corpus, edge, nothing  # noqa: F401
+
 from chatsieve.llm import exact_dedup, license_scan, pii, pivotal_mix, weak_rules
 from chatsieve.llm.common import write_and_read
 

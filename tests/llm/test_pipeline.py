@@ -6,7 +6,8 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__ as E
-from tests.llm.test_models import components_brute
+from llm_fixtures import edge, nothing  # noqa: F401
+from test_models import components_brute
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
