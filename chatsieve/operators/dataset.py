@@ -123,8 +123,8 @@ def split_train_eval_exact(df: DataFrame, key: str, eval_fraction: float = 0.1,
         sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size"))
         ranked = null_safe_join(ranked, sizes, [stratum])
     else:
-        # One row; the size travels with the plan instead of a job at build time.
-        ranked = ranked.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__size"))))
+        # A scalar subquery: the size travels with the plan instead of a job at build time.
+        ranked = ranked.withColumn("__size", df.agg(F.count(F.lit(1))).scalar())
     n_eval = F.round(F.col("__size") * F.lit(eval_fraction)).cast("long")
     return ranked.withColumn(out, F.when(F.col("__rn") <= n_eval, F.lit("eval")).otherwise(F.lit("train"))) \
         .drop("__h", "__rn", "__size")

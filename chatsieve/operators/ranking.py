@@ -33,8 +33,6 @@ from chatsieve.session import ensure_checkpoint_dir
 def null_safe_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join on equal columns where a null matches a null (a null group is a group)."""
     on = list(on)
-    if not on:
-        return left.crossJoin(right)
     renamed = right.select(*[F.col(f"`{c}`").alias(f"__on_{i}") for i, c in enumerate(on)],
                            *[F.col(f"`{c}`") for c in right.columns if c not in on])
     cond = [F.col(f"`{c}`").eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)]

@@ -29,8 +29,8 @@ SAMPLE_BLOCK = 16
 def q_positional_align(spark, sf):
     """Equal sizes (strict): the documents against themselves in reverse order."""
     docs = table(spark, sf, "documents")
-    last = docs.agg(F.max("doc_id").alias("last"))
-    refs = docs.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("doc_id")).alias("pos"), F.col("text").alias("ref"))
+    last = docs.agg(F.max("doc_id")).scalar()
+    refs = docs.select((last - F.col("doc_id")).alias("pos"), F.col("text").alias("ref"))
     preds = docs.select(F.col("doc_id").alias("pos"), F.col("text").alias("pred"))
     j = M.positional_align(preds, refs, "pos")
     return j.select("pos", F.md5("pred").alias("pred_md5"), F.md5("ref").alias("ref_md5"))
