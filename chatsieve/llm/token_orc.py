@@ -20,6 +20,7 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,9 +34,17 @@ from pyspark.sql import functions as F
 from chatsieve.llm.common import id_and_text, shared_path, ship_package
 
 END_ID = 2
-KNOWN_STRINGS = 300_000
+KNOWN_STRINGS = 200_000
+LATIN = "\u0250"  # below it, what this module knows of letters and cases is tested letter by letter
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "10000",
-           "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(64 << 20)}
+           "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Ids(dict):
@@ -45,19 +54,28 @@ class _Ids(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, s: str) -> bytes:
         body = s.rstrip(".,!?;:#$%&*|")
         if body != s and body and body[-1].isascii() and body[-1].isalpha():
             out = self[body] + self[s[len(body):]]  # ASCII marks after a letter are tokens of their own
-        elif s.isascii() and s.isalpha() and s != s.lower():
-            out = self[s.lower()]  # as the tokenizer's own normaliser has it
+        elif s.isalpha() and max(s) < LATIN and (low := s.lower()).isalpha():
+            # One word of composed letters: the library's own normaliser would
+            # only lower it and its splitter would leave it whole.
+            out = self[low] if low != s else self._ids(
+                [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))])
         else:
-            out = np.asarray(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            out = self._ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
         if len(self) < KNOWN_STRINGS and len(s) < 40:
             self[s] = out
         return out
 
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 @lru_cache(maxsize=2)
 def _known(path: str) -> _Ids:
