@@ -6,6 +6,7 @@ from conftest import SF_SMALL, needs
 
 import __spark_entry__ as E
 from chatsieve.operators.clean import first_of_duplicates
+from chatsieve.plans import registry
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
@@ -15,7 +16,7 @@ def _plan(df) -> str:
 
 
 @needs(SF_SMALL)
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", list(registry()))
 def test_no_all_pairs_join_and_no_python(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert not [f for f in FORBIDDEN if f in plan], plan
