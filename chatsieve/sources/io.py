@@ -30,14 +30,16 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = No
     if strict:
         r = spark.read.option("mode", "FAILFAST")
         return (r.schema(schema) if schema is not None else r).json(path)
-    r = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_col)
     if schema is None:
-        schema = r.json(path).schema
+        schema = spark.read.option("columnNameOfCorruptRecord", corrupt_col).json(path).schema
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if corrupt_col not in schema.names:
         schema = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType())])
-    return r.schema(schema).json(path)
+    # Parsed from the lines, as the JSON source cannot return the corrupt column alone.
+    lines = spark.read.text(path).where(utrim(F.col("value")) != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col}
+    return lines.select(F.from_json("value", schema, options).alias("r")).select("r.*")
 
 
 def split_corrupt(df: DataFrame, corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:

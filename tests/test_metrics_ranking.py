@@ -32,11 +32,11 @@ def py_corpus_bleu(hyps, refs, k=5.0):
     if num[0] == 0:
         return 0.0, num, den
     bp = 1.0 if hl > rl else (0.0 if hl == 0 else math.exp(1 - rl / hl))
-    p, inc = [], 1.0
+    p, zeros = [], 0
     for n in range(4):
         if num[n] == 0 and hl > 1:
-            inc *= k / math.log(hl)
-            p.append(inc / den[n])
+            zeros += 1
+            p.append(math.log(hl) / (2 ** zeros * k) / den[n])
         else:
             p.append(num[n] / den[n])
     return bp * math.exp(sum(0.25 * math.log(x) for x in p)), num, den
