@@ -43,7 +43,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     single = (rows.select("doc_id", "h", "text_sha256").join(sizes.where("n = 1"), "h")
               .select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256"))
 
-    members = rows.join(sizes.where("n > 1"), "h")
+    # Written once: both sides of the comparison read it, and the texts are shuffled once.
+    members = write_and_read(rows.join(sizes.where("n > 1"), "h"), "exact-members")
     leaders = (members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
                .groupBy("h").agg(F.min("text").alias("lead_text")))
     same = F.col("text") == F.col("lead_text")
@@ -70,10 +71,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    verdict = (exact_duplicates(docs, id_col, text_col, keep).where("kept")
-               .select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha")).distinct())
-    # One row for each (id, text): a row number over the few rows that share both.
+    stay = (exact_duplicates(docs, id_col, text_col, keep).where("kept")
+            .groupBy(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+            .agg(F.count(F.lit(1)).alias("__times")))
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
-    stay = keyed.join(verdict, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id"))
-                      & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
-    return stay.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    found = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")))
+    # Only rows that share id and text have to meet once more.
+    once = found.where("__times = 1").unionByName(found.where("__times > 1").dropDuplicates([id_col, "__sha"]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
