@@ -20,11 +20,12 @@ two components join all pairs across components, if they have at most
 ``SMALL`` members; larger ones are split by a second (third) pivot, the next
 shared member, which lies among the first ``t + 2`` (``t + 3``).  What is
 still large at the last depth joins all pairs across components too, so the
-result is exact at any size.
+result is exact at any size.  (Splitting parts texts that share a passage; it
+does not part texts that are all alike, which the region's pivot links first.)
 
 **Comparison.**  Three exact bounds come first: sizes, positions of the shared
-pivot, and members of the stored front (twice the window) that the other set
-provably lacks.  Sets of the survivors are computed again from their texts and
+pivot, and members of the stored front (a quarter longer than the window) that
+the other set provably lacks.  Sets of the survivors are computed again from their texts and
 intersected.  Equal sets are one node throughout, found by a 128-bit digest, so
 copies are never paired.
 
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 
 from chatsieve.llm.common import id_and_text, ship_package, write_and_read
 
-SMALL = 128
+SMALL = 4096
 DEPTH = 3
 FREQUENT = 1 << 17
 KNOWN_WORDS = 300_000
@@ -96,7 +97,8 @@ def _missing_allowed(n, num: int, den: int):
 def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | None) -> DataFrame:
     """(doc_id, n, sig, front): set size, digest and first members in the global order.
 
-    A front holds twice the window and one member for each further depth.
+    A front holds the window, one member for each further depth and a quarter
+    more: unrelated sets then provably lack more of it than they may.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -117,7 +119,7 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | Non
                         at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
                         codes = np.sort(np.where(hot[at] == codes, codes | np.int64(1 << 62), codes))
                     window = _missing_allowed(len(codes), num, den) + 1
-                    front.append(codes[:2 * window + DEPTH] if wide else codes[:window])
+                    front.append(codes[:window + window // 4 + 2 + DEPTH] if wide else codes[:window])
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": size, "sig": sig, "front": front})
 
     kind = df.schema["doc_id"].dataType.simpleString()
@@ -150,22 +152,31 @@ def _possible(n1, p1, n2, p2, num, den) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): smallest node reachable, for the nodes of ``links`` (a, b)."""
+    """(node, comp): smallest node reachable, for the nodes of ``links`` (a, b).
+
+    Each step takes the smallest label of the neighbours and then the label's
+    own label.  Labels between steps are cached, not written: they follow from
+    the links, so a lost executor's part is computed again.
+    """
     links = links.select("a", "b")
-    edges = write_and_read(links.union(links.select("b", "a")).distinct(), "cc-edges")
-    label = write_and_read(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                           .select("node", F.least("node", "m").alias("comp")), "cc-label")
+    edges = links.union(links.select("b", "a")).distinct().persist()
+    label = (edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+             .select("node", F.least("node", "m").alias("comp"))).persist()
+    held = [edges, label]
     while True:
         seen = label.select(F.col("node").alias("b"), "comp")
         near = edges.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         low = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = write_and_read(low.join(jump, "comp").select(
-            "node", "old", F.least("comp", "far").alias("comp")), "cc-label")
-        changed = new.where("old != comp").limit(1).count()
+        new = low.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp")).persist()
+        held.append(new)
+        changed = new.agg(F.count(F.when(F.col("old") != F.col("comp"), 1))).first()[0]
         label = new.select("node", "comp")
         if not changed:
-            return label
+            out = write_and_read(label, "jaccard-components")
+            for x in held:
+                x.unpersist()
+            return out
 
 
 class _Join:
@@ -200,7 +211,6 @@ class _Join:
         else:
             members = (members.join(self.comp, "node", "left")
                        .withColumn("comp", F.coalesce("comp", "node")))
-        members = write_and_read(members, "jaccard-members")
         open_ = members.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
                                          F.min("node").alias("pivot")).where("low != high")
         return write_and_read(members.join(open_.select("r", "c", "pivot"), "r"), "jaccard-live")
@@ -258,7 +268,7 @@ class _Join:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(node, codes): the whole sets of the wanted nodes, from their texts."""
         n = self.n
-        own = write_and_read(self.nodes.select("node", "sig", "first_id").join(wanted, "node"), "jaccard-wanted")
+        own = self.nodes.select("node", "sig", "first_id").join(wanted, "node")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in batches:
