@@ -29,8 +29,10 @@ from chatsieve.llm.common import id_and_text, words, write_and_read
 
 RULES = ["r_prose", "r_letters", "r_symbols", "r_lines", "r_repeats", "r_capitals", "r_variety", "r_marks"]
 SYMBOLS = "#*$%&|<>"
-#: Pseudo-counts (bad, good votes) that keep the classes apart and rates off 0 and 1.
+#: Pseudo-counts (bad, good votes) that keep the classes apart and rates off 0 and 1,
+#: for every PRIOR_DOCS documents: a fixed share, so that they weigh alike in any larger corpus.
 PRIOR = {"good": (1.0, 20.0), "bad": (2.0, 2.0)}
+PRIOR_DOCS = 200
 ITERATIONS = 15
 
 
@@ -127,8 +129,9 @@ def fit(patterns: DataFrame, iterations: int = ITERATIONS) -> dict:
     """EM over ``patterns`` (the vote columns and ``n``).
 
     Each step is one aggregation to a single row.  The first expectation takes
-    a document with any bad vote as bad with 0.9.  Without rows the model is
-    the one of the pseudo-counts.
+    a document with any bad vote as bad with 0.9.  The pseudo-counts grow with
+    the rows above ``PRIOR_DOCS``, so the same mix of votes gives the same model
+    at any such size.  Without rows the model is the one of the pseudo-counts.
     """
     any_bad = F.least(*RULES) == -1
     good = F.when(any_bad, 0.1).otherwise(0.95)
@@ -139,9 +142,10 @@ def fit(patterns: DataFrame, iterations: int = ITERATIONS) -> dict:
                 for r in RULES for k in "gb" for v in (-1, 1)]
         row = p.agg(F.sum("g").alias("g"), F.sum("b").alias("b"), *sums).first()
         take = lambda k: float(row[k] or 0.0)
-        model = {"prior": min(max((take("g") + 1.0) / (take("g") + take("b") + 2.0), 1e-6), 1 - 1e-6)}
+        share = max(1.0, (take("g") + take("b")) / PRIOR_DOCS)
+        model = {"prior": min(max((take("g") + share) / (take("g") + take("b") + 2.0 * share), 1e-6), 1 - 1e-6)}
         for name, k in (("good", "g"), ("bad", "b")):
-            bad0, good0 = PRIOR[name]
+            bad0, good0 = (x * share for x in PRIOR[name])
             model[name] = {r: (take(f"{r}_{k}_-1") + bad0) / (take(f"{r}_{k}_-1") + take(f"{r}_{k}_1") + bad0 + good0)
                            for r in RULES}
         good = posterior_good(model)

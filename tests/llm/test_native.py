@@ -123,6 +123,20 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert all(v == (i < 1000) for i, v in out.items())
 
 
+def test_quality_verdict_does_not_depend_on_corpus_size(spark):
+    mix = [((1, 1, 0, 0, 0, 0, 1, 0), 700), ((0, 1, 0, 0, 0, 0, 1, 0), 200), ((0, -1, -1, 0, 0, 0, 1, 0), 30),
+           ((0, 1, 0, 0, 0, -1, 1, -1), 30), ((0, 1, 0, -1, 0, 0, 1, 0), 20), ((0, 1, 0, 0, -1, 0, 1, 0), 20)]
+    seen = []
+    for times in (1, 1000):
+        df = spark.createDataFrame([(*v, n * times) for v, n in mix], ", ".join(f"{r} int" for r in weak_rules.RULES) + ", n long")
+        df = df.coalesce(1)
+        rows = df.withColumn("p", weak_rules.posterior_good(weak_rules.fit(df))).collect()
+        seen.append({tuple(r)[:8]: r["p"] for r in rows})
+        for v, p in seen[-1].items():
+            assert (p >= 0.5) == (-1 not in v)
+    assert all(abs(p - seen[1][v]) < 1e-9 for v, p in seen[0].items())
+
+
 # -- 5 ---------------------------------------------------------------------
 
 LWORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
