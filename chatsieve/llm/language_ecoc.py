@@ -36,6 +36,7 @@ SIZE = PAIRS + TRIPLES
 SLICE = 1 << 20
 SHARPNESS = 8.0
 AMBIGUOUS = 0.05
+ACCEPTED = 0.95  # least score of a text whose language counts as known
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -202,7 +203,11 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
 
 
 def with_known_language(docs: DataFrame, model: dict | None) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns unchanged."""
+    """The rows of ``docs`` whose text has a language, with all their columns unchanged.
+
+    Texts that are ``und``, ambiguous or scored below ``ACCEPTED`` go.  With a
+    single learned language every text with a letter has score 1.
+    """
     if model is None:
         return docs.limit(0)
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -213,8 +218,8 @@ def with_known_language(docs: DataFrame, model: dict | None) -> DataFrame:
         out = np.zeros(len(texts), dtype=bool)
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
         if known:
-            decode(margins([texts.iloc[i] for i in known], m["weights"]), m)
-            out[known] = True
+            _, score, close = decode(margins([texts.iloc[i] for i in known], m["weights"]), m)
+            out[known] = ~close & (score >= ACCEPTED)
         return pd.Series(out)
 
     return docs.where(accepted(F.col("text")))

@@ -16,7 +16,7 @@ from chatsieve.llm.plans import TOKENIZERS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (no text, no letter) go."""
+    """Documents without a recognisable language (no letter, ambiguous or a low score) go."""
     return language_ecoc.with_known_language(docs, language_ecoc.train_on_fold(docs))
 
 

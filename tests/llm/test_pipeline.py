@@ -1,13 +1,17 @@
 """Every stage of the corpus pipeline against plain Python, and all of them over the smallest tables."""
+import random
 import re
 from collections import Counter
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from llm_fixtures import edge, nothing  # noqa: F401
-from test_models import components_brute
+from test_models import components_brute, key
+
+from chatsieve.llm import language_ecoc
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -33,6 +37,20 @@ def test_language_stage_keeps_texts_with_letters(stages):
     assert Counter(stages[1]) == Counter(r for r in stages[0] if r["text"] and any(c.isalpha() for c in r["text"]))
 
 
+def test_language_stage_rejects_by_the_classifier(spark):
+    rnd = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language_ecoc.train_on_fold(docs)
+    clean = docs.where(F.col("text").rlike(r"\p{L}"))
+    kept = language_ecoc.with_known_language(clean, model).groupBy("lang").count().collect()
+    assert len(kept) == 4 and key(kept) == key(clean.groupBy("lang").count().collect())
+    junk = spark.createDataFrame([(i, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)), None)
+                                  for i in range(40)], docs.schema)
+    good = {r["doc_id"] for r in language_ecoc.predict(junk, model).collect() if not r["ambiguous"] and r["score"] >= 0.95}
+    assert {r["doc_id"] for r in language_ecoc.with_known_language(junk, model).collect()} == good
+    assert len(good) < 20
+
+
 def test_dedup_stage_keeps_the_smallest_id(stages):
     first = {}
     for r in sorted(stages[1], key=lambda r: r["doc_id"]):
