@@ -11,7 +11,8 @@ text: a match starts only where a run starts (or where the last match ended,
 ``\\G``), and loops are possessive.  Neither changes which spans are found.
 
 Added kinds (all need more than their pattern): ``iban`` needs mod 97 = 1,
-``ssn`` and ``secret`` need a context word in the 40 characters before.
+``ssn`` and ``secret`` need a context word in the 40 characters before (of the
+text, so earlier matches do not end it).
 
 Defined results: null text counts as empty; repeated rows are judged one by
 one; an empty table gives an empty result; other columns are ignored.
@@ -53,6 +54,8 @@ CONTEXT = {
 SCORES = {"email": (0.9, 1.0), "ip": (0.6, 0.9), "card": (0.8, 1.0), "phone": (0.7, 0.95),
           "iban": (0.85, 1.0), "ssn": (0.3, 0.8), "secret": (0.2, 0.9)}
 CONTEXT_CHARS = 40
+# Least characters of a match: so many matches back the context can reach.
+SHORTEST = {"email": 5, "ip": 7, "card": 14, "phone": 4, "iban": 14, "ssn": 11, "secret": 20}
 BLOCK = 256
 
 
@@ -133,16 +136,25 @@ def _spans(df: DataFrame, kind: str) -> DataFrame:
     no = KINDS.index(kind)
     plain, near = SCORES[kind]
 
-    def span(gap_at: Column, m: Column) -> Column:
-        gap = gap_at["gap"]
-        start = gap_at["at"] + F.length(gap)
-        hint = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind])
+    def before(gaps: Column, ends: Column) -> Column:
+        """Length of the piece and the text of ``CONTEXT_CHARS`` characters before each match."""
+        back = range(-(-CONTEXT_CHARS // SHORTEST[kind]), 0, -1)
+        return F.transform(gaps, lambda gap, i: F.struct(
+            F.length(gap).alias("gap"),
+            F.right(F.concat_ws("", *[F.get(ends, i - j) for j in back], gap), F.lit(CONTEXT_CHARS)).alias("context")))
+
+    def span(b_at: Column, m: Column) -> Column:
+        start = b_at["at"] + b_at["b"]["gap"]
+        hint = F.lower(b_at["b"]["context"]).rlike(CONTEXT[kind])
         score = F.when(hint, F.lit(near)).otherwise(F.lit(plain))
         return F.struct(start.alias("start"), F.lit(no).alias("kind"), (start + F.length(m)).alias("end"),
                         F.when(_valid(kind, m), score).otherwise(F.lit(0.0)).alias("score"))
 
-    pairs = F.zip_with(F.slice("g", F.lit(1), F.size("m")), F.col("at"),
-                       lambda gap, at: F.struct(gap.alias("gap"), at.alias("at")))
+    gaps = F.slice("g", F.lit(1), F.size("m"))
+    ends = F.zip_with(gaps, F.col("m"), lambda gap, m: F.right(F.concat(gap, m), F.lit(CONTEXT_CHARS)))
+    # The array of one binds the ends once, not once a match.
+    pieces = F.transform(F.array(ends), lambda e: before(gaps, e))[0]
+    pairs = F.zip_with(pieces, F.col("at"), lambda b, at: F.struct(b.alias("b"), at.alias("at")))
     spans = F.filter(F.zip_with(pairs, F.col("m"), span),
                      lambda s: s["score"] > (0.0 if no < BASE_KINDS else 0.5))
     return df.withColumn(f"s_{kind}", F.coalesce(F.when(some, spans), F.array().cast(f"array<{SPAN}>"))) \

@@ -282,3 +282,11 @@ def test_personal_data_added_kinds(spark):
     assert out[1] == "iban:5:32"
     assert out[2].startswith("ssn:10:21")
     assert out[3].split(",")[0] == "secret:9:49"
+
+
+def test_personal_data_context_spans_earlier_matches(spark):
+    rows = [(1, "SSN: 123-45-6789, 987-65-4321, 123-45-6780"), (2, "tokens: a1b2c3d4e5f6g7h8i9j0 b1b2c3d4e5f6g7h8i9j0"),
+            (3, "secret aaaaaaaaaaaaaaaaaaaaaaaa a1b2c3d4e5f6g7h8i9j0"),
+            (4, "SSN 123-45-6789" + " " * 40 + "987-65-4321")]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "ssn:5:16,ssn:18:29,ssn:31:42", 2: "secret:8:28,secret:29:49", 3: "secret:32:52", 4: "ssn:4:15"}
