@@ -10,7 +10,8 @@ The proposals are the given patterns in a form whose cost is linear in the
 text: a match starts only where a run starts (or where the last match ended,
 ``\\G``), and loops are possessive.  Neither changes which spans are found.
 
-Added kinds (all need more than their pattern): ``iban`` needs mod 97 = 1,
+Added kinds (all need more than their pattern): ``iban`` has its country's
+length, so the next word never belongs to it, and needs mod 97 = 1,
 ``ssn`` and ``secret`` need a context word in the 40 characters before (of the
 text, so earlier matches do not end it).
 
@@ -29,13 +30,35 @@ from chatsieve.llm.common import id_and_text
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "secret"]
 BASE_KINDS = 4
 
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """IBANs of each country's own length, in one run or in groups of four; other countries by form alone."""
+    forms = []
+    for size, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(size - 4, 4)
+        tail = rf"\x20[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}"
+                     rf"(?:[A-Z0-9]{{{size - 4}}}|(?:\x20[A-Z0-9]{{4}}){{{groups}}}{tail})")
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    forms.append(rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}+|(?:\x20[A-Z0-9]{{4}}){{2,7}}+(?:\x20[A-Z0-9]{{1,3}})?+)")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     # A whole run of digits, single spaces and hyphens between them, of 14 to 19 digits.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?:\x20[A-Z0-9]{4}){2,7}+(?:\x20[A-Z0-9]{1,3})?+)(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
 }

@@ -290,3 +290,12 @@ def test_personal_data_context_spans_earlier_matches(spark):
             (4, "SSN 123-45-6789" + " " * 40 + "987-65-4321")]
     out = {r["doc_id"]: r["spans"] for r in pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: "ssn:5:16,ssn:18:29,ssn:31:42", 2: "secret:8:28,secret:29:49", 3: "secret:32:52", 4: "ssn:4:15"}
+
+
+def test_personal_data_iban_before_other_words(spark):
+    es, be, de = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    rows = [(1, f"{es} BIC CAIXESBB"), (2, f"{be} BIC KREDBEBB"), (3, f"{be} 2024"), (4, f"{es}."), (5, f"{es} {be} {de} 12"),
+            (6, es.replace(" ", "")), (7, be.replace(" ", "") + "A"), (8, be[:-1] + "5 BIC")]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "iban:0:29", 2: "iban:0:19", 3: "iban:0:19", 4: "iban:0:29", 5: "iban:0:29,iban:30:49,iban:50:77",
+                   6: "iban:0:24", 7: "", 8: ""}
