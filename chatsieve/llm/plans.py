@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chatsieve.llm import (exact_dedup, jaccard_join, language_ecoc, license_scan, piece_bpe, pii, pivotal_mix, quality_zstd,
-                           token_orc, weak_rules)
+                           token_count, token_orc, weak_rules)
 from chatsieve.llm.common import documents
 
-TOKENIZERS = "/opt/tokenizers"  # vocabulary files of public tokenizers
+TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))  # vocabulary files of public tokenizers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,7 +88,7 @@ def op5(spark, sf_dir):
 
 @query("op6_token_orc")
 def op6(spark, sf_dir):
-    return token_orc.tokenise(documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_orc.tokenise(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query("op7_language_codes")
@@ -106,4 +108,9 @@ def op9(spark, sf_dir):
 
 @query("op10_piece_round_trip")
 def op10(spark, sf_dir):
-    return piece_bpe.round_trip(documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_token_counts")
+def op13(spark, sf_dir):
+    return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
