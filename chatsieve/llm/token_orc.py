@@ -6,20 +6,22 @@ its place in the file's stream of ids.  Row indexes and a Bloom filter on
 ``doc_id`` let a reader skip stripes; stripes are read in parallel.
 
 Writing range-partitions the texts by id (one shuffle, of texts, which are
-smaller than their ids), sorts inside the partitions and encodes in Arrow
-batches.  White-space separated strings are encoded once a worker and
-remembered in bounded tables: the tokenizer drops white space, so no token,
-normalisation or special token reaches across it.  Places over all files are
-the sums of the files before: one row a file.
-
-Defined results: null and empty texts have only the end id; rows with equal
-or null ids keep a defined order (nulls first, then by text); an empty table
-gives an empty result; other columns are ignored.
+smaller than their ids), sorts inside the partitions and encodes slices of
+bounded bytes.  Arrow splits and dictionary-encodes the strings between spaces
+and line ends: the tokenizer drops white space, so no token, normalisation or
+special token reaches across it.  Distinct strings and their pre-tokens are
+encoded once a worker and remembered in a bounded table; the ids of the texts
+are a gather.  Places over all files are the sums of the files before: one row
+a file.
+
+Defined results: null and empty texts have only the end id; very long texts are
+slices of their own and are encoded whole; rows with equal or null ids keep a
+defined order (nulls first, then by text); an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,64 +29,71 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatsieve.llm.common import id_and_text, shared_path, ship_package
+from chatsieve.llm.strings import LONGEST_KNOWN, Runs, WordTokenizer, slices, spelled, sums_by_text
 
 END_ID = 2
-KNOWN_STRINGS = 200_000
-LATIN = "\u0250"  # below it, what this module knows of letters and cases is tested letter by letter
+KNOWN_STRINGS = 700_000  # strings and pre-tokens in a worker's table, about 100 MB
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "10000",
            "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each byte: printable ones stand for themselves, the others follow from 256 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class _Ids(dict):
-    """String without spaces or line ends -> its ids as little-endian 32-bit integers; bounded."""
+class Ids:
+    """String without spaces or line ends -> its ids as little-endian 32-bit integers; the table is bounded."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-
-    def __missing__(self, s: str) -> bytes:
-        body = s.rstrip(".,!?;:#$%&*|")
-        if body != s and body and body[-1].isascii() and body[-1].isalpha():
-            out = self[body] + self[s[len(body):]]  # ASCII marks after a letter are tokens of their own
-        elif s.isalpha() and max(s) < LATIN and (low := s.lower()).isalpha():
-            # One word of composed letters: the library's own normaliser would
-            # only lower it and its splitter would leave it whole.
-            out = self[low] if low != s else self._ids(
-                [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))])
-        else:
-            out = self._ids(self.tokenizer.encode(s, add_special_tokens=False).ids)
-        if len(self) < KNOWN_STRINGS and len(s) < 40:
-            self[s] = out
+        self.tokenizer = WordTokenizer(path)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def __call__(self, s: str) -> bytes:
+        out = self.known.get(s)
+        if out is None:
+            if self.tokenizer.has_added(s):
+                out = self.packed(self.tokenizer.encode(s))
+            else:
+                out = b"".join([self.merged(p) for p in self.tokenizer.pre_tokens(s)])
+            self.remember(s, out)
+        return out
+
+    def merged(self, pre_token: str) -> bytes:
+        key = "\n" + pre_token  # no string has a line end, so pre-tokens keep apart
+        out = self.known.get(key)
+        if out is None:
+            out = self.packed(self.tokenizer.merge(pre_token))
+            self.remember(key, out)
         return out
 
+    def remember(self, s: str, out: bytes) -> None:
+        if len(self.known) < KNOWN_STRINGS and len(s) < LONGEST_KNOWN:
+            self.known[s] = out
+
     @staticmethod
-    def _ids(ids: list[int]) -> bytes:
+    def packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
-def _known(path: str) -> _Ids:
-    return _Ids(path)
+def _known(path: str) -> Ids:
+    return Ids(path)
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> pa.ListArray:
+    """The ids of each text of a slice, with the end id."""
+    strings, codes, starts = spelled(pc.replace_substring(texts, "\n", " "))
+    runs = Runs([np.frombuffer(x, "<i4") for x in map(_known(path), strings)] + [np.array([end_id])], np.int32)
+    ids, n = runs.gather(np.insert(codes, starts[1:], len(strings)))
+    n_ids = sums_by_text(n, starts + np.arange(len(starts)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids))
 
 
 def token_bytes(text: str, path: str, end_id: int = END_ID) -> bytes:
-    known = _known(path)
-    return b"".join([known[s] for s in text.replace("\n", " ").split(" ") if s]) + int(end_id).to_bytes(4, "little")
+    """The ids of one text as little-endian 32-bit integers."""
+    return token_ids(pa.array([text]), path, end_id).flatten().to_numpy().astype("<u4").tobytes()
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: int = END_ID,
@@ -96,20 +105,18 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_path: str, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                own = b.slice(lo, 500)
-                raw = [token_bytes(t, tokenizer_path, end_id) for t in own.column(1).to_pylist()]
-                n = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()),
-                                               pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+        for batch in batches:
+            for b in slices(batch, 1):
+                ids = token_ids(b.column(1), tokenizer_path, end_id)
+                n = np.diff(ids.offsets.to_numpy())
+                ends = np.cumsum(n, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), ids, pa.array(n.astype(np.int32)), pa.array(np.full(len(n), part, np.int32)),
-                     pa.array(at + ends - n)], names=["doc_id", "ids", "n_tokens", "part", "part_start"])
+                    [b.column(0), ids, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n)],
+                    names=["doc_id", "ids", "n_tokens", "part", "part_start"])
                 at += int(ends[-1])
 
-    ordered = df.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # The start of the text spreads rows of one id (or of none) over the tasks.
+    ordered = (df.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text"))
     (ordered.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens int, part int, part_start long")
      .write.options(**OPTIONS).orc(out_path))
 
