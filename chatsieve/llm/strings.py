@@ -53,12 +53,13 @@ def sums_by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Integer arrays of different lengths in one pool, gathered by code."""
+    """Arrays of different lengths, given as bytes, in one pool; gathered by code."""
 
-    def __init__(self, arrays: list[np.ndarray], dtype):
-        self.length = np.array([len(a) for a in arrays], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
-        self.pool = np.concatenate(arrays).astype(dtype, copy=False) if arrays else np.empty(0, dtype)
+    def __init__(self, arrays: list[bytes], dtype):
+        size = np.dtype(dtype).itemsize
+        self.length = np.fromiter(map(len, arrays), np.int64, len(arrays)) // size
+        self.start = np.cumsum(self.length) - self.length
+        self.pool = np.frombuffer(b"".join(arrays), dtype)
 
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of all ``codes`` one after the other, number of values of each code)."""
@@ -95,6 +96,7 @@ class WordTokenizer:
         self.pattern = self._known_pattern(json.loads(self.library.to_str()))
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.added_words = any(map(str.isalnum, added))
 
     @staticmethod
     def _known_pattern(settings: dict):
@@ -110,7 +112,9 @@ class WordTokenizer:
 
     def has_added(self, s: str) -> bool:
         """Whether a special token's string stands in ``s``; such strings go through the library whole."""
-        return self.added is not None and self.added.search(s) is not None
+        if self.added is None or s.isalnum() and not self.added_words:
+            return False
+        return self.added.search(s) is not None
 
     def pre_tokens(self, s: str) -> list[str]:
         """Pre-tokens of ``s``, which has no special token, in byte letters."""

@@ -22,7 +22,6 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,7 +37,7 @@ from chatsieve.llm.common import id_and_text, shared_path, ship_package
 from chatsieve.llm.strings import LONGEST_KNOWN, Runs, WordTokenizer, slices, spelled, sums_by_text
 
 END_ID = 2
-KNOWN_STRINGS = 700_000  # strings and pre-tokens in a worker's table, about 100 MB
+KNOWN_STRINGS = 500_000  # strings and pre-tokens in a worker's table, about 100 MB
 OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "10000",
            "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20)}
 
@@ -48,33 +47,31 @@ class Ids:
 
     def __init__(self, path: str):
         self.tokenizer = WordTokenizer(path)
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.library.get_vocab_size())]
         self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, s: str) -> bytes:
-        out = self.known.get(s)
-        if out is None:
-            if self.tokenizer.has_added(s):
-                out = self.packed(self.tokenizer.encode(s))
-            else:
-                out = b"".join([self.merged(p) for p in self.tokenizer.pre_tokens(s)])
-            self.remember(s, out)
-        return out
+    def all(self, strings: list[str]) -> list[bytes]:
+        return [self.new(s) if x is None else x for s, x in zip(strings, map(self.known.get, strings))]
+
+    def new(self, s: str) -> bytes:
+        if self.tokenizer.has_added(s):
+            return self.remember(s, self.pack(self.tokenizer.encode(s)))
+        parts = self.tokenizer.pre_tokens(s)
+        return self.merged(s) if parts == [s] else self.remember(s, b"".join(map(self.merged, parts)))
 
     def merged(self, pre_token: str) -> bytes:
-        key = "\n" + pre_token  # no string has a line end, so pre-tokens keep apart
+        # An ASCII pre-token is itself a string; others, in byte letters, keep apart (no string has a line end).
+        key = pre_token if pre_token.isascii() else "\n" + pre_token
         out = self.known.get(key)
-        if out is None:
-            out = self.packed(self.tokenizer.merge(pre_token))
-            self.remember(key, out)
-        return out
+        return self.remember(key, self.pack(self.tokenizer.merge(pre_token))) if out is None else out
 
-    def remember(self, s: str, out: bytes) -> None:
+    def remember(self, s: str, out: bytes) -> bytes:
         if len(self.known) < KNOWN_STRINGS and len(s) < LONGEST_KNOWN:
             self.known[s] = out
+        return out
 
-    @staticmethod
-    def packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def pack(self, ids: list[int]) -> bytes:
+        return b"".join([self.packed[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -85,7 +82,7 @@ def _known(path: str) -> Ids:
 def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> pa.ListArray:
     """The ids of each text of a slice, with the end id."""
     strings, codes, starts = spelled(pc.replace_substring(texts, "\n", " "))
-    runs = Runs([np.frombuffer(x, "<i4") for x in map(_known(path), strings)] + [np.array([end_id])], np.int32)
+    runs = Runs([*_known(path).all(strings), end_id.to_bytes(4, "little")], "<i4")
     ids, n = runs.gather(np.insert(codes, starts[1:], len(strings)))
     n_ids = sums_by_text(n, starts + np.arange(len(starts)))
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids))
