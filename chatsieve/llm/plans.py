@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatsieve.llm import (exact_dedup, jaccard_join, language_ecoc, license_scan, piece_bpe, pii, pivotal_mix, quality_zstd,
-                           token_count, token_orc, weak_rules)
+from chatsieve.llm import (cross_tokenizer, exact_dedup, jaccard_join, language_ecoc, license_scan, piece_bpe, pii,
+                           pivotal_mix, quality_zstd, token_count, token_orc, weak_rules)
 from chatsieve.llm.common import documents
 
 TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))  # vocabulary files of public tokenizers
@@ -111,6 +111,12 @@ def op10(spark, sf_dir):
     return piece_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark, sf_dir):
+    return cross_tokenizer.align_tokenizers(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op13_token_counts")
 def op13(spark, sf_dir):
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -61,6 +61,12 @@ class Runs:
         self.start = np.cumsum(self.length) - self.length
         self.pool = np.frombuffer(b"".join(arrays), dtype)
 
+    @classmethod
+    def of(cls, pool: np.ndarray, length: np.ndarray, start: np.ndarray | None = None) -> "Runs":
+        out = cls([], pool.dtype)
+        out.pool, out.length, out.start = pool, length, np.cumsum(length) - length if start is None else start
+        return out
+
     def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(values of all ``codes`` one after the other, number of values of each code)."""
         n = self.length[codes]
