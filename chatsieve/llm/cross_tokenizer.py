@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatsieve.llm.common import id_and_text, ship_package, write_and_read
-from chatsieve.llm.strings import slices
+from chatsieve.llm.strings import slices, summed
 from chatsieve.llm.token_units import Texts, sums, tokenizer_pair
 
 SHARDS = 128
@@ -115,14 +115,6 @@ def shard_of(first: np.ndarray) -> np.ndarray:
     return (mixed(first, 99) % np.uint64(SHARDS)).astype(np.int64)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
 def narrow(counts: np.ndarray) -> bytes:
     """Non-negative integers in 4 bytes each where they fit, else in 8."""
     small = not len(counts) or counts.max() < 1 << 32

@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chatsieve.llm import (cross_tokenizer, exact_dedup, jaccard_join, language_ecoc, license_scan, piece_bpe, pii,
-                           pivotal_mix, quality_zstd, token_count, token_orc, weak_rules)
+from chatsieve.llm import (cross_tokenizer, divergence_audit, exact_dedup, jaccard_join, language_ecoc, license_scan,
+                           piece_bpe, pii, pivotal_mix, quality_zstd, token_count, token_orc, weak_rules)
 from chatsieve.llm.common import documents
 
 TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))  # vocabulary files of public tokenizers
@@ -117,6 +117,34 @@ def op11(spark, sf_dir):
                                             public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op12_divergence_audit", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+w AS (SELECT lang, source, rid, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(lang_n) AS BIGINT) AS lang_sum FROM k GROUP BY ALL),
+g AS (SELECT a.lang, a.source, coalesce(v, 0) AS v, coalesce(lang_sum, 0) AS lang_sum,
+             CAST(coalesce((SELECT sum(n) FROM c JOIN k USING (lang, term) WHERE c.lang = a.lang AND c.source = a.source), 0)
+                  AS BIGINT) AS n_sum
+      FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (n_sum + v) AS p,
+             1 + 1000000000 * (lang_n + 1) // (lang_sum + v) AS q
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM y)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200""")
+def op12(spark, sf_dir):
+    return divergence_audit.audit(documents(spark, sf_dir))
+
+
 @query("op13_token_counts")
 def op13(spark, sf_dir):
     return token_count.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
