@@ -27,11 +27,12 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from chatsieve.llm.strings import slices, summed
 MIN_DOCS = 3
 TOP = 200
 STEPS = (1000, 1000, 1000)  # 10^9, in factors by which a rest is carried on
-BLOCK_TERMS = 400_000  # (lang, source, term) entries of a block, about 70 MB
+BLOCK_ENTRIES = 1_000_000  # (lang, source, term) entries of a block's slices, about 100 MB with their terms
 RUN_ROWS = 50_000  # rows of a run in one Arrow batch
 BLOCK_PAIRS = 200_000  # (lang, source, source) sums that a task holds before it lets them go
 # Letters are lower-cased (A-Z only), bytes beyond ASCII stay, all others separate terms.
@@ -50,45 +51,85 @@ DOC = 1 << 44  # an entry holds its documents above this bit and its occurrences
 POSTING = "lang string, source string, term binary, n long, n_docs long"
 
 
-def terms(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters and characters beyond ASCII; A-Z in lower case."""
-    return text.translate(FOLD).split()
+def terms(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct terms, code of each occurrence, text of each occurrence) of a binary array without nulls.
+
+    Terms are runs of ASCII letters and characters beyond ASCII; A-Z in lower case.
+    """
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    folded = data[int(ends[0]):int(ends[-1])].to_pybytes().translate(FOLD) if data and len(texts) else b""
+    lists = pc.ascii_split_whitespace(pa.StringArray.from_buffers(
+        len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(folded)))
+    coded = lists.flatten().dictionary_encode()
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    if "" in names:  # white space at the ends of a text
+        there = codes != names.index("")
+        codes, text = codes[there], text[there]
+    return names, codes.astype(np.int64), text
+
+
+class Block:
+    """Postings of some documents in memory: (group, term) entries with their documents and occurrences."""
+
+    def __init__(self):
+        self.terms: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # group, term, documents and occurrences
+        self.size = 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        names, codes, text = terms(b.column(2))
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in
+                          zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
+        width = max(len(names), 1)
+        held = np.sort(text * width + codes)  # by text and term: a run is a term's occurrences in a text
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(held)))
+        keys, packed = summed(group[held[first] // width] * width + held[first] % width, DOC + n)
+        place = np.fromiter((self.terms.setdefault(t, len(self.terms)) for t in names), np.int64, len(names))
+        self.entries.append((keys // width, place[keys % width], packed))
+        self.size += len(keys)
+
+    def run(self) -> Iterator[pa.RecordBatch]:
+        """The entries in (term, lang, source) order; the block is empty then."""
+        if not self.size:
+            return
+        names = pa.array(list(self.terms), pa.string())
+        by_name = pc.sort_indices(names).to_numpy()
+        term_rank = np.empty(len(names), np.int64)
+        term_rank[by_name] = np.arange(len(names))
+        groups = sorted(self.groups)
+        group_rank = np.empty(len(groups), np.int64)
+        group_rank[[self.groups[g] for g in groups]] = np.arange(len(groups))
+        group, term, packed = (np.concatenate(x) for x in zip(*self.entries))
+        keys, packed = summed(term_rank[term] * len(groups) + group_rank[group], packed)
+        lang, source = (pa.array(x, pa.string()) for x in zip(*groups))
+        self.__init__()
+        for at in range(0, len(keys), RUN_ROWS):
+            k, x = keys[at:at + RUN_ROWS], packed[at:at + RUN_ROWS]
+            g = pa.array(k % len(groups))
+            yield pa.RecordBatch.from_arrays(
+                [lang.take(g), source.take(g), names.take(pa.array(by_name[k // len(groups)])).cast(pa.binary()),
+                 pa.array(x % DOC), pa.array(x // DOC)], names=["lang", "source", "term", "n", "n_docs"])
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """The runs of all blocks of (lang, source, text): lang, source, term, n (occurrences), n_docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
-        size = 0
+        block = Block()
         for batch in batches:
             for b in slices(batch, 2):
-                for lang, source, text in zip(*(c.to_pylist() for c in b.columns)):
-                    own = block[lang, source]
-                    before = len(own)
-                    for term, n in Counter(terms(text)).items():
-                        own[term] = own.get(term, 0) + DOC + n
-                    size += len(own) - before
-                    if size > BLOCK_TERMS:
-                        yield from spilled(block)
-                        block.clear()
-                        size = 0
-        yield from spilled(block)
+                block.add(b)
+                if block.size > BLOCK_ENTRIES:
+                    yield from block.run()
+        yield from block.run()
 
     ship_package(docs.sparkSession)
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, POSTING)
 
 
-def spilled(block: dict[tuple[str, str], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    """A run: the block's entries in (lang, term, source) order."""
-    rows = sorted((lang, term, source, x) for (lang, source), own in block.items() for term, x in own.items())
-    for at in range(0, len(rows), RUN_ROWS):
-        lang, term, source, x = zip(*rows[at:at + RUN_ROWS])
-        packed = np.array(x, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang), pa.array(source), pa.array(term, pa.binary()), pa.array(packed % DOC), pa.array(packed // DOC)],
-            names=["lang", "source", "term", "n", "n_docs"])
-
-
 def changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
     """Whether a row differs from the one before in some of ``columns``."""
     out = np.zeros(rows.num_rows, bool)
@@ -130,7 +171,8 @@ def frequencies(runs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             yield from pa.table({"lang": rows["lang"].take(own), "source": rows["source"].take(own), "term": rows["term"].take(own),
                                  "n": n, "lang_n": lang_n[own], "opens": opens[own]}).to_batches()
 
-    return (runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    # The term first: it is what tells rows apart early in a comparison.
+    return (runs.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
             .mapInArrow(run, "lang string, source string, term binary, n long, lang_n long, opens int"))
 
 
@@ -192,7 +234,7 @@ def joint_corrections(freq: DataFrame, groups: DataFrame) -> DataFrame:
         "lang", "source", "term", share(F.col("n"), F.col("total")).alias("p"),
         share(F.lit(0), F.col("total")).alias("p0"))
     ship_package(freq.sparkSession)
-    return (own.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    return (own.repartition("lang", "term").sortWithinPartitions("term", "lang")
             .mapInArrow(run, "lang string, source string, item string, part_sum long"))
 
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def test_audit_equals_plain_integers(name, request):
 
 def test_small_blocks_and_batches_change_nothing(corpus, monkeypatch):
     """Many runs of few rows, and terms that go on over batches."""
-    monkeypatch.setattr(audit, "BLOCK_TERMS", 700)
+    monkeypatch.setattr(audit, "BLOCK_ENTRIES", 700)
     monkeypatch.setattr(audit, "RUN_ROWS", 50)
     monkeypatch.setattr(audit, "BLOCK_PAIRS", 3)
     spark = corpus.sparkSession
@@ -86,4 +87,10 @@ def test_shares_stay_exact_beyond_64_bits(spark):
     for r in df.select("n", "t", audit.share(F.col("n"), F.col("t")).alias("p")).collect():
         assert r["p"] == 1 + 10 ** 9 * (r["n"] + 1) // r["t"]
     assert audit.whole_value(np.array([1000000001]), np.array([1]))[0] == 10 ** 18
-    assert audit.terms(" The-Éa1b\x00Z ".encode()) == ["the".encode(), "Éa".encode(), b"b", b"z"]
+
+
+def test_terms_of_an_array():
+    texts = ["skipped", " The-Éa1b\x00Z ", "", "...", "the\u00a0b"]
+    names, codes, text = audit.terms(pa.array([t.encode() for t in texts], pa.binary()).slice(1))
+    assert [(names[c], t) for c, t in zip(codes, text.tolist())] == [
+        ("the", 0), ("Éa", 0), ("b", 0), ("z", 0), ("the\u00a0b", 3)]
