@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chatsieve.functions.rolling import ngram_repetition
+
 # The whitespace class used by every strip / whitespace-removal
 # below (Python str.isspace() set, expressed for Java regex).
 WS_CLASS = r"[\s\x1c-\x1f]"
@@ -103,10 +105,12 @@ def char_ngrams(text, n: int) -> Column:
 
 def repetition_ratio(c, n: int = 20) -> Column:
     """Share of repeated character n-grams of the whitespace-free text:
-    ``1 - distinct / total`` (0 when the text is shorter than n)."""
-    grams = char_ngrams(strip_ws(c), n)
-    total = F.size(grams)
-    return F.when(total > 0, F.lit(1.0) - F.size(F.array_distinct(grams)) / total).otherwise(F.lit(0.0))
+    ``1 - distinct / total`` (0 when the text is null or shorter than n).
+
+    Rolling hashes in Arrow batches, 8 bytes a character; equal hashes are
+    confirmed by the characters at their places (``functions/rolling.py``).
+    """
+    return ngram_repetition(strip_ws(c), n)
 
 
 def line_repetition_ratio(c) -> Column:

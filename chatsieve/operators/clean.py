@@ -7,9 +7,8 @@ Scale notes
   128-bit key hash is an aggregate with map-side partial aggregation (a hot
   group collapses to one row per map task before the shuffle), confirmed by
   the key itself where a hash is shared, and joined back on the unique row key.
-* Hold-out containment uses content-defined k-gram anchors (rarest anchor
-  per item, confirmed with ``contains``), never a comparison of every row
-  with every item.
+* Hold-out exclusion (C25) is in ``operators/holdout.py``: an index of
+  winnowed fingerprints, never a comparison of every row with every item.
 * Question/answer pairing joins turn ``t`` to turn ``t + 1`` on the composite
   key ``(conversation, turn)``: no window partitioned by conversation, so a
   huge conversation spreads over all tasks.
@@ -24,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatsieve.operators.holdout import exclude_contained_holdout, exclude_holdout, flag_contained_holdout  # noqa: F401
 from chatsieve.operators.ranking import exact_row_number
 from chatsieve.functions.text import (
     contains_any, effective_chars, join_segmented, line_repetition_ratio, literal_array,
@@ -243,87 +243,3 @@ def sample_weight(df: DataFrame, c, phrases, low: float = 0.5, out: str = "weigh
     """Down-weight instead of delete: ``low`` when a phrase is present, else 1.0."""
     hit = contains_any(_col(c), literal_array(list(phrases)))
     return df.withColumn(out, F.when(hit, F.lit(low)).otherwise(F.lit(1.0)))
-
-
-# ---------------------------------------------------------------- C25
-def exclude_holdout(df: DataFrame, holdout: DataFrame, c="question", holdout_col="text") -> DataFrame:
-    """Drop rows whose normalised text equals a hold-out item's normalised text."""
-    keys = holdout.select(normalize_key(_col(holdout_col)).alias("__hk")).where(F.col("__hk").isNotNull())
-    return (df.withColumn("__hk", normalize_key(_col(c)))
-            .join(keys.distinct(), on="__hk", how="left_anti").drop("__hk"))
-
-
-def _anchor_hashes(text: Column, k: int, modulus: int) -> Column:
-    from chatsieve.functions.text import char_ngrams
-    hashed = F.transform(char_ngrams(text, k), lambda g: F.xxhash64(g))
-    if modulus > 1:
-        hashed = F.filter(hashed, lambda h: F.pmod(h, F.lit(modulus)) == 0)
-    return F.array_distinct(hashed)
-
-
-def _anchored_matches(rows: DataFrame, items: DataFrame, k: int, modulus: int) -> DataFrame:
-    """Confirmed (row, item) pairs for items that have an anchor.
-
-    Row anchors are first cut down to the hashes some item has (a semi-join)
-    and written once with ``checkpoint()``: the anchor frequencies and the
-    candidate join both read that copy, so the regex pass over the rows runs
-    once and a lost executor does not repeat it.
-    """
-    from chatsieve.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(rows.sparkSession)
-    item_anchor = items.select("__iid", F.explode(_anchor_hashes(F.col("__itext"), k, modulus)).alias("__h"))
-    wanted = item_anchor.select("__h").distinct()
-    row_anchor = (rows.select("__rid", F.explode(_anchor_hashes(F.col("__rtext"), k, modulus)).alias("__h"))
-                  .join(wanted, on="__h", how="left_semi")
-                  .checkpoint(eager=True))
-    df_count = row_anchor.groupBy("__h").agg(F.count(F.lit(1)).alias("__df"))
-    with_freq = item_anchor.join(df_count, on="__h", how="left").fillna(0, subset=["__df"])
-    best = with_freq.groupBy("__iid").agg(F.min_by("__h", F.struct("__df", "__h")).alias("__h"))
-    cand = best.join(row_anchor, on="__h", how="inner").select("__iid", "__rid").distinct()
-    return (cand.join(items, on="__iid").join(rows, on="__rid")
-            .where(F.contains(F.col("__rtext"), F.col("__itext")))
-            .select("__rid", "__iid"))
-
-
-def flag_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,
-                           item_id: str, item_text: str, k: int = 12, modulus: int = 8) -> DataFrame:
-    """Pairs (row, hold-out item) where the row's text contains the item's text verbatim.
-
-    Exact and distributed, without comparing every row with every item:
-
-    1. Anchors are character k-grams whose hash is 0 modulo ``modulus``.  The
-       choice depends only on the k-gram's content, so an item's anchor occurs
-       in any text that contains the item.
-    2. Each item keeps its rarest anchor (fewest rows hold it; the anchor
-       frequency is a partially aggregated count), so candidates per item are
-       bounded by that frequency; ``contains`` confirms each candidate.
-    3. Items of at least k characters that drew no anchor (probability
-       ``(1 - 1/modulus)^(len - k + 1)``) get a second round in which every
-       k-gram is an anchor; it runs only when such items exist.
-    4. Items shorter than k characters are one gram of their own length: they
-       go through the same equi-join once for each length below k that occurs.
-    """
-    rows = df.select(F.col(id_col).alias("__rid"), F.col(text_col).alias("__rtext"))
-    items = holdout.select(F.col(item_id).alias("__iid"), F.col(item_text).alias("__itext")) \
-        .where(F.col("__itext").isNotNull() & (F.char_length("__itext") > 0))
-    long_items = items.where(F.char_length("__itext") >= k)
-    short_items = items.where(F.char_length("__itext") < k)
-
-    parts = [_anchored_matches(rows, long_items, k, modulus)]
-    if modulus > 1:
-        # whether an item has an anchor depends on its own text only: a cheap
-        # check on the hold-out table, not on the rows
-        unanchored = long_items.where(F.size(_anchor_hashes(F.col("__itext"), k, modulus)) == 0)
-        if unanchored.limit(1).count() > 0:
-            parts.append(_anchored_matches(rows, unanchored, k, 1))
-    lengths = short_items.select(F.char_length("__itext").alias("n")).distinct().collect()  # below k rows
-    for n in sorted(r["n"] for r in lengths):
-        parts.append(_anchored_matches(rows, short_items.where(F.char_length("__itext") == n), n, 1))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return out.select(F.col("__rid").alias(id_col), F.col("__iid").alias(item_id))
-
-
-def exclude_contained_holdout(df: DataFrame, holdout: DataFrame, id_col: str, text_col: str,
-                              item_id: str, item_text: str, **kw) -> DataFrame:
-    hits = flag_contained_holdout(df, holdout, id_col, text_col, item_id, item_text, **kw)
-    return df.join(hits.select(id_col).distinct(), on=id_col, how="left_anti")

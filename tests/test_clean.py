@@ -1,8 +1,10 @@
 """Cleaning operators against brute force."""
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from chatsieve.functions import rolling
 from chatsieve.operators import clean as C
 
 
@@ -52,3 +54,47 @@ def test_extract_pairs_from_array(spark):
                                "line long, turns array<string>")
     out = sorted((r.line, r.pair_no, r.question, r.answer) for r in C.extract_qa_pairs_from_array(df).collect())
     assert out == [(1, 0, "q1", "a1"), (1, 1, "q2", "a2")]
+
+
+def test_rolling_hashes_stay_exact_in_portions_and_collisions(monkeypatch):
+    rnd = random.Random(8)
+    texts = [None, "", "ab", *("".join(rnd.choice("ab\U0001f600é") for _ in range(rnd.randrange(60))) for _ in range(80))]
+
+    def brute(t, n):
+        grams = [t[i:i + n] for i in range(len(t or "") - n + 1)]
+        return 1.0 - len(set(grams)) / len(grams) if grams else 0.0
+
+    for n in (1, 3, 20):
+        want = [brute(t, n) for t in texts]
+        assert rolling.repeated_share(texts, n) == want
+        with monkeypatch.context() as m:
+            m.setattr(rolling, "PORTION", 7)
+            m.setattr(rolling, "COMPARED", 5)
+            assert rolling.repeated_share(texts, n) == want
+            m.setattr(rolling.Codes, "grams", lambda self, n: self.codes[:max(0, len(self.codes) - n + 1)].astype(np.uint64) % 2)
+            assert rolling.repeated_share(texts, n) == want  # hashes that say nearly nothing
+
+
+def test_winnowing_keeps_a_fingerprint_of_every_window():
+    rnd = np.random.default_rng(2)
+    for size in (5, 16, 17, 400):
+        hashes = rnd.integers(0, 50, size).astype(np.uint64)
+        for window in (1, 2, 3, 16):
+            at = set(rolling.winnowed(hashes, window).tolist())
+            want = {i for s in range(size - window + 1) for i in range(s, s + window) if hashes[i] == hashes[s:s + window].min()}
+            assert at == want
+
+
+def test_contained_holdout_edges(spark):
+    """Items of all length classes, nulls, repeated rows and items, a hot passage, ids of other types."""
+    hot = "the very same passage of more than twenty-seven characters"
+    docs = [("a", hot + " and more"), ("b", "x" + hot), ("b", "x" + hot), (None, hot), ("c", None), ("d", ""), ("e", hot[:20]),
+            *((f"h{i}", f"{i} {hot} {i}") for i in range(40))]
+    items = [(1, hot), (2, hot[5:30]), (3, hot[4:18]), (4, "ve"), (5, ""), (6, None), (7, hot + "!"), (1, hot)]
+    ddf = spark.createDataFrame(docs, "doc string, t string")
+    idf = spark.createDataFrame(items, "item int, t string")
+    want = {(d, i) for d, t in docs for i, u in items if t and u and u in t and d is not None}
+    got = [(r["doc"], r["item"]) for r in C.flag_contained_holdout(ddf, idf, "doc", "t", "item", "t").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert C.flag_contained_holdout(ddf, idf.where("item > 9"), "doc", "t", "item", "t").count() == 0
+    assert C.flag_contained_holdout(ddf.where("doc = 'z'"), idf, "doc", "t", "item", "t").count() == 0
