@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chatsieve import defaults as D
 from chatsieve.functions.text import contains_any, literal_array
+from chatsieve.operators.selection import first_rows
 from chatsieve.operators.ranking import exact_row_number, null_safe_join
 
 
@@ -59,9 +60,11 @@ def classify(text, rules, default: str = "其他咨询场景") -> Column:
 
 # ---------------------------------------------------------------- C17 / C18
 def quality_top_k(df: DataFrame, score, k: int, tie_key: str) -> DataFrame:
-    """The ``k`` best rows by ``score`` (ties broken by ``tie_key``): a global
-    top-k, planned as TakeOrderedAndProject (each task keeps only k rows)."""
-    return df.orderBy(_col(score).desc_nulls_last(), F.col(tie_key).asc()).limit(k)
+    """The ``k`` best rows by ``score`` (NaN best, null worst; ties broken by the
+    unique ``tie_key``), in no order: selected by the k-th score, so that no task
+    holds k rows (``operators/selection.py``)."""
+    score = _col(score).cast("double")
+    return first_rows(df, tie_key, F.when(F.isnan(score), F.lit(float("-inf"))).otherwise(-score), [tie_key], k)
 
 
 def variants(df: DataFrame, eff: Column, score: Column, tie_key: str, specs: list[dict]) -> DataFrame:
@@ -95,6 +98,11 @@ def hash_key(seed, *cols) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_col(c).cast("string") for c in cols]))
 
 
+def hash_number(hashed: Column) -> Column:
+    """The first 52 bits of a hex hash as a number, in the hash's order."""
+    return F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long")
+
+
 def split_train_eval(df: DataFrame, key: str, eval_fraction: float = 0.1, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """Deterministic split: a row is 'eval' when its hash falls below the fraction.
@@ -104,7 +112,7 @@ def split_train_eval(df: DataFrame, key: str, eval_fraction: float = 0.1, seed:
     needed and the split is stable when rows are added.
     """
     threshold = int(round(eval_fraction * (1 << 52)))
-    h = F.conv(F.substring(hash_key(seed, key), 1, 13), 16, 10).cast("long")
+    h = hash_number(hash_key(seed, key))
     return df.withColumn(out, F.when(h < F.lit(threshold), F.lit("eval")).otherwise(F.lit("train")))
 
 
@@ -173,22 +181,14 @@ def quota_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42,
                  floors: dict | None = None) -> DataFrame:
     """Stratified sample without replacement of exactly ``min(n, rows)`` rows.
 
-    Within a stratum rows are taken in ``md5(seed|key)`` order up to the
-    stratum's quota.
+    Within a stratum (a null one is a stratum) rows are taken in ``md5(seed|key)``
+    order up to its quota; ``key`` is unique.  They are selected by the value of
+    the last one taken, so no task holds a stratum's quota.
     """
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     quotas = stratum_quotas(counts.withColumnRenamed(stratum, "__s"), n, "__s", "n", floors) \
         .withColumnRenamed("__s", stratum)
-    # No quota exceeds n, so each task passes on at most n rows of a stratum
-    # (Spark's window group limit) and no whole stratum meets in one task.
-    w = Window.partitionBy(stratum).orderBy("__h", key)
-    ranked = (df.withColumn("__h", hash_key(seed, key)).withColumn("__rn", F.row_number().over(w))
-              .where(F.col("__rn") <= n))
-    # One row per stratum: AQE broadcasts it once its measured size is small,
-    # and keeps a shuffle join otherwise (no unchecked broadcast hint).
-    return (null_safe_join(ranked, quotas, [stratum])
-            .where(F.col("__rn") <= F.col("quota"))
-            .drop("__h", "__rn", "quota"))
+    return first_rows(df, key, hash_number(hash_key(seed, key)), [hash_key(seed, key), key], quotas, stratum)
 
 
 # ---------------------------------------------------------------- C22 / C23
@@ -263,7 +263,7 @@ def profile(df: DataFrame, order_col: str | None = None) -> DataFrame:
 # ---------------------------------------------------------------- P6
 def sample_rows(df: DataFrame, n: int | None, key: str, seed: int = 42) -> DataFrame:
     """All rows when ``n`` is None / <= 0; else the first ``n`` rows in
-    ``md5(seed|key)`` order (a seeded shuffle prefix; a global top-n)."""
+    ``md5(seed|key)`` order (a seeded shuffle prefix), in no order; ``key`` is unique."""
     if n is None or n <= 0:
         return df
-    return df.orderBy(hash_key(seed, key), F.col(key)).limit(n)
+    return first_rows(df, key, hash_number(hash_key(seed, key)), [hash_key(seed, key), key], n)

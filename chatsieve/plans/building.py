@@ -61,6 +61,19 @@ SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY score DESC, doc_id
 """)(q_quality_top_k)
 
 
+def q_longest_half(spark, sf):
+    """Half of the table: far more rows than a task should hold, with many ties in the key."""
+    docs = table(spark, sf, "documents").select("doc_id", F.floor(F.col("n_chars") / 100).cast("long").alias("size_class"))
+    return DS.quality_top_k(docs, "size_class", docs.count() // 2, "doc_id")
+
+
+register("longest_half", """
+WITH r AS (SELECT doc_id, n_chars // 100 AS size_class,
+                  row_number() OVER (ORDER BY n_chars // 100 DESC NULLS LAST, doc_id) AS rn FROM documents)
+SELECT doc_id, CAST(size_class AS BIGINT) AS size_class FROM r WHERE rn <= (SELECT count(*) // 2 FROM documents)
+""")(q_longest_half)
+
+
 # ---------------------------------------------------------------- C18
 VARIANTS = [
     {"name": "strict20_all", "min_chars": D.STRICT_MIN_CHARS},
