@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chatsieve.operators import any_shape as AS
 from chatsieve.operators import runs as R
 from chatsieve.plans.common import r6, register, table
 
@@ -177,6 +178,56 @@ SELECT event_id, value AS eval_metrics__value, CAST(json_extract_string(props, '
 FROM events""")(q_flatten_metrics)
 
 
+# ---------------------------------------------------------------- S5 / S6 / L5 / L10 without a schema
+def shaped_records(spark, sf):
+    """A JSON record of each event whose fields differ by its type; every 97th is cut off, every 89th has no step."""
+    ev = table(spark, sf, "events")
+    kind, value, id_ = F.col("event_type"), F.col("value").cast("string"), F.col("event_id")
+    metric = F.concat(F.lit('"'), kind, F.lit('":{"value":'), F.coalesce(value, F.lit("null")), F.lit(',"tags":["'), kind,
+                      F.lit('",null,'), (id_ % 3).cast("string"), F.lit("]}"))
+    step = F.when(id_ % 89 != 0, F.concat(F.lit('"step":'), id_.cast("string"), F.lit(","))).otherwise("")
+    whole = F.concat(F.lit("{"), step, metric, F.lit(',"extra":'), F.coalesce("props", F.lit("{}")), F.lit("}"))
+    text = F.when(id_ % 97 != 0, whole).otherwise(F.substring(whole, F.lit(1), F.length(whole) - 1))
+    return ev.select("event_id", F.col("user_id").alias("run"), text.alias("text"))
+
+
+def q_shaped_series(spark, sf):
+    records, _ = AS.parse_records(shaped_records(spark, sf), "text")
+    s = AS.numeric_series(records, "record", ["run"])
+    return s.groupBy("run", "series").agg(F.count(F.lit(1)).alias("n"), r6(F.min_by("value", "step")).alias("first"),
+                                          r6(F.max_by("value", "step")).alias("last"), r6(F.min("value")).alias("min"))
+
+
+SQL_SHAPED = """good AS (
+  SELECT event_id, user_id AS run, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         event_id % 89 <> 0 AS stepped FROM events WHERE event_id % 97 <> 0)"""
+
+register("shaped_series", f"""WITH {SQL_SHAPED},
+s AS (SELECT run, event_id, event_type || '__value' AS series, value FROM good WHERE stepped
+      UNION ALL SELECT run, event_id, event_type || '__tags__2', event_id % 3 FROM good WHERE stepped
+      UNION ALL SELECT run, event_id, 'extra__k', k FROM good WHERE stepped)
+SELECT run, series, count(*) AS n, round(CAST(arg_min(value, event_id) AS DOUBLE), 6) AS first,
+       round(CAST(arg_max(value, event_id) AS DOUBLE), 6) AS last, round(CAST(min(value) AS DOUBLE), 6) AS min
+FROM s GROUP BY run, series""")(q_shaped_series)
+
+
+def q_shaped_fields(spark, sf):
+    records, bad = AS.parse_records(shaped_records(spark, sf), "text")
+    fields = AS.field_profile(records, "record").groupBy("path", F.when(F.col("type").isin(*AS.NUMBERS), "number")
+                                                         .otherwise(F.lower("type")).alias("kind")).agg(F.sum("n").alias("n"))
+    return fields.unionByName(bad.agg(F.lit("").alias("path"), F.lit("malformed").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
+register("shaped_fields", f"""WITH {SQL_SHAPED}
+SELECT event_type || '__value' AS path, 'number' AS kind, count(*) AS n FROM good GROUP BY ALL
+UNION ALL SELECT event_type || '__tags__0', 'string', count(*) FROM good GROUP BY ALL
+UNION ALL SELECT event_type || '__tags__1', 'void', count(*) FROM good GROUP BY ALL
+UNION ALL SELECT event_type || '__tags__2', 'number', count(*) FROM good GROUP BY ALL
+UNION ALL SELECT 'extra__k', 'number', count(*) FROM good GROUP BY ALL
+UNION ALL SELECT 'step', 'number', count(*) FROM good WHERE stepped GROUP BY ALL
+UNION ALL SELECT '', 'malformed', count(*) FROM events WHERE event_id % 97 = 0""")(q_shaped_fields)
+
+
 # ---------------------------------------------------------------- L2 / S9 on parsed summaries
 def event_summaries(spark, sf):
     """Each user's events as a run summary with the nested layout of the summary files."""

@@ -85,7 +85,8 @@ def read_labelled_dialogues(spark: SparkSession, path: str, sep: str = "\t") ->
 
 
 # ---------------------------------------------------------------- S5 / S6
-def _with_dirs(df: DataFrame) -> DataFrame:
+def with_run_dirs(df: DataFrame) -> DataFrame:
+    """Add the directory, its name and the path of each row's file (from ``_metadata``)."""
     fp = F.col("_metadata.file_path")
     parent = F.regexp_replace(F.regexp_replace(fp, "^file:", ""), "/[^/]*$", "")
     return df.withColumn("run_dir", parent).withColumn("run_name", F.regexp_extract(parent, "([^/]+)$", 1)) \
@@ -96,14 +97,14 @@ def read_run_summaries(spark: SparkSession, pattern: str) -> DataFrame:
     """One pretty-printed JSON object per run directory (``*/summary.json``),
     with the run directory and its name; rows in path order."""
     df = spark.read.option("multiLine", True).json(pattern)
-    return _with_dirs(df.select("*", "_metadata")).drop("_metadata").orderBy("source_file")
+    return with_run_dirs(df.select("*", "_metadata")).drop("_metadata").orderBy("source_file")
 
 
 def read_trainer_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """Trainer state files: one row per file with ``log_history`` and the run
     directory (the checkpoint's parent directory names the run)."""
     df = spark.read.option("multiLine", True).json(pattern)
-    df = _with_dirs(df.select("*", "_metadata")).drop("_metadata")
+    df = with_run_dirs(df.select("*", "_metadata")).drop("_metadata")
     run = F.regexp_extract(F.col("run_dir"), "([^/]+)/[^/]+$", 1)
     return df.withColumn("run", F.when(run != "", run).otherwise(F.col("run_name")))
 
