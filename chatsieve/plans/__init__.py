@@ -14,6 +14,7 @@ _MODULES = [
     "chatsieve.plans.sequences",
     "chatsieve.plans.measures",
     "chatsieve.plans.logs",
+    "chatsieve.plans.files",
 ]
 
 
