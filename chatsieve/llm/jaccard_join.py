@@ -1,17 +1,14 @@
-"""Exact Jaccard similarity join of word-shingle sets, as a metric-space join.
+"""Exact Jaccard similarity join of word-shingle sets, by a prefix filter.
 
-**Pivots and regions.**  The pivots are single shingles.  In the metric
-``|A xor B|`` the pivots nearest to a set are its own members; ties go to the
-first in one global order (shingles that are frequent at the front of the sets
-last, then by hash), so a set belongs to the Voronoi region of its first
-member.  Document pivots would not do: the Jaccard distance of unrelated texts
-is 1 to every one of them, and each boundary window would hold the whole corpus.
+The dealt method (document pivots, Voronoi regions, triangle windows) was
+exchanged: the Jaccard distance of unrelated texts is 1 to every document
+pivot, so each boundary window would hold the whole corpus.
 
-**Windows.**  Let ``t`` be the number of members of A that a set within the
-threshold may lack.  On the subspace of A's first ``t + 1`` members, A has
-distance ``t + 1`` from the empty set, so by the triangle inequality B has a
-distance of at least 1: they share one of those members.  So replicating each
-set to the regions of its first ``t + 1`` members loses no pair.
+**Regions.**  Shingles have one global order (those that are frequent at the
+front of the sets last, then by hash).  Let ``t`` be the number of members of A
+that a set within the threshold may lack.  A goes to the regions of its first
+``t + 1`` members; a set within the threshold shares one of them, so no pair
+is lost.
 
 **Recursive join.**  In each region one document is the pivot and every other
 member is compared with it; members within the threshold are linked to it, and
@@ -52,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.common import id_and_text, ship_package, write_and_read
+from chatsieve.llm.common import delete_written, id_and_text, ship_package, write_and_read
 
 SMALL = 4096
 DEPTH = 3
@@ -95,7 +92,7 @@ def _missing_allowed(n, num: int, den: int):
 
 
 def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | None) -> DataFrame:
-    """(doc_id, n, sig, front): set size, digest and first members in the global order.
+    """(doc_id, key, n, sig, front): hash of the text, set size, digest and first members in the global order.
 
     A front holds the window, one member for each further depth and a quarter
     more: unrelated sets then provably lack more of it than they may.
@@ -120,10 +117,12 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | Non
                         codes = np.sort(np.where(hot[at] == codes, codes | np.int64(1 << 62), codes))
                     window = _missing_allowed(len(codes), num, den) + 1
                     front.append(codes[:window + window // 4 + 2 + DEPTH] if wide else codes[:window])
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n": size, "sig": sig, "front": front})
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "key": b["key"].to_numpy(), "n": size, "sig": sig,
+                                    "front": front})
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInPandas(run, f"doc_id {kind}, n long, sig binary, front array<long>")
+    return df.withColumn("key", F.xxhash64("text")).mapInPandas(
+        run, f"doc_id {kind}, key long, n long, sig binary, front array<long>")
 
 
 def frequent_shingles(df: DataFrame, n: int, num: int, den: int) -> np.ndarray:
@@ -155,28 +154,25 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): smallest node reachable, for the nodes of ``links`` (a, b).
 
     Each step takes the smallest label of the neighbours and then the label's
-    own label.  Labels between steps are cached, not written: they follow from
-    the links, so a lost executor's part is computed again.
+    own label.  Labels are written at each step, so the plan of a step does not
+    grow with the number of steps; those of the step before are deleted.
     """
     links = links.select("a", "b")
-    edges = links.union(links.select("b", "a")).distinct().persist()
-    label = (edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-             .select("node", F.least("node", "m").alias("comp"))).persist()
-    held = [edges, label]
+    edges = write_and_read(links.union(links.select("b", "a")).distinct(), "jaccard-edges")
+    label = write_and_read(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                           .select("node", F.least("node", "m").alias("comp"), F.lit(True).alias("moved")), "jaccard-labels")
     while True:
         seen = label.select(F.col("node").alias("b"), "comp")
         near = edges.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         low = label.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = low.join(jump, "comp").select("node", "old", F.least("comp", "far").alias("comp")).persist()
-        held.append(new)
-        changed = new.agg(F.count(F.when(F.col("old") != F.col("comp"), 1))).first()[0]
-        label = new.select("node", "comp")
-        if not changed:
-            out = write_and_read(label, "jaccard-components")
-            for x in held:
-                x.unpersist()
-            return out
+        new = write_and_read(low.join(jump, "comp").select("node", F.least("comp", "far").alias("comp"),
+                                                           (F.col("old") != F.least("comp", "far")).alias("moved")), "jaccard-labels")
+        delete_written(label)
+        label = new
+        if not label.where("moved").limit(1).count():
+            delete_written(edges)
+            return label.select("node", "comp")
 
 
 class _Join:
@@ -300,40 +296,59 @@ class _Join:
                 return
             members = self.split(large, depth)
 
+    def named(self) -> DataFrame:
+        """(sig, first_id, comp) of each set."""
+        nodes = self.nodes.select("sig", "node", "first_id")
+        if self.comp is None:
+            return nodes.withColumnRenamed("node", "comp")
+        return nodes.join(self.comp, "node", "left").select("sig", "first_id", F.coalesce("comp", "node").alias("comp"))
+
     def result(self) -> DataFrame:
-        named = self.nodes.select("sig", "node", "first_id")
-        if self.comp is not None:
-            named = named.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            low = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-            named = named.join(low, "comp")
-        else:
-            named = named.withColumn("component_id", F.col("first_id"))
+        named = self.named()
+        low = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+        named = named.join(low, "comp")
         return (self.rows.select("doc_id", "n", "sig").join(named.select("sig", "component_id"), "sig", "left")
                 .select("doc_id", F.col("n").alias("n_shingles"),
                         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
+    def redundant(self) -> DataFrame:
+        """(doc_id, key) of the rows that do not stand for their component: all but the one with the smallest id
+        and, among rows of that id, the smallest hash of its text."""
+        rows = self.rows.where("n > 0 and doc_id is not null").join(self.named().select("sig", "comp"), "sig").select(
+            "comp", F.struct("doc_id", "key").alias("row"))
+        best = rows.groupBy("comp").agg(F.min("row").alias("best"))
+        return rows.join(best, "comp").where("row != best").select("row.doc_id", "row.key").distinct()
 
-def near_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
 
-    Documents link when ``den * |intersection| >= num * |union|`` of their
-    sets of ``words``-word shingles; a component takes its smallest id.
-    """
+def joined_sets(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> _Join:
     if not 0 < num <= den or num * (DEPTH + 1) < den * DEPTH:
         # Two different sets within the threshold share num / (den - num) members at
         # least, and DEPTH of them make the pivots of a region.
         raise ValueError("the threshold must be at most 1 and at least DEPTH / (DEPTH + 1)")
     join = _Join(id_and_text(docs, id_col, text_col), words, num, den)
     join.run()
-    return join.result()
+    return join
+
+
+def near_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
+
+    Documents link when ``den * |intersection| >= num * |union|`` of their
+    sets of ``words``-word shingles; a component takes its smallest id.
+    """
+    return joined_sets(docs, words, num, den, id_col, text_col).result()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` that stand for their component, with all their columns.
 
-    The row with the component's smallest id stays; rows with null ids stay too.
+    Of the rows with an id, that of the smallest id stays, by its text's hash
+    where several have that id; rows with null ids stay too.  Rows are told apart
+    by id and text, so a row that only shares its id with a near copy stays; rows
+    equal in both go or stay together.
     """
-    found = near_components(docs, words, num, den)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = joined_sets(docs, words, num, den, "doc_id", "text").redundant().select(
+        F.col("doc_id").alias("__gone"), F.col("key").alias("__key"))
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (key == gone["__key"]), "left_anti")

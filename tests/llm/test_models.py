@@ -250,3 +250,46 @@ def test_backtracking_equals_merging():
 
 def test_paths():
     assert PIECES.endswith("piece_bpe_32k.model") and TOKENIZERS == "/opt/tokenizers"
+
+
+# -- rows that share an id, languages of few texts -----------------------------
+
+def test_near_copies_go_by_id_and_text(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+
+    def prose():
+        return " ".join(rnd.choice(words) for _ in range(120))
+
+    a, other, third = prose(), prose(), prose()
+    near = a + " end"
+    rows = [(1, a), (2, near), (2, other), (3, third), (3, third + " x"), (None, a + " y"), (5, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, extra int")
+    kept = {(r["doc_id"], r["text"]) for r in jaccard_join.drop_near_duplicates(docs).collect()}
+    assert (1, a) in kept and (2, other) in kept and (2, near) not in kept and (5, "") in kept
+    assert len(kept & {(3, third), (3, third + " x")}) == 1 and (None, a + " y") in kept
+
+
+def test_components_of_a_long_chain(spark):
+    """Many steps, so the plan must not grow with them: labels are the smallest nodes."""
+    links = [(i, i + 1) for i in range(0, 700)] + [(900, 950), (901, 950)]
+    df = spark.createDataFrame(links, "a long, b long")
+    out = jaccard_join.components(df)
+    got = {r["node"]: r["comp"] for r in out.collect()}
+    assert got == {**{i: 0 for i in range(701)}, 900: 900, 901: 900, 950: 900}
+    assert len(out._jdf.queryExecution().toString()) < 20_000
+
+
+def test_a_language_of_few_texts_in_many_copies_is_learned(spark):
+    rnd = random.Random(2)
+    alphabet = {"fr": "éàèuoil", "en": "thewsrk", "de": "üöäßchn"}
+
+    def text(lang):
+        return " ".join("".join(rnd.choice(alphabet[lang]) for _ in range(6)) for _ in range(40))
+
+    rows = [("fr", t) for t in [text("fr") for _ in range(3)] for _ in range(1500)]
+    rows += [(lang, text(lang)) for lang in ("en", "de") for _ in range(400)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string")
+    out = language_ecoc.held_out_languages(docs).join(docs, "doc_id")
+    wrong = out.where(F.col("lang_pred") != F.col("lang")).count()
+    assert wrong <= 0.02 * len(rows)
