@@ -107,16 +107,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """Model from rows (text, lang) with a letter in the text; None without such rows."""
     ship_package(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n = {r["lang"]: r["n"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang")
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
+    n = {r["lang"]: r["n"] for r in hashed.distinct().groupBy("lang")
          .agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(n) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not n:
         return None
     langs = sorted(n)
+    # Of the different texts of a language: copies neither crowd out a language nor swell the sample.
     chance = F.pmod(F.xxhash64("text"), F.lit(1 << 24)) / float(1 << 24)
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_language / n[k]))]), F.col("lang"))
-    sample = rows.where(chance < share).select("text", "lang")
+    sample = rows.where(chance < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
