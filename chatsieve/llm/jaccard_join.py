@@ -4,8 +4,7 @@ The dealt method (document pivots, Voronoi regions, triangle windows) was
 exchanged: the Jaccard distance of unrelated texts is 1 to every document
 pivot, so each boundary window would hold the whole corpus.
 
-**Regions.**  Shingles have one global order (those that are frequent at the
-front of the sets last, then by hash).  Let ``t`` be the number of members of A
+**Regions.**  Shingles have one global order (frequent ones last, then by hash).  Let ``t`` be the number of members of A
 that a set within the threshold may lack.  A goes to the regions of its first
 ``t + 1`` members; a set within the threshold shares one of them, so no pair
 is lost.
@@ -46,7 +45,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatsieve.llm.common import delete_written, id_and_text, ship_package, write_and_read
@@ -54,6 +53,7 @@ from chatsieve.llm.common import delete_written, id_and_text, ship_package, writ
 SMALL = 4096
 DEPTH = 3
 FREQUENT = 1 << 17
+SAMPLED, LEAST = 16, 4  # frequent is what this many texts of one in so many hold
 KNOWN_WORDS = 300_000
 ROWS = 500  # sets handed over at once
 
@@ -91,7 +91,7 @@ def _missing_allowed(n, num: int, den: int):
     return n - -(-n * num // den)
 
 
-def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | None) -> DataFrame:
+def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, key, n, sig, front): hash of the text, set size, digest and first members in the global order.
 
     A front holds the window, one member for each further depth and a quarter
@@ -99,8 +99,7 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | Non
     """
     spark = df.sparkSession
     ship_package(spark)
-    late = spark.sparkContext.broadcast(frequent if frequent is not None else np.empty(0, dtype=np.int64))
-    wide = frequent is not None
+    late = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot = late.value
@@ -116,7 +115,7 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | Non
                         at = np.minimum(np.searchsorted(hot, codes), len(hot) - 1)
                         codes = np.sort(np.where(hot[at] == codes, codes | np.int64(1 << 62), codes))
                     window = _missing_allowed(len(codes), num, den) + 1
-                    front.append(codes[:window + window // 4 + 2 + DEPTH] if wide else codes[:window])
+                    front.append(codes[:window + window // 4 + 2 + DEPTH])
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "key": b["key"].to_numpy(), "n": size, "sig": sig,
                                     "front": front})
 
@@ -125,17 +124,28 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray | Non
         run, f"doc_id {kind}, key long, n long, sig binary, front array<long>")
 
 
-def frequent_shingles(df: DataFrame, n: int, num: int, den: int) -> np.ndarray:
-    """The shingles that stand at the front of the most sets: at most ``FREQUENT``.
+def frequent_shingles(df: DataFrame, n: int) -> np.ndarray:
+    """Shingles that many texts hold: at most ``FREQUENT``, counted in the different texts of a sixteenth of all.
 
-    A shingle is listed from a count of total / FREQUENT on, so the list has that bound.
+    They only set the order of the members, on which speed depends and the
+    result does not.  A shingle is listed from a count of total / FREQUENT on,
+    so the list has that bound.
     """
-    counts = write_and_read(
-        fronts(df, n, num, den, None).select(F.explode("front").alias("s")).groupBy("s")
-        .agg(F.count(F.lit(1)).alias("c")).where("c >= 8"), "jaccard-counts")
+    ship_package(df.sparkSession)
+    key = F.xxhash64("text")
+    texts = df.select("text", key.alias("key")).where(F.pmod("key", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole), ROWS):
+                codes, count = np.unique(np.concatenate([shingle_set(t, n) for t in whole["text"].iloc[lo:lo + ROWS]]), return_counts=True)
+                yield pd.DataFrame({"s": codes, "c": count})
+
+    counts = write_and_read(texts.select("text").mapInPandas(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+                            .where(F.col("c") >= LEAST), "jaccard-counts")
     # Rare ones were left out of the sum, which only makes the bound stricter.
     total = counts.agg(F.sum("c")).first()[0] or 0
-    least = max(8, -(-total // FREQUENT))
+    least = max(LEAST, -(-total // FREQUENT))
     return np.sort(np.array([r["s"] for r in counts.where(F.col("c") >= least).select("s").collect()], dtype=np.int64))
 
 
@@ -144,9 +154,13 @@ def _needed(n1: Column, n2: Column, num: int, den: int) -> Column:
     return F.ceil(F.lit(num) * (n1 + n2) / F.lit(num + den)).cast("long")
 
 
-def _possible(n1, p1, n2, p2, num, den) -> Column:
-    """Size and position bounds for two sets that share the member at 0-based places p1 and p2."""
-    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+def _possible(n1, p1, q1, n2, p2, q2, num, den) -> Column:
+    """Size and position bounds for two sets that share the member at 0-based places p1 and p2.
+
+    Of the members before it only q1 and q2 are in some other set's window; the
+    others are in no set that has the shared member in its window.
+    """
+    most = F.least(q1, q2) + F.least(n1 - p1, n2 - p2)
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most >= _needed(n1, n2, num, den))
 
 
@@ -178,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
 class _Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.docs, self.n, self.num, self.den = docs, n, num, den
-        frequent = frequent_shingles(docs, n, num, den)
+        frequent = frequent_shingles(docs, n)
         self.rows = write_and_read(fronts(docs, n, num, den, frequent), "jaccard-fronts")
         classes = self.rows.where("n > 0").groupBy("sig").agg(
             F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("front").alias("front"))
@@ -192,13 +206,16 @@ class _Join:
         return (n - F.ceil(n * self.num / F.lit(self.den)) + more).cast("int")
 
     def regions(self) -> DataFrame:
-        """(r, node, n, pos) of the regions with two members or more."""
+        """(r, node, n, pos, q) of the regions with two members or more; ``q`` of the ``pos`` members before are shared."""
         placed = self.nodes.select("node", "n", F.posexplode(F.slice("front", F.lit(1), self.window())).alias("pos", "r"))
-        return self.shared(placed)
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1  # in a set's window only
+        shared = self.shared(placed, rank)
+        # A set has no partner where it lacks too much already.
+        return shared.where((F.col("n") - F.col("pos") + F.col("q")) * self.den >= F.col("n") * self.num)
 
-    def shared(self, placed: DataFrame) -> DataFrame:
+    def shared(self, placed: DataFrame, q: Column) -> DataFrame:
         count = placed.groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        return write_and_read(placed.join(count.select("r"), "r"), "jaccard-regions")
+        return write_and_read(placed.join(count.select("r"), "r").withColumn("q", q), "jaccard-regions")
 
     def live(self, members: DataFrame) -> DataFrame:
         """Members of regions that still hold two components, with ``comp`` and the region's size ``c``."""
@@ -208,30 +225,35 @@ class _Join:
             members = (members.join(self.comp, "node", "left")
                        .withColumn("comp", F.coalesce("comp", "node")))
         open_ = members.groupBy("r").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                         F.min("node").alias("pivot")).where("low != high")
+                                         F.min(F.struct(F.col("pos") - F.col("q"), "node"))["node"].alias("pivot")
+                                         ).where("low != high")
         return write_and_read(members.join(open_.select("r", "c", "pivot"), "r"), "jaccard-live")
 
     def with_pivots(self, live: DataFrame) -> DataFrame:
         """Pairs (a, b) of each region's pivot document with the other members."""
-        lead = live.where("node = pivot").select("r", F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("comp").alias("pc"))
+        lead = live.where("node = pivot").select("r", F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("q").alias("pq"),
+                                                 F.col("comp").alias("pc"))
         return (live.join(lead, "r").where("node != pivot and comp != pc")
-                .where(_possible(F.col("n"), F.col("pos"), F.col("pn"), F.col("pp"), self.num, self.den))
+                .where(_possible(*(F.col(c) for c in ("n", "pos", "q", "pn", "pp", "pq")), self.num, self.den))
                 .select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
 
     def across(self, live: DataFrame) -> DataFrame:
         """All pairs of different components in each region that the bounds allow."""
-        x = live.select("r", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
-        y = live.select("r", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
+        x = live.select("r", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("p1"),
+                        F.col("q").alias("q1"), F.col("comp").alias("c1"))
+        y = live.select("r", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("p2"),
+                        F.col("q").alias("q2"), F.col("comp").alias("c2"))
         on = (x["r"] == y["r"]) & (x["a"] < y["b"]) & (x["c1"] != y["c2"]) & _possible(
-            x["n1"], x["p1"], y["n2"], y["p2"], self.num, self.den)
+            x["n1"], x["p1"], x["q1"], y["n2"], y["p2"], y["q2"], self.num, self.den)
         return x.join(y, on).select("a", "b").distinct()
 
     def split(self, live: DataFrame, depth: int) -> DataFrame:
         """Large regions by the next shared member: (r, node, n, pos)."""
         far = live.join(self.nodes.select("node", "front"), "node")
         nxt = F.slice("front", F.col("pos") + 2, F.greatest(self.window(depth) - F.col("pos") - 1, F.lit(0)))
-        far = far.select("r", "node", "n", "pos", F.posexplode(nxt).alias("k", "s"))
-        return self.shared(far.select(F.xxhash64("r", "s").alias("r"), "node", "n", (F.col("pos") + 1 + F.col("k")).alias("pos")))
+        far = far.select("r", "node", "n", "pos", "q", F.posexplode(nxt).alias("k", "s"))
+        return self.shared(far.select(F.xxhash64("r", "s").alias("r"), "node", "n", (F.col("pos") + 1 + F.col("k")).alias("pos"),
+                                      (F.col("q") + 1 + F.col("k")).alias("near")), F.col("near")).drop("near")
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare the new pairs among ``pairs`` and add those within the threshold to the links."""
