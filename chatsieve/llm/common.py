@@ -57,6 +57,21 @@ def delete_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_HELD: list = []
+
+
+def sole_tables(*caches) -> None:
+    """Called in a Python worker: drop what other operators' cached functions hold there.
+
+    Spark uses a worker for many stages, so the tables of an operator would stay
+    beside those of the next one.
+    """
+    for c in _HELD:
+        if c not in caches:
+            c.cache_clear()
+    _HELD[:] = caches
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatsieve.llm.common import delete_written, id_and_text, ship_package, write_and_read
+from chatsieve.llm.common import delete_written, id_and_text, ship_package, sole_tables, write_and_read
 
 SMALL = 4096
 DEPTH = 3
@@ -102,6 +102,7 @@ def fronts(df: DataFrame, n: int, num: int, den: int, frequent: np.ndarray) -> D
     late = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables(_word_hash)
         hot = late.value
         for whole in batches:
             for lo in range(0, len(whole), ROWS):
@@ -136,6 +137,7 @@ def frequent_shingles(df: DataFrame, n: int) -> np.ndarray:
     texts = df.select("text", key.alias("key")).where(F.pmod("key", F.lit(SAMPLED)) == 0).groupBy("key").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables(_word_hash)
         for whole in batches:
             for lo in range(0, len(whole), ROWS):
                 codes, count = np.unique(np.concatenate([shingle_set(t, n) for t in whole["text"].iloc[lo:lo + ROWS]]), return_counts=True)
@@ -289,6 +291,7 @@ class _Join:
         own = self.nodes.select("node", "sig", "first_id").join(wanted, "node")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sole_tables(_word_hash)
             for whole in batches:
                 for lo in range(0, len(whole), ROWS):
                     codes = [shingle_set(t, n) for t in whole["text"].iloc[lo:lo + ROWS]]

@@ -27,9 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatsieve.llm.common import id_and_text, in_remainder, ship_package
+from chatsieve.llm.common import id_and_text, in_remainder, ship_package, sole_tables
 
 PER_LANGUAGE = 1_500
+TOGETHER = 4 << 20
 MOST_LANGUAGES = 1_000
 PAIRS, TRIPLES = 1 << 16, 1 << 17
 SIZE = PAIRS + TRIPLES
@@ -66,7 +67,10 @@ def codewords(n: int, seed: int = 11, tries: int = 200) -> np.ndarray:
 
 
 def margins(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """(texts, bits): mean weight of each text's n-grams."""
+    """(texts, bits): mean weight of each text's n-grams; texts are taken together up to ``TOGETHER`` characters."""
+    if len(texts) > 1 and sum(map(len, texts)) > TOGETHER:
+        half = len(texts) // 2
+        return np.concatenate([margins(texts[:half], weights), margins(texts[half:], weights)])
     raws = [t.lower().encode() for t in texts]
     ends = np.cumsum([len(r) + 2 for r in raws])  # two zero bytes after each text
     buf = np.frombuffer(b"\0\0".join(raws) + b"\0\0\0\0", dtype=np.uint8)
@@ -121,6 +125,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     sample = rows.where(chance < share).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables()
         for b in batches:
             for lang, own in b.groupby("lang"):
                 sums = np.zeros(SIZE, dtype=np.int64)
@@ -151,6 +156,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables()
         m = held.value
         place = {lang: i for i, lang in enumerate(m["langs"])}
         for b in batches:
@@ -176,6 +182,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables()
         m = held.value
         for b in batches:
             pred, score, unsure = ["und"] * len(b), np.zeros(len(b)), np.ones(len(b), dtype=bool)

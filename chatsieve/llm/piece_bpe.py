@@ -36,7 +36,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from chatsieve.llm.common import id_and_text, ship_package
+from chatsieve.llm.common import id_and_text, ship_package, sole_tables
 
 MARK = "▁"
 KNOWN_STRINGS = 250_000  # entries in each of a worker's two tables
@@ -216,6 +216,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables(model, _units)
         for b in batches:
             ids = [[int(x) for x in s.split(",")] if s else [] for s in (encode_text(t, model_path) for t in b["text"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
@@ -229,6 +230,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables(model, _units)
         m = model(model_path)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": ["" if x is None else m.decode(x) for x in b["ids"]]})
@@ -242,6 +244,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sole_tables(model, _units)
         m = model(model_path)
         for b in batches:
             n, enc, dec = [], [], []
