@@ -113,6 +113,13 @@ def ngram_repetition(text: Column, n: int) -> Column:
     return run(text)
 
 
+def repetition_column(batches, n: int, out: str):
+    """Batches whose last column is a text: all others, and in its place the text's share of repeated n-grams."""
+    for b in batches:
+        share = pa.array(repeated_share(b.column(b.num_columns - 1).to_pylist(), n), pa.float64())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], share], names=[*b.schema.names[:-1], out])
+
+
 # -- winnowing ---------------------------------------------------------------
 
 def sliding(op, x: np.ndarray, width: int) -> np.ndarray:

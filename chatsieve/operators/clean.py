@@ -22,12 +22,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from chatsieve.functions import rolling
 from chatsieve.operators.holdout import exclude_contained_holdout, exclude_holdout, flag_contained_holdout  # noqa: F401
 from chatsieve.operators.ranking import exact_row_number
 from chatsieve.functions.text import (
     contains_any, effective_chars, join_segmented, line_repetition_ratio, literal_array,
-    normalize_key, repetition_ratio, strip_ws,
+    normalize_key, strip_ws,
 )
 
 
@@ -201,12 +203,25 @@ def drop_by_phrase(df: DataFrame, c, phrases) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C11
+def with_repetition(df: DataFrame, c="answer", n: int = 20, out: str = "repetition") -> DataFrame:
+    """``df`` with the share of repeated character n-grams of the whitespace-free text (0 when null or shorter).
+
+    Rolling hashes in Arrow batches (``functions/rolling.py``): the one step of the
+    cleaning operators that runs in Python workers, as no built-in expression carries a
+    value from character to character.  The other columns pass through unchanged.
+    """
+    text = df.withColumn("__text", strip_ws(_col(c)))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    return text.mapInArrow(lambda batches: rolling.repetition_column(batches, n, out), schema)
+
+
 def drop_repetitive(df: DataFrame, c="answer", n: int = 20, max_ratio: float = 0.5,
                     by_lines: bool = False) -> DataFrame:
     """Drop repeated-generation texts: share of repeated character n-grams
     (or of repeated lines) above ``max_ratio``."""
-    ratio = line_repetition_ratio(_col(c)) if by_lines else repetition_ratio(_col(c), n)
-    return df.where(ratio <= max_ratio)
+    if by_lines:
+        return df.where(line_repetition_ratio(_col(c)) <= max_ratio)
+    return with_repetition(df, c, n, "__repetition").where(F.col("__repetition") <= max_ratio).drop("__repetition")
 
 
 # ---------------------------------------------------------------- C12

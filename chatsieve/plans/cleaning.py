@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatsieve.functions.text import (
-    effective_chars, line_repetition_ratio, normalize_key, repetition_ratio, strip_ws,
+    effective_chars, line_repetition_ratio, normalize_key, strip_ws,
 )
 from chatsieve.operators import clean as C
 from chatsieve.operators.dataset import augment
@@ -180,7 +180,7 @@ SELECT doc_id, lang FROM documents WHERE NOT (contains(text, 'License') OR conta
 # ---------------------------------------------------------------- C11
 def q_repetition(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", r6(repetition_ratio("text", REPEAT_N)).alias("repetition"))
+    return C.with_repetition(docs.select("doc_id", "text"), "text", REPEAT_N).select("doc_id", r6(F.col("repetition")).alias("repetition"))
 
 
 # One row per character; lead() builds the n-gram that starts there.

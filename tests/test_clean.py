@@ -98,3 +98,14 @@ def test_contained_holdout_edges(spark):
     assert set(got) == want and len(got) == len(want)
     assert C.flag_contained_holdout(ddf, idf.where("item > 9"), "doc", "t", "item", "t").count() == 0
     assert C.flag_contained_holdout(ddf.where("doc = 'z'"), idf, "doc", "t", "item", "t").count() == 0
+
+
+def test_repetition_keeps_all_columns_and_rows(spark):
+    rows = [(1, None, [1, 2]), (2, "", None), (3, "ab ab ab ab", [3]), (3, "ab ab ab ab", [3]), (4, "abcdefgh", [])]
+    df = spark.createDataFrame(rows, "id long, t string, extra array<int>")
+    out = C.with_repetition(df, "t", 2)
+    assert out.columns == ["id", "t", "extra", "repetition"]
+    got = [(r["id"], r["t"], r["extra"], round(r["repetition"], 6)) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(*r, {1: 0.0, 2: 0.0, 3: round(1 - 2 / 7, 6), 4: 0.0}[r[0]]) for r in rows], key=repr)
+    assert sorted(r["id"] for r in C.drop_repetitive(df, "t", 2).collect()) == [1, 2, 4]
+    assert C.drop_repetitive(df, "t", 2).columns == df.columns
