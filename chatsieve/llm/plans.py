@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,7 +11,7 @@ from chatsieve.llm import (cross_tokenizer, divergence_audit, exact_dedup, jacca
                            piece_bpe, pii, pivotal_mix, quality_zstd, token_count, token_orc, weak_rules)
 from chatsieve.llm.common import documents
 
-TOKENIZERS = os.path.dirname(public_tokenizers.path("piece_bpe_32k.model"))  # vocabulary files of public tokenizers
+TOKENIZERS = "/opt/tokenizers"  # the folder of the same files, for jobs that take a folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
