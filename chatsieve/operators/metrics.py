@@ -283,6 +283,22 @@ def masked_token_accuracy(df: DataFrame, preds: str, labels: str, by=()) -> Data
                         F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0)))
 
 
+def positional_token_accuracy(preds: DataFrame, labels: DataFrame, row: str, pos: str = "pos", pred: str = "pred",
+                              label: str = "label", by=(), ignore: int = D.IGNORE_INDEX) -> DataFrame:
+    """``masked_token_accuracy`` with a row per position: the prediction at a place is of the label at the next one.
+
+    Joined on (row, place), so a long sequence is no long array; a label without
+    a prediction before it (the first one, or one whose scores are missing) does
+    not count.  ``by`` are columns of ``labels``.
+    """
+    ahead = preds.select(row, (F.col(pos) + 1).alias(pos), pred)
+    hits = labels.where(F.col(label) != ignore).join(ahead, [row, pos])
+    aggs = [F.count_if(F.col(pred) == F.col(label)).alias("correct"), F.count(F.lit(1)).alias("total")]
+    g = hits.groupBy(*by).agg(*aggs) if by else hits.agg(*aggs)
+    return g.withColumn("mean_token_accuracy",
+                        F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0)))
+
+
 # ---------------------------------------------------------------- E21
 def rubric_rollup(df: DataFrame, dims: list[str], by=()) -> DataFrame:
     """Mean score per judged dimension (long layout)."""

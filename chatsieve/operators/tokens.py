@@ -176,3 +176,15 @@ def token_predictions(logits) -> Column:
     """argmax over the vocabulary axis of a [position][vocab] score array."""
     return F.transform(_col(logits), lambda v: argmax(v))
 
+
+def chunked_predictions(scores: DataFrame, by: list[str], first: str = "first", values: str = "scores",
+                        out: str = "pred") -> DataFrame:
+    """``by`` and the first token of the highest score, from scores in chunks of the vocabulary.
+
+    A row holds the scores of the tokens from ``first`` on.  Each chunk gives its
+    own maximum (row-local), and the maxima of a position meet in one partially
+    aggregated ``max``, so no row holds a whole vocabulary and none is shuffled.
+    """
+    best = F.struct(F.array_max(values).alias("score"), (-(F.col(first) + argmax(values))).alias("back"))
+    return scores.where(F.size(values) > 0).groupBy(*by).agg(F.max(best).alias("__best")).select(
+        *by, (-F.col("__best.back")).cast("int").alias(out))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatsieve.operators import metrics as M
+from chatsieve.operators import tokens as TK
 from chatsieve.operators.clean import extract_qa_pairs
 from chatsieve.operators.dataset import classify
 from chatsieve.operators.rules import rule_pass_columns, score_columns, score_outputs
@@ -270,6 +271,31 @@ SELECT category, CAST(sum(cor) AS BIGINT) AS correct, CAST(sum(tot) AS BIGINT) A
 FROM c GROUP BY category""")(q_token_accuracy)
 
 
+def q_score_accuracy(spark, sf):
+    """Vectors as scores: two chunks of 64 tokens a position, ten positions a row; a label is what the first chunk
+    alone predicts at the place before, every row's first label is masked."""
+    v = F.col("vec_id")
+    scores = table(spark, sf, "embeddings").select(
+        F.floor(v / 20).alias("row"), F.floor(v % 20 / 2).alias("pos"), (v % 2 * 64).cast("int").alias("first"),
+        F.col("embedding").alias("scores"))
+    preds = TK.chunked_predictions(scores, ["row", "pos"])
+    nxt = scores.where("first = 0").select("row", (F.col("pos") + 1).alias("pos"), TK.argmax("scores").alias("label"))
+    firsts = scores.where("first = 0 and pos = 0").select("row", "pos", F.lit(-100).alias("label"))
+    labels = nxt.unionByName(firsts).withColumn("parity", F.col("row") % 2)
+    a = M.positional_token_accuracy(preds, labels, "row", by=["parity"])
+    return a.select("parity", "correct", "total", r6(F.col("mean_token_accuracy")).alias("mean_token_accuracy"))
+
+
+register("score_accuracy", """
+WITH s AS (SELECT vec_id // 20 AS row, vec_id % 20 // 2 AS pos, vec_id % 2 AS chunk, list_max(embedding) AS top,
+                  list_position(embedding, list_max(embedding)) - 1 AS place FROM embeddings),
+p AS (SELECT row, pos, first(chunk * 64 + place ORDER BY top DESC, chunk) AS pred FROM s GROUP BY row, pos),
+l AS (SELECT row, pos + 1 AS pos, place AS label FROM s WHERE chunk = 0)
+SELECT CAST(l.row % 2 AS BIGINT) AS parity, count(*) FILTER (WHERE pred = label) AS correct, count(*) AS total,
+       round(avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END), 6) AS mean_token_accuracy
+FROM l JOIN p ON p.row = l.row AND p.pos + 1 = l.pos GROUP BY l.row % 2""")(q_score_accuracy)
+
+
 # ---------------------------------------------------------------- E21
 def q_rubric_rollup(spark, sf):
     ev = table(spark, sf, "events").select(

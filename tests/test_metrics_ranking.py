@@ -228,3 +228,24 @@ def test_bleu_counts_equal_independent_probe(spark):
     assert c.num_rows == 135
     assert [c.num1, c.num2, c.num3, c.num4] == [69671, 61192, 45282, 24770]
     assert [c.den1, c.den2, c.den3, c.den4] == [103233, 103098, 102963, 102828]
+
+
+def test_accuracy_from_scores_in_chunks(spark):
+    """First maximum over all chunks, ties, missing chunks and masked labels, against plain lists."""
+    import random
+    from chatsieve.operators import metrics as M
+    from chatsieve.operators import tokens as TK
+    rnd = random.Random(6)
+    scores = {(r, p): [rnd.randrange(4) for _ in range(12)] for r in range(20) for p in range(rnd.randrange(1, 7))}
+    chunks = [(r, p, i, [float(x) for x in v[i:i + 5]]) for (r, p), v in scores.items() for i in (0, 5, 10)]
+    df = spark.createDataFrame([*chunks, (99, 0, 0, [])], "row int, pos int, first int, scores array<double>").repartition(5)
+    preds = TK.chunked_predictions(df, ["row", "pos"])
+    want = {k: v.index(max(v)) for k, v in scores.items()}
+    assert {(x["row"], x["pos"]): x["pred"] for x in preds.collect()} == want
+    labels = [(r, p, rnd.choice([-100, 0, 1, 2])) for r, p in scores]
+    ldf = spark.createDataFrame(labels, "row int, pos int, label int")
+    pairs = [(want[r, p - 1], x) for r, p, x in labels if x != -100 and p > 0]
+    got = M.positional_token_accuracy(preds, ldf, "row").first()
+    assert (got["correct"], got["total"]) == (sum(a == b for a, b in pairs), len(pairs))
+    none = M.positional_token_accuracy(preds, ldf.where("label = -100"), "row").first()
+    assert (none["correct"], none["total"], none["mean_token_accuracy"]) == (0, 0, 0.0)
