@@ -2,11 +2,11 @@
 
 Scale notes
 -----------
-* Character BLEU: rows are hash-partitioned by row id once; both sides'
-  n-grams are then exploded with a side flag and counted by a
-  ``groupBy(corpus, row, n, gram)`` that needs no further exchange (the key
-  holds the row id), so n-grams are never shuffled and no corpus or frequent
-  n-gram becomes a hot key.  Denominators and lengths are row arithmetic.
+* Character BLEU: rows are hash-partitioned and sorted by row id once; both
+  sides' n-grams are then counted and clipped row by row in Arrow batches of
+  a bounded number of characters, which give one row of sums a key, so
+  n-grams are neither exploded nor shuffled (but for keys repeated over more
+  text than a portion) and no corpus or frequent n-gram becomes a hot key.
 * BERTScore: token norms are computed once, token pairs come from a join on
   the sample id only (tokens² per sample, never across samples), and the
   best match per candidate and per reference token comes from one
@@ -17,11 +17,13 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatsieve import defaults as D
-from chatsieve.functions.text import char_ngrams, chars, strip_ws
+from chatsieve.functions import clipped
+from chatsieve.functions.text import chars, strip_ws
 
 
 def _col(c) -> Column:
@@ -70,47 +72,37 @@ def bleu_counts(df: DataFrame, hyp: str, ref: str, row_id, by=(), max_n: int = 4
     and reference length, row count.  ``row_id`` is the unique key: one column
     or a list of them.
 
-    Clipped matches come from one ``groupBy(corpus, row, n, gram)`` over both
-    sides' exploded n-grams (rows hash-partitioned by id first, so no shuffle
-    of the n-grams); denominators and lengths are row arithmetic.
-    The two kinds of contribution are unioned and summed in one final
-    aggregate (no join, so a single corpus needs no key).
+    Rows of equal key count as one, with the n-grams of all its texts.  Clipped
+    matches are counted key by key in Arrow batches (``functions/clipped.py``),
+    in portions of a bounded number of characters, so the memory of a task does
+    not follow the number of its n-grams.
     """
     by = list(by)
-    keys = [row_id] if isinstance(row_id, str) else list(row_id)
-    base = df.select(*by, F.struct(*keys).alias("__id"),
+    keys = [row_id] if isinstance(row_id, (str, Column)) else list(row_id)
+    ids = [f"__k{i}" for i in range(len(keys))]
+    base = df.select(*by, *[_col(k).alias(i) for k, i in zip(keys, ids)],
                      strip_ws(F.coalesce(_col(hyp), F.lit(""))).alias("__h"),
                      strip_ws(F.coalesce(_col(ref), F.lit(""))).alias("__r"))
-    # Hash-partition the rows by id before the explode: the per-gram groupBy
-    # (keys include the row id) is then already clustered, so the shuffle
-    # moves each text once instead of moving its 2 x max_n exploded n-grams.
-    # One row per (text, side, order) before the grams are cut, so a row never
-    # holds more than one order of one text.
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(n).alias("n"), F.col(c).alias("t"))
-                                for s, c in (("h", "__h"), ("r", "__r")) for n in range(1, max_n + 1)]))
-    part = base.repartition("__id").select(*by, "__id", sides.alias("__x")).select(*by, "__id", "__x.*")
-    cut = F.when(F.col("n") == 1, char_ngrams(F.col("t"), 1))
-    for n in range(2, max_n + 1):
-        cut = cut.when(F.col("n") == n, char_ngrams(F.col("t"), n))
-    ex = part.select(*by, "__id", "n", "s", F.explode(cut).alias("g"))
-    per_gram = ex.groupBy(*by, "__id", "n", "g").agg(
-        F.sum(F.when(F.col("s") == "h", 1).otherwise(0)).alias("ch"),
-        F.sum(F.when(F.col("s") == "r", 1).otherwise(0)).alias("cr"))
-    zero = F.lit(0).cast("long")
+    # The window brings rows of one key together, one after the other, and
+    # marks where a key begins; a key is one row as a rule.
+    key = Window.partitionBy(*by, *ids)
+    rows = base.select(*by, *ids, (F.row_number().over(key.orderBy(F.lit(0))) == 1).alias("__new"), "__h", "__r")
     nums = [f"num{n}" for n in range(1, max_n + 1)]
     dens = [f"den{n}" for n in range(1, max_n + 1)]
     extra = ["hyp_len", "ref_len", "num_rows"]
-    clip = F.least("ch", "cr").cast("long")
-    matches = per_gram.select(*by, *[F.when(F.col("n") == n, clip).otherwise(zero).alias(f"num{n}")
-                                     for n in range(1, max_n + 1)],
-                              *[zero.alias(c) for c in dens + extra])
-    hl, rl = F.char_length("__h").cast("long"), F.char_length("__r").cast("long")
-    rows = base.select(*by, *[zero.alias(c) for c in nums],
-                       *[F.greatest(F.lit(1).cast("long"), hl - n + 1).alias(f"den{n}") for n in range(1, max_n + 1)],
-                       hl.alias("hyp_len"), rl.alias("ref_len"), F.lit(1).cast("long").alias("num_rows"))
-    both = matches.unionByName(rows)
+    schema = T.StructType([
+        *[T.StructField(f.name, f.dataType) for f in base.drop("__h", "__r").schema],
+        T.StructField("__n", T.IntegerType()), T.StructField("__g", T.StringType()),
+        *[T.StructField(c, T.LongType()) for c in ["__ch", "__cr"] + nums + dens + extra]])
+    names, n_by = schema.names, len(by)
+    sums = rows.mapInArrow(lambda batches: clipped.clipped_matches(batches, n_by, max_n, names), schema)
+    # One row a corpus and task, and the n-grams of keys too long for one portion.
+    parts = sums.groupBy(*by, *ids, "__n", "__g").agg(*[F.sum(c).alias(c) for c in ["__ch", "__cr"] + nums + dens + extra])
+    clip = F.least("__ch", "__cr")
+    parts = parts.select(*by, *extra, *dens, *[F.when(F.col("__n") == n, clip).otherwise(F.col(c)).alias(c)
+                                               for n, c in enumerate(nums, 1)])
     aggs = [F.sum(c).cast("long").alias(c) for c in extra + dens + nums]
-    return both.groupBy(*by).agg(*aggs) if by else both.agg(*aggs)
+    return parts.groupBy(*by).agg(*aggs) if by else parts.agg(*aggs)
 
 
 def bleu_from_counts(counts: DataFrame, max_n: int = 4, k: float = 5.0) -> Column:

@@ -6,10 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
+from conftest import SF_SMALL
+from chatsieve.functions.clipped import clipped_matches
 from chatsieve.operators import dataset as DS
 from chatsieve.operators import metrics as M
 from chatsieve.operators.clean import cleaning_funnel, funnel_counts
@@ -72,6 +76,67 @@ def test_char_bleu_smoothing_and_zero(spark):
     assert M.corpus_char_bleu(df0, "h", "r", "id").collect()[0].bleu == 0.0
 
 
+def pooled(rows):
+    """Clipped matches by order, all rows of a key as one."""
+    num, sides = [0] * 4, {}
+    for key, h, r in rows:
+        for side, t in enumerate((h, r)):
+            for n in range(1, 5):
+                sides.setdefault((key, n), (Counter(), Counter()))[side].update(t[i:i + n] for i in range(len(t) - n + 1))
+    for (_key, n), (hc, rc) in sides.items():
+        num[n - 1] += sum(min(c, rc[g]) for g, c in hc.items())
+    return num
+
+
+@pytest.mark.parametrize("name", ["char_bleu_runs", "char_bleu"])
+def test_char_bleu_makes_no_row_a_gram(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_char_bleu_of_repeated_and_null_keys(spark):
+    rows = [(1, "a", "abab", "ab"), (1, "a", "xy", "ababxy"), (None, "a", "qq", "q"), (None, "a", "q", "qqq"),
+            (1, "b", "ab", None), (2, None, "😀退", "退😀退"), (3, None, None, "z")]
+    df = spark.createDataFrame(rows, "id long, c string, h string, r string").repartition(3)
+    got = {x.c: x for x in M.corpus_char_bleu(df, "h", "r", "id", by=["c"]).collect()}
+    for c in ("a", "b", None):
+        sub = [(k, h or "", r or "") for k, own, h, r in rows if own == c]
+        assert [got[c][f"num{n}"] for n in range(1, 5)] == pooled(sub)
+        assert got[c].num_rows == len(sub) and got[c].hyp_len == sum(len(h) for _k, h, _r in sub)
+
+
+def test_char_bleu_of_a_key_longer_than_a_portion(spark):
+    rnd = random.Random(4)
+    rows = [(i // 90, "".join(rnd.choices("abcde退😀", k=9000)), "".join(rnd.choices("abcdexyz", k=9000))) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, h string, r string").coalesce(1)
+    got = M.corpus_char_bleu(df, "h", "r", "id").first()
+    assert [got[f"num{n}"] for n in range(1, 5)] == pooled(rows)
+    assert (got.num_rows, got.den4) == (100, 100 * 8997)
+
+
+@pytest.mark.parametrize("size", [1, 40, 300, 10 ** 6])
+def test_clipped_matches_of_portions(size):
+    rnd = random.Random(size)
+    rows = [(k, "".join(rnd.choices("ab é", k=rnd.randint(0, 9))), "".join(rnd.choices("abc ", k=rnd.randint(0, 9))))
+            for k in range(30) for _ in range(rnd.choice([1, 1, 2, 20]))]
+    new = [i == 0 or rows[i - 1][0] != k for i, (k, _h, _r) in enumerate(rows)]
+    k, h, r = zip(*rows)
+    whole = pa.RecordBatch.from_arrays([pa.array(k), pa.array(new), pa.array(h), pa.array(r)], names=["k", "new", "h", "r"])
+    names = ["k", "n", "g", "ch", "cr", *"1234", *"5678", "hyp", "ref", "rows"]
+    out = [x for b in clipped_matches((whole.slice(i, 7) for i in range(0, len(rows), 7)), 0, 4, names, size) for x in b.to_pylist()]
+    num = [sum(x[str(n)] for x in out) for n in range(1, 5)]
+    grams = {}
+    for x in out:
+        if x["n"]:
+            c = grams.setdefault((x["k"], x["n"], x["g"]), [0, 0])
+            c[0], c[1] = c[0] + x["ch"], c[1] + x["cr"]
+    for (_k, n, _g), c in grams.items():
+        num[n - 1] += min(c)
+    assert num == pooled(rows) and bool(grams) == (size <= 300)
+    assert sum(x["rows"] for x in out) == len(rows) and sum(x["ref"] for x in out) == sum(map(len, r))
+    assert sum(x["7"] for x in out) == sum(max(1, len(t) - 2) for t in h)
+
+
 def test_bertscore_matches_numpy(spark):
     rng = np.random.default_rng(0)
     rows = []
