@@ -11,8 +11,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import __spark_entry__ as E
-from conftest import SF_SMALL
 from chatsieve.functions.clipped import clipped_matches
 from chatsieve.operators import dataset as DS
 from chatsieve.operators import metrics as M
@@ -88,9 +86,10 @@ def pooled(rows):
     return num
 
 
-@pytest.mark.parametrize("name", ["char_bleu_runs", "char_bleu"])
-def test_char_bleu_makes_no_row_a_gram(spark, name):
-    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("by", [[], ["c"]])
+def test_char_bleu_makes_no_row_a_gram(spark, by):
+    df = spark.createDataFrame([(1, 0, "a", "abc", "abd")], "conv_id long, turn long, c string, h string, r string")
+    plan = M.corpus_char_bleu(df, "h", "r", ["conv_id", "turn"], by)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
 
 
